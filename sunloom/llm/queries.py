@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, urlrules
+from . import chat, quality, urlrules
 
 QUERIES = {
+    "op4_chat_format": chat.op4_chat_format,
     "op9_url_filter": urlrules.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op4_chat_format": chat.OP4_SQL,
     "op9_url_filter": urlrules.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
