@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +36,31 @@ def durable(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+#: Rows that a Python task holds as objects at a time, whatever Arrow sends.
+SLICE = 256
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, body: Callable[..., Iterator[tuple] | list[tuple]], once: Callable[[], object] | None = None) -> DataFrame:
+    """Rows of schema from rows of columns: body(lists of values by column[, once()]) yields output tuples.
+
+    Arrow batches are cut into slices of SLICE rows, so that memory does not grow with a partition; once() makes what a
+    task needs for all of its rows (an automaton, a tokenizer).
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        extra = () if once is None else (once(),)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = list(body(*[part.column(i).to_pylist() for i in range(len(columns))], *extra))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), fields)], schema=fields)
+
+    return df.select(*columns).mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality, urlrules
+from . import chat, licenses, quality, secrets, tiff, urlrules
 
 QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
+    "op6_media_tiff": tiff.op6_media_tiff,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_url_filter": urlrules.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
 }
