@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, quality, secrets, tiff, urlrules
+from . import chat, licenses, mixing, quality, secrets, tiff, urlrules
 
 QUERIES = {
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
     "op6_media_tiff": tiff.op6_media_tiff,
     "op7_license_scan": licenses.op7_license_scan,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op3_mix_sources": mixing.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op9_url_filter": urlrules.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
