@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, packing, quality, secrets, tiff, urlrules
+from . import chat, licenses, mixing, packing, quality, secrets, simhash, tiff, urlrules
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_pack": packing.op2_pack,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
