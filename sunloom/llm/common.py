@@ -27,14 +27,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A copy of df in the checkpoint folder that all executors share, so that lost executors cost no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; one is made only where none is set, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one is made only where none is set, as in local tests."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A copy of df in the checkpoint folder, so that lost executors cost no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

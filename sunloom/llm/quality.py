@@ -111,8 +111,13 @@ def passes(policy: str | Sequence[str], rules: Sequence[QualityRule] = RULES) ->
 
 
 def apply_policy(entries: DataFrame, policy: str | Sequence[str], rules: Sequence[QualityRule] = RULES) -> DataFrame:
-    """The ledger's rows that fail none of the policy's rules."""
-    return entries.filter(passes(policy, rules))
+    """The ledger's rows that fail none of the policy's rules.
+
+    A predicate on fail_bits alone would be pushed below the ledger, and every measurement evaluated once for each
+    rule that uses it; it does not pass a row number.
+    """
+    numbered = entries.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.filter(passes(policy, rules) & (F.col("__row") >= 0)).drop("__row")
 
 
 def ablation(entries: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES, rules: Sequence[QualityRule] = RULES) -> DataFrame:

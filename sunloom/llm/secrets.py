@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +165,16 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return map_rows(df.withColumns({"__key": F.col(key), "__text": F.col(text)}), ["__key", "__text"], f"{key} {dict(df.dtypes)[key]}, spans array<{SPAN}>, redacted string", body)
 
 
+def redact_secrets(df: DataFrame, text: str = "text", threshold: float = SECRET_COST) -> DataFrame:
+    """df with its texts' secrets replaced by a mark. Null texts stay null; rows and other columns stay as they are."""
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        found = ((t, find_secrets(t or "", threshold)) for t in texts)
+        return pd.Series([redact(t, spans) if spans else t for t, spans in found], dtype=object)
+
+    return df.withColumn(text, clean(F.col(text)))
+
+
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan_secrets(docs)
