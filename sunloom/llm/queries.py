@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, packing, quality, secrets, simhash, tiff, urlrules
+from . import chat, licenses, linecrf, mixing, packing, quality, secrets, simhash, tiff, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_pack": packing.op2_pack,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_quality_score": linecrf.op5_quality_score,
     "op6_media_tiff": tiff.op6_media_tiff,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_secret_scan": secrets.op8_secret_scan,
