@@ -24,7 +24,7 @@ from .common import BLANK, durable
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: Rows of a range of the shuffled order, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 KEY_BITS = 60
 
 
