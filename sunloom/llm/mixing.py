@@ -58,7 +58,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_
 
 
 def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """key, source, size, source_size, target, copies, taken (copies * size) and finish (time of the first copy) per row.
+    """key, source, size, source_size, target, copies, taken (copies * size) and finish (time of the first copy; null without
+    target) per row.
 
     A null source is a source, the last one; a null or empty text has size 0 and no copies. Rows that agree in key and
     size (repeated rows) share a shuffled place one after the other, so reruns agree. An empty table gives none.
@@ -79,7 +80,7 @@ def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "
     placed = durable(placed.withColumn("upto", F.col("before") + F.sum("size").over(order)))
     # copies in the global order, by ranges of finish time: those that start before time 1 hold the budget
     copies = placed.filter("size > 0 and target > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(MOST_COPIES - 1))))
-    done = lambda k: (k * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
+    done = lambda k: F.try_divide((k * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
     copies = copies.filter((F.col("k") * F.col("source_size") + F.col("upto") - F.col("size")) < F.col("target")).withColumn("finish", done(F.col("k")))
     copies = copies.withColumn("slot", F.floor(F.col("finish") * (1 << shift)))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
@@ -160,6 +161,6 @@ copies AS (
 taken AS (
   SELECT rid, count(*) AS n FROM (SELECT *, sum(size) OVER (ORDER BY done, rank, place, doc_id NULLS FIRST, k ROWS UNBOUNDED PRECEDING) AS used FROM copies)
   WHERE used <= (SELECT sum(source_size) FROM sources) GROUP BY rid)
-SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) * size AS BIGINT) AS taken, CAST(coalesce(n, 0) AS INTEGER) AS copies, CAST(upto AS DOUBLE) / target AS finish
+SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) * size AS BIGINT) AS taken, CAST(coalesce(n, 0) AS INTEGER) AS copies, CASE WHEN target > 0 THEN CAST(upto AS DOUBLE) / target END AS finish
 FROM placed LEFT JOIN taken USING (rid)
 """
