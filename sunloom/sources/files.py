@@ -84,3 +84,12 @@ def write_vectors(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     arrays = {c: F.col(c).cast("array<float>") for c, t in df.dtypes if t.startswith("array<")}
     writer = df.withColumns(arrays).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def write_report(table: DataFrame, path: str, title: str) -> None:
+    """A text report: a title and one line per row, columns tab-separated, in the table's order. For results of report size."""
+    spark = table.sparkSession
+    head = spark.createDataFrame([(0, title), (1, "\t".join(table.columns))], "at long, value string")
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns])
+    body = table.coalesce(1).select((F.monotonically_increasing_id() + 2).alias("at"), line.alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)

@@ -215,6 +215,8 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2 and spark.read.parquet(f"{path}.bak").count() == 3
     files.write_rounded_csv(spark.createDataFrame([(1.23456,)], "v double"), str(tmp_path / "r"), 2)
     assert spark.read.csv(str(tmp_path / "r"), header=True).collect()[0]["v"] == "1.23"
+    files.write_report(spark.createDataFrame([("a", 1.0), ("b", None)], "loc string, rmse double").orderBy("loc"), str(tmp_path / "report"), "errors")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["errors", "loc\trmse", "a\t1.0", "b\t"]
     files.write_vectors(spark.createDataFrame([("a", [1.0, 2.0])], "loc string, x array<double>"), str(tmp_path / "v"), ["loc"])
     assert dict(spark.read.parquet(str(tmp_path / "v")).dtypes)["x"] == "array<float>"
 
