@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, num
+from .ordered import previous
 
 REGIMES = ("clear", "cloudy_smooth", "broken_cloud")
 # Standard deviations of a day's index that part the regimes; factor's bounds and peak hours.
@@ -52,9 +53,8 @@ def peak_rmse(df: DataFrame, by: Sequence[str], truth: str = "truth", guess: str
 
 def ramp_rmse(df: DataFrame, by: Sequence[str], order: Sequence[str], truth: str = "truth", guess: str = "guess") -> DataFrame:
     """by, ramp_rmse of signed changes between consecutive rows that have both."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull())
-    d = (F.col(guess) - F.lag(guess).over(w)) - (F.col(truth) - F.lag(truth).over(w))
+    rows = previous(df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull()), by, order, [truth, guess], "__before")
+    d = (F.col(guess) - F.col(f"__before.{guess}")) - (F.col(truth) - F.col(f"__before.{truth}"))
     return rows.withColumn("__d", d).groupBy(*by).agg(F.sqrt(F.avg(F.col("__d") * F.col("__d"))).alias("ramp_rmse"))
 
 

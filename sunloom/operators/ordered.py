@@ -1,4 +1,10 @@
-"""Ordered operators within a location: lags, runs, interpolation, splits, first and last, extremes."""
+"""Ordered operators within a location: lags, runs, interpolation, splits, first and last, extremes.
+
+A location may hold a large share of all rows, so none of these sorts a location's history in one task. Rows are ordered
+within a location's day (of the first order column); what a day needs of other days (the row before it, the rows and sums
+before it, the next value after it) is one small row per location and day, carried over days by a window over those alone.
+Order columns are a total order; null locations and null instants are groups of their own.
+"""
 
 from __future__ import annotations
 
@@ -12,31 +18,87 @@ def by_time(by: Sequence[str], *order: str) -> Window:
     return Window.partitionBy(*by).orderBy(*(order or ("ts",)))
 
 
+#: Width of the ranges that stand for days where the first order column is a number.
+NUMBERS = 65_536
+
+
+def _with_day(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with __day: of an instant its day, of a number its range; other types have one range in all."""
+    kind, c = dict(df.dtypes)[order[0]], F.col(order[0])
+    if kind.startswith("timestamp") or kind == "date":
+        day = F.to_date(c)
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        day = F.floor(c / NUMBERS)
+    else:
+        day = F.lit(0)
+    return df.withColumn("__day", day)
+
+
+def _carried(rows: DataFrame, days: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns that days have beside by and __day."""
+    keys = [*by, "__day"]
+    other = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in days.columns if c not in keys])
+    met = rows.join(other, [rows[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)])
+    return met.drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def _over_days(by: Sequence[str]) -> Window:
+    return Window.partitionBy(*by).orderBy("__day")
+
+
+def previous(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str = "before") -> DataFrame:
+    """df with a struct of columns of the row before, null for a location's first."""
+    rows = _with_day(df, order)
+    ends = rows.groupBy(*by, "__day").agg(F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("row"))).alias("end"))
+    carry = ends.select(*by, "__day", F.lag("end.row").over(_over_days(by)).alias("__carry"))
+    w = by_time([*by, "__day"], *order)
+    met = _carried(rows, carry, by)
+    return met.withColumn(name, F.when(F.row_number().over(w) > 1, F.lag(F.struct(*columns)).over(w)).otherwise(F.col("__carry"))).drop("__day", "__carry")
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value up to and with the row."""
+    rows = _with_day(df, order)
+    days = rows.groupBy(*by, "__day").agg(F.sum(value).alias("__sum"))
+    carry = days.select(*by, "__day", F.coalesce(F.sum("__sum").over(_over_days(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__carry"))
+    w = by_time([*by, "__day"], *order).rowsBetween(Window.unboundedPreceding, 0)
+    return _carried(rows, carry, by).withColumn(name, F.col("__carry") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("__day", "__carry")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "__n", total: str = "__total") -> DataFrame:
+    """df with the row's number within its location, from 1, and the location's number of rows."""
+    rows = _with_day(df, order)
+    days = rows.groupBy(*by, "__day").agg(F.count("*").alias("__rows"))
+    earlier = F.coalesce(F.sum("__rows").over(_over_days(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = days.select(*by, "__day", earlier.alias("__carry"), F.sum("__rows").over(Window.partitionBy(*by)).alias(total))
+    return _carried(rows, carry, by).withColumn(name, F.col("__carry") + F.row_number().over(by_time([*by, "__day"], *order))).drop("__day", "__carry")
+
+
 def lag_and_change(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], daytime: Column | None = None, scope: str = "full") -> DataFrame:
     """value_lag and value_change to the row before; scope 'daytime' filters first, 'full' lags over all rows and filters then."""
     if scope not in ("full", "daytime"):
         raise ValueError("scope is full or daytime")
     if daytime is not None and scope == "daytime":
         df = df.filter(daytime)
-    before = F.lag(value).over(by_time(by, *order))
-    out = df.withColumn(f"{value}_lag", before).withColumn(f"{value}_change", F.col(value) - F.col(f"{value}_lag"))
+    out = previous(df, by, order, [value], "__before").withColumn(f"{value}_lag", F.col(f"__before.{value}")).drop("__before")
+    out = out.withColumn(f"{value}_change", F.col(value) - F.col(f"{value}_lag"))
     return out.filter(daytime) if daytime is not None and scope == "full" else out
 
 
 def runs(df: DataFrame, by: Sequence[str], flag: Column, order: Sequence[str], least: int = 3, ts: str = "ts") -> DataFrame:
     """by, run, first_ts, last_ts, n: maximal runs of rows where flag holds, of least rows or more."""
-    w = by_time(by, *order)
-    marked = df.withColumn("__flag", F.coalesce(flag, F.lit(False)))
-    turned = F.when(F.col("__flag") != F.lag("__flag", 1, False).over(w), 1).otherwise(0)
-    marked = marked.withColumn("__turn", turned).withColumn("run", F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = previous(df.withColumn("__flag", F.coalesce(flag, F.lit(False))), by, order, ["__flag"], "__before")
+    marked = marked.withColumn("__turn", F.when(F.col("__flag") != F.coalesce("__before.__flag", F.lit(False)), 1).otherwise(0)).drop("__before")
+    marked = running_sum(marked, by, order, "__turn", "run")
     return marked.filter("__flag").groupBy(*by, "run").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def gaps(df: DataFrame, by: Sequence[str], order: Sequence[str], longer_minutes: float, ts: str = "ts") -> DataFrame:
     """by, after, until, minutes: neighbouring rows further apart than longer_minutes."""
-    before = F.lag(ts).over(by_time(by, *order))
+    rows = previous(df.select(*dict.fromkeys([*by, *order, ts])), by, order, [ts], "__before")
+    before = F.col(f"__before.{ts}")
     minutes = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 60e6
-    return df.select(*by, before.alias("after"), F.col(ts).alias("until"), minutes.alias("minutes")).filter(F.col("minutes") > longer_minutes)
+    return rows.select(*by, before.alias("after"), F.col(ts).alias("until"), minutes.alias("minutes")).filter(F.col("minutes") > longer_minutes)
 
 
 def interpolate(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], limit: int, place: Column | None = None) -> DataFrame:
@@ -44,34 +106,41 @@ def interpolate(df: DataFrame, by: Sequence[str], value: str, order: Sequence[st
 
     Leading nulls stay, of a long gap the first limit are filled, trailing nulls hold the last value for limit rows.
     """
-    w = by_time(by, *order)
+    rows = numbered(df, by, order).withColumn("__x", place if place is not None else F.col("__n").cast("double"))
+    rows = _with_day(rows, order).withColumn("__here", F.when(F.col(value).isNotNull(), F.struct(F.col("__n").alias("n"), F.col("__x").alias("x"), F.col(value).alias("v"))))
+    days = rows.groupBy(*by, "__day").agg(F.max("__here").alias("__last"), F.min("__here").alias("__first"))
+    over = _over_days(by)
+    carry = days.select(
+        *by, "__day", F.last("__last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__p0"),
+        F.first("__first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__q0"),
+    )
+    w = by_time([*by, "__day"], *order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    rows = df.withColumn("__n", F.row_number().over(w)).withColumn("__x", place if place is not None else F.col("__n").cast("double"))
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col("__n").alias("n"), F.col("__x").alias("x"), F.col(value).alias("v")))
-    rows = rows.withColumns({"__p": F.last(here, ignorenulls=True).over(back), "__q": F.first(here, ignorenulls=True).over(ahead)})
+    rows = _carried(rows, carry, by)
+    rows = rows.withColumns({"__p": F.coalesce(F.last("__here", ignorenulls=True).over(back), "__p0"), "__q": F.coalesce(F.first("__here", ignorenulls=True).over(ahead), "__q0")})
     between = F.col("__p.v") + (F.col("__q.v") - F.col("__p.v")) * (F.col("__x") - F.col("__p.x")) / (F.col("__q.x") - F.col("__p.x"))
     fill = F.when((F.col("__n") - F.col("__p.n") <= limit) & F.col("__p").isNotNull(), F.coalesce(F.when(F.col("__q.x") > F.col("__p.x"), between), F.col("__p.v")))
-    return rows.withColumn(value, F.coalesce(value, fill)).drop("__n", "__x", "__p", "__q")
+    return rows.withColumn(value, F.coalesce(value, fill)).drop("__n", "__total", "__x", "__day", "__here", "__p0", "__q0", "__p", "__q")
 
 
 def tail_split(df: DataFrame, by: Sequence[str], order: Sequence[str], share: float = 0.2) -> DataFrame:
     """df with role 'val' for the last floor(share * n) rows of each key, one at least, else 'train'."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    last = F.greatest(F.lit(1), F.floor(F.lit(share) * n))
-    return df.withColumn("role", F.when(F.row_number().over(by_time(by, *order)) > n - last, "val").otherwise("train"))
+    rows = numbered(df, by, order)
+    last = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("__total")))
+    return rows.withColumn("role", F.when(F.col("__n") > F.col("__total") - last, "val").otherwise("train")).drop("__n", "__total")
 
 
 def keep_one(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order; Spark limits each task to one row per key before the shuffle."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
 def every_nth(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(by_time(by, *order))).filter((F.col("__n") - 1) % n == 0).drop("__n")
+    return numbered(df, by, order).filter((F.col("__n") - 1) % n == 0).drop("__n", "__total")
 
 
 def history_best(df: DataFrame, by: Sequence[str], loss: str, epoch: str, tolerance: float = 1e-6) -> DataFrame:
-    """df with best (running minimum of loss) and improved (below the best before by more than tolerance)."""
+    """df with best (running minimum of loss) and improved (below the best before by more than tolerance); a history is as long as its epochs."""
     w = by_time(by, epoch)
     before = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumns({"best": F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0)), "improved": F.coalesce(F.col(loss) < before - tolerance, F.lit(True))})

@@ -110,8 +110,8 @@ def fill_counts(spark, d) -> DataFrame:
 
 @query("SELECT event_id, event_type AS loc, sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM events")
 def running_total(spark, d) -> DataFrame:
-    w = O.by_time(["event_type"], "ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "events").select("event_id", F.col("event_type").alias("loc"), F.sum("user_id").over(w).alias("total"))
+    rows = O.running_sum(read(spark, d, "events"), ["event_type"], ["ts", "event_id"], "user_id", "total")
+    return rows.select("event_id", F.col("event_type").alias("loc"), "total")
 
 
 @query(f"WITH {OBS} SELECT event_id, ghi, clear FROM obs WHERE ghi IS NOT NULL AND CASE WHEN k13 > 0 THEN value / k13 END IS NOT NULL")

@@ -243,3 +243,19 @@ def test_stream_gaps(spark, tmp_path):
     rows = stream(spark, tmp_path, [[("a", at(0)), ("a", at(5))], [("a", at(40)), ("b", at(0))]], "loc string, ts timestamp")
     got = drain(series.stream_gaps(rows, "loc", 20), tmp_path, "gaps")
     assert [(r["loc"], r["minutes"]) for r in got] == [("a", 35.0)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 65_536])
+def test_ranges_of_an_order_join_up(spark, monkeypatch, width):
+    """What a range needs of other ranges is carried: any width gives the results of one."""
+    monkeypatch.setattr(ordered, "NUMBERS", width)
+    values = [None, 1, None, None, None, 5, 6, None, None, None, 2, 2, None]
+    rows = rows_of(spark, values).unionByName(rows_of(spark, [3, None, 4], "b")).unionByName(rows_of(spark, [1, 2], None))
+    key = lambda r: (r["loc"] or "", r["i"])
+    collect = lambda df: sorted(df.collect(), key=key)
+    assert [r["before"] and r["before"]["v"] for r in collect(ordered.previous(rows, ["loc"], ["i"], ["v"]))] == [None, 1, None, *values[:-1], None, 3, None]
+    assert [r["total"] for r in collect(ordered.running_sum(rows, ["loc"], ["i"], "v", "total"))] == [1, 3, 0, 1, 1, 1, 1, 6, 12, 12, 12, 12, 14, 16, 16, 3, 3, 7]
+    assert [(r["__n"], r["__total"]) for r in collect(ordered.numbered(rows, ["loc"], ["i"]))] == [(1, 2), (2, 2), *[(i + 1, 13) for i in range(13)], (1, 3), (2, 3), (3, 3)]
+    filled = [r["v"] for r in collect(ordered.interpolate(rows, ["loc"], "v", ["i"], 2))]
+    assert filled == [1, 2, None, 1, 2, 3, None, 5, 6, 5, 4, None, 2, 2, 2, 3, 3.5, 4]
+    assert [(r["loc"], r["n"]) for r in ordered.runs(rows, ["loc"], F.col("v").isNull(), ["i"], 3, "i").collect()] == [("a", 3), ("a", 3)]
