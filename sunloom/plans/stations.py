@@ -203,7 +203,7 @@ swept AS (
 t AS (SELECT threshold, alpha, loc, sqrt(avg(e * e)) AS rmse FROM swept GROUP BY ALL),
 b AS (SELECT loc, sqrt(avg((bg * 1e2 - value) * (bg * 1e2 - value))) AS base FROM obs GROUP BY loc),
 g AS (SELECT threshold, alpha, avg(rmse) AS pooled, avg(base) AS base, max(rmse - base) FILTER (loc = 'click') AS lead_delta, max(rmse - base) FILTER (loc <> 'click') AS worst_other FROM t JOIN b USING (loc) GROUP BY ALL)
-SELECT threshold, alpha, round(pooled, 5) AS pooled, round(lead_delta, 5) AS lead_delta, round(worst_other, 5) AS worst_other, coalesce(lead_delta <= -0.01e0 AND worst_other <= 1e0 AND pooled <= base, false) AS passes FROM g"""
+SELECT threshold, alpha, round(pooled, 5) AS pooled, round(lead_delta, 5) + 0e0 AS lead_delta, round(worst_other, 5) + 0e0 AS worst_other, coalesce(lead_delta <= -0.01e0 AND worst_other <= 1e0 AND pooled <= base, false) AS passes FROM g"""
 
 
 @query(f"WITH {OBS}, {ACCEPT}")

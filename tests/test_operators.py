@@ -187,6 +187,14 @@ def test_mlp_learns_and_repeats(spark):
     assert scored < 0.1 * y.var()
 
 
+def test_fits_are_bounded(spark):
+    """Of each role at most rows rows, those with the smallest hashes."""
+    rows = spark.range(50).select(F.lit(0).alias("fold_id"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("role"), F.array(F.col("id").cast("double")).alias("x"), F.col("id").cast("double").alias("y"))
+    model = mlp.fit_folds(rows, mlp.MlpSettings(hidden=(2,), epochs=1, rows=7)).collect()[0]
+    chosen = rows.filter("role = 'train'").orderBy(F.xxhash64("x", "y"), "y").limit(7).collect()
+    assert model["mean"][0] == pytest.approx(sum(r["y"] for r in chosen) / 7)
+
+
 def test_nearest_instant(spark):
     targets = spark.createDataFrame([(1, at(10)), (2, at(1000)), (3, at(25))], "id int, at timestamp_ntz")
     seen = spark.createDataFrame([(at(5),), (at(15),), (at(40),), (at(40),)], "ts timestamp_ntz")
