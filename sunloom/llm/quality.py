@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import BLANK, let
 
 SYMBOLS = "#*$%&|<>"
+#: A power of two: hashes of windows are made by doubling.
 WINDOW = 8
 
 
@@ -73,23 +74,33 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(sorted_pairs, covered)).otherwise(F.lit(0).cast("long"))
 
 
+def _doubled(hashes: Column, span: int) -> Column:
+    """Hashes of twice as many words, from those of span words at each place; the last places lack words and mean nothing."""
+    return F.zip_with(hashes, F.slice(hashes, F.lit(span + 1), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with MEASURES, all long; a null text counts as empty. Input columns of these names are replaced."""
     kept = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(kept, f"{BLANK}+"), lambda w: w != "")
-    # hash of each word, then of each window of word hashes
-    out = df.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
-    size = F.size("__hashes")
-    windows = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), size - WINDOW + 1), lambda i: F.xxhash64(F.slice("__hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumns({"__windows": windows, "__lines": F.filter(F.split(kept, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))})
+    out = df.withColumn("__words", F.array_remove(F.split(kept, f"{BLANK}+"), ""))
+    # a column for every step: what a later one uses twice is evaluated once
+    out = out.withColumn("__windows", F.transform("__words", lambda w: F.xxhash64(w)))
+    span = 1
+    while span < WINDOW:
+        out, span = out.withColumn("__windows", _doubled(F.col("__windows"), span)), 2 * span
+    size = F.size("__words")
+    out = out.withColumns({
+        "__windows": F.slice("__windows", F.lit(1), F.greatest(size - WINDOW + 1, F.lit(0))),
+        "__lines": F.filter(F.split(kept, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))),
+    })
     return out.withColumns({
         "n_words": size.cast("long"),
-        "word_chars": F.length(F.translate(kept, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(kept) - F.length(F.translate(kept, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": F.regexp_count(kept, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_lines": F.size("__lines").cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": _repeat_words(F.col("__windows")),
-    }).drop("__hashes", "__windows", "__lines")
+    }).drop("__words", "__windows", "__lines")
 
 
 def ledger(df: DataFrame, text: str = "text", rules: Sequence[QualityRule] = RULES) -> DataFrame:
