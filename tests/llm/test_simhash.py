@@ -143,6 +143,23 @@ def test_near_copies_in_chunks(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+@pytest.mark.parametrize("changed,chunk", [([7, 8], 2048), ([9, 10], 2048), ([9, 10], 60)])
+def test_near_copies_of_groups_around_the_threshold(spark, changed, chunk):
+    """Hundreds of variants of one text at 0.75 to 0.85: a pair that is settled as no link must not cost others theirs."""
+    rng = random.Random(17)
+    base, rows = rng.choices([f"w{i}" for i in range(3000)], k=600), []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(600), rng.choice(changed)):
+            words[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [(i, shingles(t)) for i, t in rows]
+    want = brute_components(sets, lambda a, b: overlap(a[1], b[1]) >= 0.8)
+    assert len(set(want)) < 200 and any(overlap(a, sets[0][1]) < 0.8 for _, a in sets)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()}
+    assert [got[i] for i in range(200)] == want
+
+
 def test_drop_near_copies_hard(hard, nothing):
     kept = nearcopies.drop_near_copies(hard)
     assert kept.columns == hard.columns
