@@ -325,5 +325,5 @@ def mlp_loso(spark, d) -> DataFrame:
     rows = folds.leave_one_out(o, _folds(o), "loc", ["ts", "event_id"])
     train = folds.oversample(rows, (F.col("role") == "train") & (F.col("y") > 0.85), 4)
     models = mlp.fit_folds(train, mlp.MlpSettings(hidden=(16, 16), epochs=20, dropout=0.0))
-    scored = mlp.score(o, models)
+    scored = mlp.score_held(rows, models)
     return _rounded(metrics.error_table(scored, ["loc"], "y", "guess"))

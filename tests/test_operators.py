@@ -187,6 +187,29 @@ def test_mlp_learns_and_repeats(spark):
     assert scored < 0.1 * y.var()
 
 
+def test_held_rows_are_scored_by_their_own_fold(spark):
+    """Models that give 1 and 5 + x: every fold's rows of role test get that fold's output, all others none."""
+    models = spark.createDataFrame([(0, [1, 1], [0.0, 1.0], [0.0], [1.0], 1, 0.0), (1, [1, 1], [1.0, 5.0], [0.0], [1.0], 1, 0.0)], mlp.WEIGHTS)
+    rows = spark.createDataFrame([(k, loc, role, [x]) for k in (0, 1, 2) for loc, role, x in (("a", "test", 2.0), ("b", "train", 3.0), ("c", "val", 4.0), ("d", "test", None))], "fold_id int, loc string, role string, x array<double>")
+    got = {(r["fold_id"], r["loc"]): r["guess"] for r in mlp.score_held(rows, models).collect()}
+    assert got == {(0, "a"): 1, (0, "d"): 1, (1, "a"): 7, (1, "d"): 5, (2, "a"): None, (2, "d"): None}
+
+
+def test_mlp_loso_judges_a_location_by_models_that_did_not_see_it(spark, monkeypatch):
+    """Each fold's model gives its own fold_id: the query's errors are those of the location's own fold."""
+    from sunloom.plans import fields
+
+    def constant(rows, settings):
+        return rows.select("fold_id").distinct().select("fold_id", F.array(F.lit(4), F.lit(1)).alias("sizes"), F.array(*[F.lit(0.0)] * 4, F.col("fold_id").cast("double")).alias("weights"), F.array(*[F.lit(0.0)] * 4).alias("mean"), F.array(*[F.lit(1.0)] * 4).alias("std"))
+
+    monkeypatch.setattr(mlp, "fit_folds", constant)
+    o = fields.observations(spark, "/root/testdata/sf0.001")
+    want = fields._folds(o).join(o, F.col("held") == F.col("loc")).withColumns({"y": F.least("raw", F.lit(1.3)), "guess": F.col("fold_id").cast("double")})
+    want = fields._rounded(metrics.error_table(want, ["loc"], "y", "guess"))
+    got = fields.mlp_loso(spark, "/root/testdata/sf0.001")
+    assert want.count() > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_fits_are_bounded(spark):
     """Of each role at most rows rows, those with the smallest hashes."""
     rows = spark.range(50).select(F.lit(0).alias("fold_id"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("role"), F.array(F.col("id").cast("double")).alias("x"), F.col("id").cast("double").alias("y"))
