@@ -1,8 +1,9 @@
 """Media columns: TIFF.
 
 ``read_tiff`` walks the image directories of a binary column, decodes uncompressed, PackBits, LZW and deflate strips
-and tiles, undoes the horizontal predictor and emits one row per page. ``write_tiff`` stores bytes as RGB pages of 8-bit
-samples. Files are handled row by row; a damaged file gives one row with its error.
+and tiles of 1-, 2-, 4-, 8-, 16- or 32-bit samples, undoes the horizontal and the floating-point predictor and emits one
+row per page. ``write_tiff`` stores bytes as RGB pages of 8-bit samples. Files are handled row by row; a page that is
+damaged or not read gives a row with its error, as does a damaged file.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import map_rows
 # Fixed values of the format: field types' sizes and struct codes, and tag numbers.
 TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 13: (4, "I")}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 266, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 
@@ -109,48 +110,100 @@ def _inflate(data: bytes) -> bytes:
 DECODERS = {NONE: bytes, LZW: unpack_lzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
 
 
-def directories(data: bytes) -> list[dict[int, tuple]]:
-    """The tags of every image directory, in order."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+def _tags(data: bytes, order: str, at: int, n: int) -> dict[int, tuple]:
+    """The n tags of the directory at an offset."""
+    tags = {}
+    for i in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        if kind in TYPES:
+            size, code = TYPES[kind]
+            place = at + 10 + 12 * i
+            if size * count > 4:
+                place = struct.unpack_from(order + "I", data, place)[0]
+            if size * count > len(data):
+                raise TiffError(f"tag {tag} is longer than the file")
+            try:
+                tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
+            except struct.error:
+                raise TiffError(f"tag {tag} lies outside the file") from None
+    return tags
+
+
+def walk(data: bytes) -> list[dict[int, tuple] | TiffError]:
+    """The tags of every image directory, in order, or what is wrong with it; one outside the file is the last.
+
+    Without a first directory, and where directories form a loop, the file is in error.
+    """
+    order, found, seen = {b"II": "<", b"MM": ">"}.get(data[:2]), [], set()
     try:
         if not order or struct.unpack_from(order + "H", data, 2)[0] != 42:
             raise TiffError("not a TIFF header")
-        found, seen = [], set()
         at = struct.unpack_from(order + "I", data, 4)[0]
         while at:
             if at in seen:
                 raise TiffError("the image directories form a loop")
             seen.add(at)
-            n, tags = struct.unpack_from(order + "H", data, at)[0], {}
-            for i in range(n):
-                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-                if kind in TYPES:
-                    size, code = TYPES[kind]
-                    place = at + 10 + 12 * i
-                    if size * count > 4:
-                        place = struct.unpack_from(order + "I", data, place)[0]
-                    if size * count > len(data):
-                        raise TiffError(f"tag {tag} is longer than the file")
-                    tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
-            found.append(tags)
-            at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+            n = struct.unpack_from(order + "H", data, at)[0]
+            after = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+            try:
+                found.append(_tags(data, order, at, n))
+            except TiffError as e:
+                found.append(e)
+            at = after
     except struct.error:
-        raise TiffError("a directory lies outside the file") from None
+        found.append(TiffError("a directory lies outside the file"))
+        if len(found) == 1:
+            raise found[0] from None
     if not found:
         raise TiffError("no image directory")
     return found
 
 
+def directories(data: bytes) -> list[dict[int, tuple]]:
+    """The tags of every image directory, in order; an error if any has one."""
+    found = walk(data)
+    for tags in found:
+        if isinstance(tags, TiffError):
+            raise tags
+    return found
+
+
+#: Bytes with their bits in reverse, for fill order 2.
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _samples(raw: bytes, rows: int, wide: int, deep: int, bits: int, predictor: int, kind: np.dtype) -> np.ndarray:
+    """(rows, wide, deep) of a decoded strip or tile; rows of samples under a byte are filled up to whole bytes."""
+    line = -(-wide * deep * bits // 8)
+    if len(raw) < rows * line:
+        raise TiffError("a strip or tile ends early")
+    lines = np.frombuffer(raw, "u1", rows * line).reshape(rows, line)
+    if bits < 8:
+        spread = np.unpackbits(lines, axis=1)[:, : wide * deep * bits].reshape(rows, wide, deep, bits)
+        return (spread << np.arange(bits - 1, -1, -1, dtype="u1")).sum(axis=3, dtype="u1")
+    if predictor == 3:
+        # differences of bytes, one pixel's samples apart, over planes of bytes from the most to the least significant
+        planes = np.cumsum(lines.reshape(rows, -1, deep), axis=1, dtype="u1").reshape(rows, bits // 8, wide * deep)
+        values = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{bits // 8}")
+        return values.reshape(rows, wide, deep).astype(kind)
+    block = np.frombuffer(raw, kind, rows * wide * deep).reshape(rows, wide, deep)
+    return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")).astype(kind) if predictor == 2 else block
+
+
 def decode_page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
-    """What the page's tags say, and its samples: row by row, the samples of a pixel side by side."""
+    """What the page's tags say, and its samples: row by row, the samples of a pixel side by side.
+
+    A sample under 8 bits is a byte; others are in the file's byte order.
+    """
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
     bits, compression, predictor = set(tags.get(BITS, (1,))), one(COMPRESSION, NONE), one(PREDICTOR, 1)
     if not width or not height:
         raise TiffError("a page without size")
-    if bits not in ({8}, {16}) or compression not in DECODERS or predictor not in (1, 2) or planar not in (1, 2):
+    known = len(bits) == 1 and bits <= {1, 2, 4, 8, 16, 32} and compression in DECODERS and planar in (1, 2)
+    if not known or predictor not in (1, 2, 3) or predictor == 2 and min(bits) < 8 or predictor == 3 and min(bits) < 16:
         raise TiffError(f"not read: bits {sorted(bits)}, compression {compression}, predictor {predictor}, planar {planar}")
-    kind = np.dtype("u1") if bits == {8} else np.dtype(("<" if data[:2] == b"II" else ">") + "u2")
+    kind = np.dtype(("<" if data[:2] == b"II" else ">") + f"u{max(1, min(bits) // 8)}")
     tiled = TILE_OFFSETS in tags
     offsets, sizes = (tags.get(TILE_OFFSETS), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_BYTES))
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
@@ -165,13 +218,9 @@ def decode_page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
         plane, rest = divmod(k, across * down)
         y, x = (v * s for v, s in zip(divmod(rest, across), (bh, bw)))
         rows = bh if tiled else min(bh, height - y)
-        raw = DECODERS[compression](data[offsets[k] : offsets[k] + sizes[k]])
-        need = rows * bw * deep * kind.itemsize
-        if len(raw) < need:
-            raise TiffError("a strip or tile ends early")
-        block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
+        stored = data[offsets[k] : offsets[k] + sizes[k]]
+        raw = DECODERS[compression](stored.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else stored)
+        block = _samples(raw, rows, bw, deep, min(bits), predictor, kind)
         part = block[: height - y, : width - x]
         page[y : y + part.shape[0], x : x + part.shape[1], plane : plane + deep] = part
     return {"width": width, "height": height, "samples": samples, "bits": min(bits), "compression": compression, "predictor": predictor, "tiled": tiled}, page.tobytes()
@@ -247,8 +296,8 @@ PAGE = "page int, width int, height int, samples int, bits int, compression int,
 def read_tiff(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """A row for every page of every file: key, PAGE's columns.
 
-    data: the page's samples, row by row. A null or damaged file gives one row of page null with its error; pages before
-    a damaged one are given. Repeated rows stay repeated; other columns are dropped; an empty table gives none.
+    data: the page's samples, row by row. A page that is damaged or not read gives a row of its number with its error, and
+    the pages after it are given; a null or damaged file gives one row of page null with its error. Repeated rows stay repeated; other columns are dropped; an empty table gives none.
     """
     names = ("width", "height", "samples", "bits", "compression", "predictor", "tiled")
 
@@ -257,11 +306,19 @@ def read_tiff(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
             try:
                 if data is None:
                     raise TiffError("no file")
-                for p, tags in enumerate(directories(data)):
-                    about, samples = decode_page(data, tags)
-                    yield k, p, *[about[n] for n in names], samples, feature(samples), None
+                found = walk(data)
             except TiffError as e:
                 yield k, None, *[None] * 9, str(e)
+                continue
+            for p, tags in enumerate(found):
+                try:
+                    if isinstance(tags, TiffError):
+                        raise tags
+                    about, samples = decode_page(data, tags)
+                except TiffError as e:
+                    yield k, p, *[None] * 9, str(e)
+                else:
+                    yield k, p, *[about[n] for n in names], samples, feature(samples), None
 
     return map_rows(df.withColumns({"__key": F.col(key), "__media": F.col(media)}), ["__key", "__media"], f"{key} {dict(df.dtypes)[key]}, {PAGE}", body)
 

@@ -369,6 +369,60 @@ def test_read_tiff(spark):
     assert tiff.read_tiff(frame.limit(0)).count() == 0
 
 
+def with_tags(data, changes, page=0):
+    """data (little-endian) with the one-valued tags of a page set to other values."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    for _ in range(page):
+        (at,) = struct.unpack_from("<I", out, at + 2 + 12 * struct.unpack_from("<H", out, at)[0])
+    for place in range(at + 2, at + 2 + 12 * struct.unpack_from("<H", out, at)[0], 12):
+        if (tag := struct.unpack_from("<H", out, place)[0]) in changes:
+            struct.pack_into("<I", out, place + 8, changes[tag])
+    return bytes(out)
+
+
+def test_read_tiff_goes_on_after_a_bad_page(spark):
+    pages = [(np.full((2, 3, 1), i, "u1"), 1, 1, 1, 2) for i in range(3)]
+    data = make(pages)
+    cases = [with_tags(data, {259: 7}), with_tags(data, {257: 9}), with_tags(data, {273: 10**6}), with_tags(with_tags(data, {258: 12}), {259: 4}, 1)]
+    got = tiff.read_tiff(spark.createDataFrame(list(enumerate(cases)), "doc_id long, media binary")).collect()
+    errors = {(r["doc_id"], r["page"]) for r in got if r["error"]}
+    assert errors == {(0, 0), (1, 0), (2, 0), (3, 0), (3, 1)}
+    assert sorted((r["doc_id"], r["page"], bytes(r["data"])) for r in got if not r["error"]) == [(k, p, bytes([p]) * 6) for k in range(4) for p in range(3) if (k, p) not in errors]
+
+
+@pytest.mark.parametrize("compression", sorted(COMPRESS))
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_tiff_samples_under_a_byte(bits, compression):
+    """Rows are filled up to whole bytes, the first sample in the high bits."""
+    want = np.random.default_rng(bits).integers(0, 1 << bits, (11, 21)).astype("u1")
+    text = ["".join(f"{v:0{bits}b}" for v in row) for row in want]
+    packed = np.array([[int(t.ljust(-(-len(t) // 8) * 8, "0")[i : i + 8], 2) for i in range(0, len(t), 8)] for t in text], "u1")
+    data = with_tags(make([(packed[:, :, None], compression, 1, 1, 4)]), {256: 21, 258: bits})
+    about, samples = tiff.decode_page(data, tiff.directories(data)[0])
+    assert samples == want.tobytes() and about["bits"] == bits
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_32_bits_and_floating_point_predictor(order):
+    rng = np.random.default_rng(3)
+    deep = rng.integers(0, 1 << 32, (9, 7, 2), dtype="u4")
+    data = make([(deep, 1, predictor, 1, block) for predictor in (1, 2) for block in (4, (16, 16))], order)
+    for tags in tiff.directories(data):
+        assert tiff.decode_page(data, tags)[1] == deep.astype(order + "u4").tobytes()
+    # one strip of float rows by hand: byte planes, high bytes first, as differences one pixel's samples apart
+    for kind, samples in (("f4", 1), ("f4", 3), ("f2", 1)):
+        values, size = rng.normal(size=(5, 6, samples)).astype(kind), int(kind[1])
+        strip = b""
+        for row in values:
+            planes = row.astype(">" + kind).tobytes()
+            line = [planes[i * size + b] for b in range(size) for i in range(6 * samples)]
+            strip += bytes((v - (line[i - samples] if i >= samples else 0)) % 256 for i, v in enumerate(line))
+        tags = {256: (6,), 257: (5,), 258: (8 * size,) * samples, 259: (1,), 277: (samples,), 317: (3,), 273: (8,), 279: (len(strip),)}
+        data = (b"II" if order == "<" else b"MM") + b"\0" * 6 + strip
+        assert tiff.decode_page(data, tags)[1] == values.astype(order + kind).tobytes()
+
+
 def test_op6_digests(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = tiff.op6_media_tiff(spark, SMALL).collect()
