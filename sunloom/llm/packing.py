@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterable
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_rows
+from .common import checkpoint_folder, map_rows
 
 LENGTH, END = 2048, 1
 GROUP_PIECES = 20_000
@@ -76,8 +77,10 @@ class ByteBpe:
         return chunk(first) + b"".join([chunk(" " + w) for w in rest])
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """key, start, length, doc_tokens, ids_crc32 and, if wanted, ids (array of int) of every piece of every row.
+def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = True, as_bytes: bool = False) -> DataFrame:
+    """key, start, length, doc_tokens, ids_crc32 and, if wanted, ids of every piece of every row.
+
+    ids are an array of int, or little-endian unsigned 32-bit bytes if as_bytes is set.
 
     A null text counts as empty: its document is END alone. Repeated rows give repeated pieces; other columns are dropped;
     an empty table gives none. tokenizer: path of a byte-level BPE file, the same on every executor.
@@ -89,9 +92,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
             ids = bpe.ids(t or "") + end
             for at in range(0, len(ids), 4 * length):
                 piece = ids[at : at + 4 * length]
-                yield (k, at // 4, len(piece) // 4, len(ids) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<u4")] if with_ids else []))
+                yield (k, at // 4, len(piece) // 4, len(ids) // 4, zlib.crc32(piece), *([piece if as_bytes else np.frombuffer(piece, "<u4")] if with_ids else []))
 
-    schema = f"{key} {dict(docs.dtypes)[key]}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    schema = f"{key} {dict(docs.dtypes)[key]}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + f", ids {'binary' if as_bytes else 'array<int>'}" * with_ids
     return map_rows(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), ["__key", "__text"], schema, body, lambda: ByteBpe(tokenizer))
 
 
@@ -130,20 +133,22 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
     Columns of these names are replaced, all others kept. Ties and repeated pieces are pieces of their own; an empty
     table gives none; a length below 1 or above length raises.
     """
-    numbered = durable(pieces)
-    n = numbered.count()
-    groups = max(1, -(-n // GROUP_PIECES))
     # the number within the written table spreads even pieces that agree in everything
-    rows = numbered.withColumn("__row", F.monotonically_increasing_id())
-    rows = rows.withColumn("__group", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(groups)).cast("long"))
-    schema = rows.select(*pieces.columns, "__group").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).drop("__group").schema
+    table = f"{checkpoint_folder(pieces.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    pieces.withColumn("__row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(table)
+    numbered = pieces.sparkSession.read.parquet(table)
+    groups = max(1, -(-numbered.count() // GROUP_PIECES))
+    # lengths alone are packed, so that a group's memory has no part of the ids; each piece is then met with its place
+    rows = numbered.select("__row", "length", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(groups)).cast("long").alias("__group"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__row")
         bins, offsets = first_fit_decreasing(group["length"], length)
-        return group.assign(sequence_id=(group["__group"].to_numpy() << 32) + bins, offset=offsets)[schema.names]
+        return group.assign(sequence_id=(group["__group"].to_numpy() << 32) + bins, offset=offsets)[["__row", "sequence_id", "offset"]]
 
-    return rows.groupBy("__group").applyInPandas(fill, schema)
+    places = rows.groupBy("__group").applyInPandas(fill, "__row bigint, sequence_id bigint, offset bigint")
+    names = [*pieces.columns, *(c for c in ("sequence_id", "offset") if c not in pieces.columns)]
+    return numbered.drop("sequence_id", "offset").join(places, "__row").select(*names)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -154,5 +159,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op2_pack(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    packed = pack(tokenize_pieces(docs, tokenizer_path(), with_ids=False))
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = pack(tokenize_pieces(docs, tokenizer_path(), as_bytes=True))
+    # what the packed ids are, not what the tokenizer said of them
+    found = {"length": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")}
+    return packed.withColumns(found).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

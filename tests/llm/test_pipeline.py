@@ -64,6 +64,24 @@ def test_stages_take_hard_rows(spark, table, request):
     assert (out.count() > 0) == (table == "hard")
 
 
+def test_packed_rows_hold_the_ids(spark):
+    """Each document's ids, put together again from the sequences they were packed into, are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(300).localCheckpoint()
+    rows = corpus_pipeline.stage_pack(spark, docs, SMALL).collect()
+    sequences, found = {}, {}
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        sequences.setdefault(r["sequence_id"], np.zeros(packing.LENGTH, "<u4"))[r["offset"] : r["offset"] + r["length"]] = ids
+    for r in sorted(rows, key=lambda r: r["start"]):
+        found.setdefault(r["doc_id"], []).extend(sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tolist())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = {d["doc_id"]: [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, packing.END] for d in docs.collect()}
+    assert found == want
+
+
 def test_redaction_leaves_no_base_secret(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
