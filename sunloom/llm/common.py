@@ -28,10 +28,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one is made only where none is set, as in local tests."""
+    """The session's checkpoint folder, which driver and executors share.
+
+    Where none is set, a session in local mode gets one of its own; on a cluster this raises, as a driver's disk is not shared.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 

@@ -10,9 +10,9 @@ Single bytes would make posting lists that grow with the input (1 in 256 of all)
 2^32 of what is unrelated. For smaller d, d + 1 equal shares of the positions do.
 
 What could be hot is not: equal fingerprints are one node before the index; within a posting list only a spanning
-forest of the links leaves the task, not the pairs; lists of more than CHUNK nodes are cut into chunks and every pair of
-chunks is a task of its own, so no link is lost and no task holds more than two chunks. Links become components by
-alternating star contractions, each written to the checkpoint folder.
+forest of the links leaves the task, not the pairs; lists of more than CHUNK nodes are cut into chunks that share leaders,
+and only what their links leave apart is met chunk by chunk (postings.py), so no link is lost and no task holds more than
+two chunks. Links become components by alternating star contractions, each written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_rows
+from .postings import MOST_BROADCAST, deal_chunks, deal_rest, small, spread_join
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 CHUNK = 8192
@@ -146,37 +147,53 @@ def _links(batches: Iterator, max_bits: int) -> Iterator:
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) of distinct fingerprints (column fp): a spanning forest per posting list of the pairs that link."""
+    """(a, b) of distinct fingerprints (column fp): spanning forests of the posting lists' pairs that link.
+
+    Lists of more than chunk nodes are dealt as postings.py describes, and met again where their first links leave several
+    components.
+    """
+    names = ["set", "bytes"]
     postings = nodes.select("fp", F.explode(posting_keys(F.col("fp"), max_bits)).alias("key")).select("fp", "key.set", "key.bytes")
-    lists = postings.groupBy("set", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = postings.join(lists, ["set", "bytes"])
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = dealt.withColumns({"chunks": chunks, "mine": F.pmod(F.xxhash64("fp"), chunks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = dealt.select("set", "bytes", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
-    keys = ["set", "bytes", "x", "y"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _links(batches, max_bits), "a bigint, b bigint").distinct()
+    lists = durable(postings.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1"))
+    long = lists.filter(F.col("n") > chunk)
+
+    def solve(dealt: DataFrame) -> DataFrame:
+        keys = [*names, "x", "y"]
+        return dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _links(batches, max_bits), "a bigint, b bigint").distinct()
+
+    found = solve(deal_chunks(postings, lists, long, names, "fp", chunk).withColumn("y", F.col("x")))
+    if long.isEmpty():
+        return found
+    found = durable(found)
+    roots = components(found).withColumnRenamed("node", "fp")
+    members = postings.join(small(long.select(*names)), names).join(roots, "fp", "left")
+    members = members.select(*names, "fp", F.coalesce("root", "fp").alias("root"), F.lit(1.0 / chunk).alias("weight"))
+    return found.unionByName(solve(deal_rest(durable(members), names, "fp"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node that it reaches.
+    """(node, root) for every node of edges (a, b) but the roots: root is the smallest node that it reaches.
 
     Large-star and small-star contractions in turn, until the edges stay the same: every node's star then hangs from its
-    component's smallest node.
+    component's smallest node. Where there are more edges than one task should take (MOST_BROADCAST), those of one node are
+    spread over tasks to meet its least neighbour.
     """
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    met, state, n = spread_join, None, edges.count()
+    if n <= MOST_BROADCAST:
+        met = lambda rows, own, key, by: rows.join(own, key)
+    while n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = durable(small.filter("a <> b").distinct())
+        other = met(large, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = durable(other.filter("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
@@ -195,10 +212,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     fps = durable(map_rows(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), ["__key", "__text"], f"key {dict(docs.dtypes)[key]}, fp bigint", body))
     nodes = fps.groupBy("fp").agg(F.min("key").alias("first"))
     roots = components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    rooted = durable(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    named = spread_join(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root", "fp").select("fp", "component_id")
+    return spread_join(fps, named, "fp", "key").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

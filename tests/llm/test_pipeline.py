@@ -14,7 +14,7 @@ from sunloom.llm import mixing, packing, secrets
 from .conftest import SMALL
 from .test_packing_mixing import check_packing
 from .test_rows import brute_measures
-from .test_simhash import brute_components, overlap, shingles
+from .test_simhash import brute_components, overlap, parts
 
 
 def clean(text):
@@ -38,7 +38,7 @@ def test_run_equals_plain_stages(spark):
     docs = [r.asDict() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     kept = [d for d in docs if clean(d["text"])]
     assert 0 < len(kept) < len(docs)
-    classes = brute_components([(d["doc_id"], shingles(d["text"])) for d in kept], lambda a, b: overlap(a[1], b[1]) >= 0.8)
+    classes = brute_components([(d["doc_id"], parts(d["text"])) for d in kept], lambda a, b: overlap(a[1], b[1]) >= 0.8)
     single = [d for d, c in zip(kept, classes) if d["doc_id"] == c]
     assert len(single) < len(kept)
     redacted = [d | {"text": secrets.redact(d["text"], secrets.find_secrets(d["text"]))} for d in single]
@@ -68,7 +68,7 @@ def test_packed_rows_hold_the_ids(spark):
     """Each document's ids, put together again from the sequences they were packed into, are the tokenizer's."""
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(300).localCheckpoint()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(300)
     rows = corpus_pipeline.stage_pack(spark, docs, SMALL).collect()
     sequences, found = {}, {}
     for r in rows:
