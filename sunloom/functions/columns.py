@@ -97,6 +97,18 @@ def parse_mixed(text: Column, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def from_parts(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
+    """Instant without zone of calendar parts; null where a part is null or they name no instant."""
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    text = F.concat(F.lpad(year.cast("int").cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), two(hour), F.lit(":"), two(minute))
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+
+
+def any_value(columns: list[str]) -> Column:
+    """True for rows that have a value in one of the columns at least."""
+    return F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
+
+
 def haurwitz(cos_zenith: Column) -> Column:
     """Closed-form clear-sky irradiance; a labelled stand-in where a turbidity-based one is not given."""
     return F.when(cos_zenith > num(0), num(1098) * cos_zenith * F.exp(num(-0.057) / cos_zenith)).when(cos_zenith.isNotNull(), num(0))

@@ -139,11 +139,29 @@ def every_nth(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) ->
     return numbered(df, by, order).filter((F.col("__n") - 1) % n == 0).drop("__n", "__total")
 
 
-def history_best(df: DataFrame, by: Sequence[str], loss: str, epoch: str, tolerance: float = 1e-6) -> DataFrame:
-    """df with best (running minimum of loss) and improved (below the best before by more than tolerance); a history is as long as its epochs."""
-    w = by_time(by, epoch)
-    before = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumns({"best": F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0)), "improved": F.coalesce(F.col(loss) < before - tolerance, F.lit(True))})
+def history_best(df: DataFrame, by: Sequence[str], loss: str, epoch: str, tolerance: float = 1e-6, patience: int = 20) -> DataFrame:
+    """df with best (the loss accepted last), improved (this row's is accepted), waited (rows since) and stopped.
+
+    A loss is accepted if it is below the one accepted last by more than tolerance; a null loss is not. stopped: waited has
+    come to patience at this row or an earlier one. A history is folded as one array: it is as long as its epochs.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(False).alias("improved"), F.lit(0).alias("waited"), F.lit(False).alias("stopped"))
+
+    def step(state: Column, row: Column) -> Column:
+        value = row[loss].cast("double")
+        better = F.coalesce(F.when(state["best"].isNull(), value.isNotNull()).otherwise(value < state["best"] - F.lit(tolerance)), F.lit(False))
+        waited = F.when(better, 0).otherwise(state["waited"] + 1)
+        return F.struct(F.when(better, value).otherwise(state["best"]).alias("best"), better.alias("improved"), waited.alias("waited"), (state["stopped"] | (waited >= patience)).alias("stopped"))
+
+    others = [c for c in df.columns if c not in by]
+    histories = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(epoch, *[c for c in others if c != epoch]))).alias("rows"))
+    # each step keeps its state beside the row, so that one pass gives every prefix
+    grow = lambda acc, row: F.struct(step(acc["state"], row).alias("state"), F.concat(acc["found"], F.array(F.struct(row.alias("row"), step(acc["state"], row).alias("state")))).alias("found"))
+    shape = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in histories.schema["rows"].dataType.elementType.fields)
+    empty = F.array().cast(f"array<struct<row: struct<{shape}>, state: struct<best: double, improved: boolean, waited: int, stopped: boolean>>>")
+    folded = histories.withColumn("found", F.aggregate("rows", F.struct(start.alias("state"), empty.alias("found")), grow)["found"])
+    out = folded.select(*by, F.explode("found").alias("f"))
+    return out.select(*by, *[F.col(f"f.row.{c}").alias(c) for c in others], "f.state.best", "f.state.improved", "f.state.waited", "f.state.stopped")
 
 
 def splice(sources: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:

@@ -1,18 +1,21 @@
 """Spatial operators on location tables (id, lat, lon): distances, nearest, inverse distance, knots and basis, pixels.
 
-Location tables are dimensions: sites, stations, grid points. The pairs of targets and sources are their product, and are
-what inverse distance weighs; both sides are checked before a product is built or broadcast (MAX_PAIRS). The basis has
-compact support and needs no product: targets and knots meet in cells as wide as the support.
+The pairs of targets and sources that inverse distance weighs are their product, by definition. Sources are counted: up to
+MAX_SOURCES they are broadcast, beyond that targets and sources meet in blocks by an equi join, each task one part of the
+targets and one block of the sources. The nearest source needs no product: both meet in cells that widen until the best
+distance is proven. The basis has compact support: targets and knots meet in cells as wide as the support.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KM_PER_LAT, KM_PER_LON, km_apart, num, snap_index, wendland
+from ..sources.staging import durable
 
 MAX_SOURCES = 100_000
 # Spacing of the knot levels in kilometres; a basis function reaches 2.5 spacings.
@@ -21,23 +24,88 @@ REACH = 2.5
 PIXEL_LAT, PIXEL_LON = 2.0 / KM_PER_LAT, 2.0 / KM_PER_LON
 
 
-def pairs(targets: DataFrame, sources: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """target, source, km of every target with every source: a bounded dimension product, sources counted first."""
-    if (n := sources.count()) > MAX_SOURCES:
-        raise ValueError(f"{n} sources; a product takes {MAX_SOURCES} at most")
+def _sides(targets: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = targets.select(F.col("id").alias("target"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    s = sources.select(F.col("id").alias("source"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    met = t.join(F.broadcast(s), F.col("target") != F.col("source")) if exclude_self else t.crossJoin(F.broadcast(s))
-    return met.select("target", "source", km_apart(F.col("tlat"), F.col("tlon"), F.col("slat"), F.col("slon")).alias("km"))
+    return t, sources.select(F.col("id").alias("source"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
 
 
-def nearest(met: DataFrame) -> DataFrame:
-    """The nearest source of each target, the smallest id of several."""
-    return met.groupBy("target").agg(F.min(F.struct("km", "source")).alias("best")).select("target", "best.source", "best.km")
+_KM = lambda: km_apart(F.col("tlat"), F.col("tlon"), F.col("slat"), F.col("slon"))
+
+
+def pairs(targets: DataFrame, sources: DataFrame, exclude_self: bool = False, most: int = MAX_SOURCES, parts: int = 64) -> DataFrame:
+    """target, source, km of every target with every source.
+
+    Up to ``most`` sources are broadcast; more are dealt as blocks of that size, the targets as ``parts`` parts, and every
+    part meets every block by an equi join.
+    """
+    t, s = _sides(targets, sources)
+    n = sources.count()
+    if n <= most:
+        met = t.crossJoin(F.broadcast(s))
+    else:
+        blocks = -(-n // most)
+        t = t.withColumns({"part": F.pmod(F.xxhash64("target"), parts), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
+        s = s.withColumns({"block": F.pmod(F.xxhash64("source"), blocks), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))})
+        met = t.join(s, ["part", "block"])
+    met = met.filter(F.col("target") != F.col("source")) if exclude_self else met
+    return met.select("target", "source", _KM().alias("km"))
+
+
+def nearest(targets: DataFrame, sources: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """target, source, km: the nearest source of each target, the smallest id of several; no row where there is none.
+
+    Targets look for sources in their own cell and the eight around it. A source nearer than a cell's width is the nearest
+    there is; targets without one look again in cells four times as wide, so the rounds are the logarithm of the extent. The
+    first width is that at which the sources, spread evenly, would be two a cell. Places without coordinates are left out.
+    """
+    t, s = _sides(targets.dropna(subset=["lat", "lon"]), sources.dropna(subset=["lat", "lon"]))
+    about = s.agg(F.count("*").alias("n"), *[f(c).alias(k) for k, f, c in (("y0", F.min, "slat"), ("y1", F.max, "slat"), ("x0", F.min, "slon"), ("x1", F.max, "slon"))]).first()
+    if not about["n"]:
+        return t.crossJoin(s).select("target", "source", _KM().alias("km"))
+    high, wide = (about["y1"] - about["y0"]) * KM_PER_LAT, (about["x1"] - about["x0"]) * KM_PER_LON
+    size = max((2 * max(high, 1e-3) * max(wide, 1e-3) / about["n"]) ** 0.5, 1e-3)
+    bounds = t.agg(F.min("tlat"), F.max("tlat"), F.min("tlon"), F.max("tlon")).first()
+    if bounds[0] is None:
+        return t.crossJoin(s).select("target", "source", _KM().alias("km"))
+    reach = (max(about["y1"], bounds[1]) - min(about["y0"], bounds[0])) * KM_PER_LAT + (max(about["x1"], bounds[3]) - min(about["x0"], bounds[2])) * KM_PER_LON
+    found, left = None, t
+    while True:
+        cell = lambda c, per, w=size: F.floor(c * num(per) / num(w))
+        own = s.withColumns({"cy": cell(F.col("slat"), KM_PER_LAT), "cx": cell(F.col("slon"), KM_PER_LON)})
+        around = left
+        for name, at, per in (("cy", "tlat", KM_PER_LAT), ("cx", "tlon", KM_PER_LON)):
+            around = around.withColumn(name, F.explode(F.array(*[cell(F.col(at), per) + k for k in (-1, 0, 1)])))
+        met = around.join(own, ["cy", "cx"])
+        met = met.filter(F.col("target") != F.col("source")) if exclude_self else met
+        best = met.groupBy("target").agg(F.min(F.struct(_KM().alias("km"), "source")).alias("best")).select("target", "best.source", "best.km")
+        last = size > 2 * reach  # the cells around a place hold everything
+        proven = best if last else best.filter(F.col("km") < num(size))
+        proven = durable(proven)
+        found = proven if found is None else found.unionByName(proven)
+        left = durable(left.join(proven.select("target"), "target", "left_anti"))
+        if last or left.isEmpty():
+            return found
+        size *= 4
+
+
+def inverse_distance(met: DataFrame, values: DataFrame, power: float = 2.0, coincident_km: float | None = 0.001, value: str = "value") -> DataFrame:
+    """target, value: the mean of the sources' values (source, value) weighed by km^-power; one aggregation over pairs.
+
+    A source within coincident_km gives the value alone, the nearest of several.
+    """
+    raw = F.pow("km", num(-power)) if power not in (1.0, 2.0) else num(1) / (F.col("km") if power == 1.0 else F.col("km") * F.col("km"))
+    near = F.lit(False) if coincident_km is None else F.col("km") < num(coincident_km)
+    rows = met.join(values.select("source", F.col(value).alias("__v")), "source").withColumn("__w", F.when(~near, raw))
+    sums = rows.groupBy("target").agg(F.min(F.struct("km", "source", "__v")).alias("best"), F.sum(F.col("__w") * F.col("__v")).alias("__wv"), F.sum("__w").alias("__w"))
+    at_source = F.lit(False) if coincident_km is None else F.col("best.km") < num(coincident_km)
+    return sums.select("target", F.when(at_source, F.col("best.__v")).otherwise(F.col("__wv") / F.col("__w")).alias(value))
 
 
 def idw_weights(met: DataFrame, power: float = 2.0, coincident_km: float | None = 0.001) -> DataFrame:
-    """target, source, weight: km^-power, summing to 1; a source within coincident_km takes all, the nearest of several."""
+    """target, source, weight: km^-power, summing to 1; a source within coincident_km takes all, the nearest of several.
+
+    For few sources (stations), whose weights are used for many instants; inverse_distance needs no weights.
+    """
     w = Window.partitionBy("target")
     raw = F.pow("km", num(-power)) if power not in (1.0, 2.0) else num(1) / (F.col("km") if power == 1.0 else F.col("km") * F.col("km"))
     if coincident_km is None:
@@ -108,18 +176,36 @@ def neighbours(pixel_table: DataFrame) -> DataFrame:
     return pixel_table.select("py", "px", F.explode(sides).alias("s")).select("py", "px", "s.side", (F.col("py") + F.col("s.dy")).alias("ny"), (F.col("px") + F.col("s.dx")).alias("nx"))
 
 
+def _toward(size: int, k: int) -> Column:
+    """A fixed unit vector of no particular direction, as an array literal."""
+    v = [math.sin(1.0 + (k + 2) * math.sqrt(2.0) * (i + 1) * (i + 3)) for i in range(size)]
+    norm = math.sqrt(sum(x * x for x in v))
+    return F.array(*[num(x / norm) for x in v])
+
+
 def near_duplicate_vectors(vectors: DataFrame, within: float, cell: float) -> DataFrame:
-    """a, b, distance: pairs of vectors (id, v) closer than within.
+    """a, b, distance: pairs of vectors (id, v), all of one length, closer than within.
 
-    Vectors are dealt to cells of their first two components, each to the cells within reach: those closer than within
-    share one. cell must be at least within.
+    Equal vectors are one: each is linked to the one with the smallest id, which meets other vectors for all. Vectors are
+    dealt by their shadows on two fixed directions to cells at least as wide as within; two that are closer share a cell
+    or stand in neighbouring ones. Ids alone are dealt, vectors join the pairs that are found.
     """
     if cell < within:
         raise ValueError("a cell is at least as wide as the distance")
-    at = lambda k: F.floor(F.get("v", F.lit(k)).cast("double") / num(cell))
-    own = vectors.withColumns({"c0": at(0), "c1": at(1)})
-    dealt = own.withColumn("c0", F.explode(F.array(*[F.col("c0") + k for k in (-1, 0, 1)]))).withColumn("c1", F.explode(F.array(*[F.col("c1") + k for k in (-1, 0, 1)])))
-    a, b = dealt.select(F.col("id").alias("a"), F.col("v").alias("va"), "c0", "c1"), own.select(F.col("id").alias("b"), F.col("v").alias("vb"), "c0", "c1")
-    far = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), num(0), lambda s, x: s + x))
-    return a.join(b, ["c0", "c1"]).filter("a < b").select("a", "b", far.alias("distance")).filter(F.col("distance") < num(within))
-
+    size = vectors.agg(F.max(F.size("v"))).first()[0]
+    if not size or size < 0:
+        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), num(0).alias("distance")).limit(0)
+    own = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+    firsts = own.groupBy("v").agg(F.min("id").alias("id"))
+    equal = own.join(firsts.select("v", F.col("id").alias("a")), "v").filter("a < id").select("a", F.col("id").alias("b"), num(0).alias("distance"))
+    shadow = lambda k: F.floor(F.aggregate(F.zip_with("v", _toward(size, k), lambda x, y: x * y), num(0), lambda s, x: s + x) / num(cell))
+    cells = firsts.select("id", shadow(0).alias("c0"), shadow(1).alias("c1"))
+    # the eight neighbours are met from one side only: five of nine cells
+    beside = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    dealt = cells.select("id", F.explode(beside).alias("d"), "c0", "c1").select(F.col("id").alias("i"), (F.col("c0") + F.col("d.y")).alias("c0"), (F.col("c1") + F.col("d.x")).alias("c1"), (F.col("d.y") == 0) & (F.col("d.x") == 0))
+    dealt = dealt.toDF("i", "c0", "c1", "same")
+    met = dealt.join(cells.withColumnRenamed("id", "j"), ["c0", "c1"]).filter("i < j OR NOT same").filter("i <> j")
+    met = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    met = met.join(firsts.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(firsts.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    far = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), num(0), lambda s, x: s + x))
+    return met.select("a", "b", far.alias("distance")).filter(F.col("distance") < num(within)).unionByName(equal)

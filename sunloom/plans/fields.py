@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, audit, folds, metrics, mlp, spatial
+from ..operators import align, audit, folds, metrics, mlp, scaling, spatial
 from .registry import KM, OBS, PLACES, observations, places, query, read
 
 MET = f"met AS (SELECT t.id AS target, s.id AS source, {KM} AS km FROM targets t CROSS JOIN sources s)"
@@ -16,7 +16,7 @@ DAY = "CAST(ts AS DATE)"
 
 @query(f"WITH {PLACES}, {MET}, best AS (SELECT target, min(struct_pack(km := km, source := source)) AS b FROM met GROUP BY target) SELECT target, b.source AS source, b.km AS km FROM best")
 def nearest_source(spark, d) -> DataFrame:
-    return spatial.nearest(spatial.pairs(places(spark, d, "customer"), places(spark, d, "supplier")))
+    return spatial.nearest(places(spark, d, "customer"), places(spark, d, "supplier"))
 
 
 @query(f"""WITH {PLACES}, {MET}, b AS (SELECT *, min(struct_pack(km := km, source := source)) OVER (PARTITION BY target) AS best FROM met),
@@ -24,9 +24,8 @@ r AS (SELECT *, CASE WHEN best.km < 1e-3 THEN CASE WHEN source = best.source THE
 w AS (SELECT target, source, raw / sum(raw) OVER (PARTITION BY target) AS weight FROM r)
 SELECT target, round(sum(weight * s_acctbal), 5) AS value FROM w JOIN supplier ON source = s_suppkey GROUP BY target""")
 def idw_p2(spark, d) -> DataFrame:
-    weights = spatial.idw_weights(spatial.pairs(places(spark, d, "customer"), places(spark, d, "supplier")))
     values = read(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_acctbal").alias("value"))
-    return spatial.apply_weights(weights, values, []).withColumn("value", F.round("value", 5))
+    return spatial.inverse_distance(spatial.pairs(places(spark, d, "customer"), places(spark, d, "supplier")), values).withColumn("value", F.round("value", 5))
 
 
 @query(f"""WITH {PLACES}, {OWN}, w AS (SELECT target, source, (1e0 / km) / sum(1e0 / km) OVER (PARTITION BY target) AS weight FROM met)
@@ -34,9 +33,8 @@ SELECT target, round(sum(weight * s_acctbal), 5) AS value FROM w JOIN supplier O
 def idw_p1_exclude_self(spark, d) -> DataFrame:
     """Distances of coincident places would divide by zero; these have none."""
     own = places(spark, d, "supplier")
-    weights = spatial.idw_weights(spatial.pairs(own, own, exclude_self=True), 1.0, None)
     values = read(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_acctbal").alias("value"))
-    return spatial.apply_weights(weights, values, []).withColumn("value", F.round("value", 5))
+    return spatial.inverse_distance(spatial.pairs(own, own, exclude_self=True), values, 1.0, None).withColumn("value", F.round("value", 5))
 
 
 LAT, LON = (46.56, 46.82), (-119.29, -119.05)
@@ -127,7 +125,7 @@ def day_regime(spark, d) -> DataFrame:
 
 FACTORS = """
 ratios AS (SELECT CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour, median(value / clear) AS ratio FROM obs WHERE value >= 5e1 AND clear >= 5e1 GROUP BY ALL),
-factors AS (SELECT month, hour, CASE WHEN hour BETWEEN 9 AND 17 THEN least(greatest(ratio, 0.5e0), 1.5e0) ELSE 1e0 END AS factor FROM ratios)"""
+factors AS (SELECT month, hour, CASE WHEN hour BETWEEN 9 AND 15 THEN least(greatest(ratio, 0.5e0), 1.5e0) ELSE 1e0 END AS factor FROM ratios)"""
 
 
 @query(f"WITH {OBS}, {FACTORS} SELECT * FROM factors")
@@ -221,25 +219,66 @@ def method_regime_pivot(spark, d) -> DataFrame:
     return table.groupBy("method").pivot("regime", list(metrics.REGIMES)).agg(F.max("rmse"))
 
 
-@query(f"""WITH {OBS}, regimes AS (SELECT loc, {DAY} AS day, stddev_samp(raw) AS spread FROM obs GROUP BY ALL),
-rows_ AS (SELECT obs.*, {REGIME.replace("0.1e0", "0.5e0").replace("0.2e0", "0.56e0")} AS regime FROM obs JOIN regimes ON obs.loc = regimes.loc AND {DAY} = regimes.day),
+THRESHOLDS, ALPHAS, LEAD = (200, 250, 300, 350, 400), (0.25, 0.5, 0.75, 1.0), "view"
+# the rule of a sweep, as SQL: below the threshold the index is replaced, everything is held within [0, 1.3]
+SWEEP = f"""
+WITH {OBS}, regimes AS (SELECT loc, {DAY} AS day, stddev_samp(raw) AS spread FROM obs GROUP BY ALL),
+rows_ AS (
+  SELECT obs.loc, clear, value AS truth, 1e0 - raw AS raw_, bg, greatest(least(bg, 1.3e0), 0e0) AS final, CAST(hour(ts) AS INTEGER) AS hour,
+         {REGIME.replace("0.1e0", "0.5e0").replace("0.2e0", "0.56e0")} AS regime FROM obs JOIN regimes ON obs.loc = regimes.loc AND {DAY} = regimes.day),
 swept AS (
-  SELECT loc, regime, threshold, alpha, CASE WHEN clear >= 2e2 AND clear < threshold THEN alpha * raw * 1e2 + (1e0 - alpha) * bg * 1e2 ELSE bg * 1e2 END - value AS e
-  FROM rows_, (VALUES (2e2), (2.5e2), (3e2), (3.5e2), (4e2)) t(threshold), (VALUES (0.25e0), (0.5e0), (0.75e0), (1e0)) a(alpha))
-SELECT threshold, alpha, loc, round(sqrt(avg(e * e)), 5) AS rmse, round(sqrt(avg(e * e) FILTER (regime = 'clear')), 5) AS clear_rmse FROM swept GROUP BY ALL""")
+  SELECT loc, regime, hour, threshold, alpha,
+         (least(greatest(CASE WHEN clear < threshold THEN alpha * raw_ + (1e0 - alpha) * least(greatest(bg, 0e0), 1e0) ELSE final END, 0e0), 1.3e0) * clear - truth) AS e
+  FROM rows_, (VALUES (2e2), (2.5e2), (3e2), (3.5e2), (4e2)) t(threshold), (VALUES (0.25e0), (0.5e0), (0.75e0), (1e0)) a(alpha)),
+table_ AS (
+  SELECT threshold, alpha, loc, sqrt(avg(e * e)) AS overall_rmse, sqrt(avg(e * e) FILTER (regime = 'clear')) AS clear_rmse, sqrt(avg(e * e) FILTER (hour BETWEEN 11 AND 13)) AS noon_rmse
+  FROM swept GROUP BY ALL),
+base AS (
+  SELECT loc, sqrt(avg((final * clear - truth) * (final * clear - truth))) AS overall_rmse, sqrt(avg((final * clear - truth) * (final * clear - truth)) FILTER (regime = 'clear')) AS clear_rmse,
+         sqrt(avg((final * clear - truth) * (final * clear - truth)) FILTER (hour BETWEEN 11 AND 13)) AS noon_rmse FROM rows_ GROUP BY loc),
+judged AS (
+  SELECT threshold, alpha, avg(t.overall_rmse) AS pooled_overall_rmse, avg(t.clear_rmse) AS pooled_clear_rmse, avg(t.noon_rmse) AS pooled_noon_rmse,
+         max(t.overall_rmse) FILTER (loc = '{LEAD}') AS lead_overall_rmse, max(t.clear_rmse) FILTER (loc = '{LEAD}') AS lead_clear_rmse, max(t.noon_rmse) FILTER (loc = '{LEAD}') AS lead_noon_rmse,
+         max(t.overall_rmse - b.overall_rmse) FILTER (loc <> '{LEAD}') AS max_other_overall_delta,
+         max(t.clear_rmse - b.clear_rmse) FILTER (loc = '{LEAD}') AS lead_clear_delta, max(t.noon_rmse - b.noon_rmse) FILTER (loc = '{LEAD}') AS lead_noon_delta
+  FROM table_ t JOIN base b USING (loc) GROUP BY ALL),
+ruled AS (SELECT *, coalesce(lead_clear_delta < 0 AND lead_noon_delta <= 1 AND max_other_overall_delta <= 1, false) AS passes FROM judged)"""
+
+
+def _sweep(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sensor rows as a sweep takes them, and its table."""
+    o = _labelled(spark, d)
+    final = C.clip(F.col("bg"), 0.0, 1.3)
+    rows = o.select("loc", "regime", "clear", F.col("value").alias("truth"), (F.lit(1.0) - F.col("raw")).alias("raw"), "bg", final.alias("final"), F.hour("ts").alias("hour"), (final * F.col("clear")).alias("guess"))
+    return rows, metrics.blend_sweep(rows, THRESHOLDS, ALPHAS)
+
+
+@query(f"{SWEEP} SELECT threshold, alpha, loc, round(overall_rmse, 5) AS overall_rmse, round(clear_rmse, 5) AS clear_rmse, round(noon_rmse, 5) AS noon_rmse FROM table_")
 def blend_sweep(spark, d) -> DataFrame:
-    rows = _labelled(spark, d).select("loc", "regime", "clear", F.col("value").alias("truth"), (F.col("raw") * 100.0).alias("raw"), (F.col("bg") * 100.0).alias("final"))
-    table = metrics.blend_sweep(rows, [200, 250, 300, 350, 400], [0.25, 0.5, 0.75, 1.0])
-    return table.withColumns({c: F.round(c, 5) for c in ("rmse", "clear_rmse")})
+    return _sweep(spark, d)[1].withColumns({c: F.round(c, 5) for c in ("overall_rmse", "clear_rmse", "noon_rmse")})
+
+
+SWEPT = ("pooled_overall_rmse", "pooled_clear_rmse", "pooled_noon_rmse", "lead_overall_rmse", "lead_clear_rmse", "lead_noon_rmse", "max_other_overall_delta", "lead_clear_delta", "lead_noon_delta")
+
+
+@query(f"{SWEEP} SELECT threshold, alpha, {', '.join(f'round({c}, 5) + 0e0 AS {c}' for c in SWEPT)}, passes FROM ruled")
+def sweep_accepted(spark, d) -> DataFrame:
+    """Every pair of parameters against the rule of three: the lead's clear days improve, its noon and the others hardly suffer."""
+    rows, table = _sweep(spark, d)
+    return scaling.accept(table, metrics.sweep_base(rows), LEAD).withColumns({c: F.round(c, 5) + F.lit(0.0) for c in SWEPT})
+
+
+@query(f"{SWEEP}, placed AS (SELECT *, CAST(row_number() OVER (ORDER BY lead_clear_delta, threshold, alpha) AS INTEGER) AS place FROM ruled WHERE passes) SELECT place, threshold, alpha, round(lead_clear_delta, 5) AS lead_clear_delta FROM placed")
+def passing_sweep(spark, d) -> DataFrame:
+    """The pairs of parameters that pass, the best first."""
+    rows, table = _sweep(spark, d)
+    return scaling.passing(scaling.accept(table, metrics.sweep_base(rows), LEAD)).select("place", "threshold", "alpha", F.round("lead_clear_delta", 5).alias("lead_clear_delta"))
 
 
-@query(f"""WITH {OBS}, swept AS (SELECT loc, alpha, sqrt(avg((alpha * raw * 1e2 - value) * (alpha * raw * 1e2 - value))) AS rmse FROM obs, (VALUES (0.25e0), (0.5e0), (1e0), (2e0)) a(alpha) GROUP BY ALL)
-SELECT loc, alpha, round(rmse, 5) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY rmse, alpha) AS rn FROM swept) WHERE rn = 1""")
+@query(f"{SWEEP} SELECT threshold, alpha, round(lead_clear_delta, 5) AS lead_clear_delta FROM ruled WHERE passes ORDER BY ruled.lead_clear_delta, threshold, alpha LIMIT 1")
 def best_passing(spark, d) -> DataFrame:
-    o = observations(spark, d).withColumn("alpha", F.explode(F.array(*map(C.num, (0.25, 0.5, 1.0, 2.0)))))
-    e = F.col("alpha") * F.col("raw") * 100.0 - F.col("value")
-    table = o.groupBy("loc", "alpha").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
-    return audit.rank_in(table, ["loc"], ["rmse", "alpha"], 1).withColumn("rmse", F.round("rmse", 5))
+    """The passing pair of parameters with the largest fall of the lead's clear-day error."""
+    return passing_sweep(spark, d).filter("place = 1").drop("place")
 
 
 @query("SELECT event_type AS loc, round(quantile_cont(value, 0.03), 6) AS p3, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
@@ -263,10 +302,10 @@ def value_counts(spark, d) -> DataFrame:
     return observations(spark, d).groupBy("loc").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {OBS} SELECT {DAY} AS day, round(avg(clear), 5) AS mean, round(stddev_pop(clear), 5) AS spread, count(DISTINCT round(clear, 1)) AS distinct_values, count(clear) AS n FROM obs GROUP BY 1")
+@query(f"WITH {OBS} SELECT {DAY} AS day, round(avg(clear), 5) AS clear_mean, round(stddev_pop(clear), 5) AS clear_spread, count(DISTINCT round(clear, 1)) AS clear_distinct, count(clear) AS clear_n FROM obs GROUP BY 1")
 def diversity(spark, d) -> DataFrame:
-    table = audit.diversity(observations(spark, d).withColumn("day", F.to_date("ts")), "day", "clear")
-    return table.withColumns({c: F.round(c, 5) for c in ("mean", "spread")})
+    table = audit.diversity(observations(spark, d).withColumn("day", F.to_date("ts")), ["day"], ["clear"])
+    return table.withColumns({c: F.round(c, 5) for c in ("clear_mean", "clear_spread")})
 
 
 @query("""SELECT 'value' AS "column", round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events UNION ALL SELECT 'user_id', round(avg(user_id), 6), round(stddev_pop(user_id), 6) FROM events""")
@@ -279,7 +318,7 @@ def source_summary(spark, d) -> DataFrame:
     return audit.source_summary(observations(spark, d), ["loc"], "ghi").withColumn("mean", F.round("mean", 6))
 
 
-OUT = """flagged AS (SELECT *, coalesce(clear > 2e2 AND value / clear < 0.3e0, false) AS f FROM obs),
+OUT = """flagged AS (SELECT *, floor(value / 15e1) = 0 AND clear > 2e2 AS f FROM obs),
 turned AS (SELECT *, CASE WHEN f <> lag(f, 1, false) OVER (PARTITION BY loc ORDER BY ts, event_id) THEN 1 ELSE 0 END AS t FROM flagged),
 numbered AS (SELECT *, sum(t) OVER (PARTITION BY loc ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM turned)
 SELECT loc, CAST(run AS BIGINT) AS run, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM numbered WHERE f GROUP BY loc, run HAVING count(*) >= 3"""
@@ -287,17 +326,47 @@ SELECT loc, CAST(run AS BIGINT) AS run, min(ts) AS first_ts, max(ts) AS last_ts,
 
 @query(f"WITH {OBS}, {OUT}")
 def outage_runs(spark, d) -> DataFrame:
-    """The detector's share is fixed at 0.05; sensor rows are scaled so that synthetic values reach it."""
+    """Three or more zeros in a row under a bright sky; the sensor counts in steps of 150, so that synthetic values give zeros."""
     o = observations(spark, d)
-    return audit.outages(o, ["loc"], F.col("value") / 6.0, F.col("clear"), ["ts", "event_id"]).withColumn("run", F.col("run").cast("long"))
+    return audit.zero_runs(o, ["loc"], F.floor(F.col("value") / 150.0).cast("double"), F.col("clear"), ["ts", "event_id"]).withColumn("run", F.col("run").cast("long"))
+
+
+@query(f"WITH {OBS} SELECT event_id, loc, round(value / clear, 9) AS ratio FROM obs WHERE clear > 5 AND value / clear < 0.05e0")
+def low_readings(spark, d) -> DataFrame:
+    """Sensor rows by day that give less than a twentieth of the clear sky."""
+    return audit.low_readings(observations(spark, d), F.col("value"), F.col("clear")).select("event_id", "loc", F.round("ratio", 9).alias("ratio"))
+
+
+# a field of the five locations every half hour: values with ties broken by a small part of their own
+FIELD = """
+bins AS (SELECT loc, time_bucket(INTERVAL 30 MINUTES, ts) AS ts, max(value) + max(event_id) / 1e6 AS v FROM obs GROUP BY ALL),
+field AS (SELECT ts, avg(v) AS mean, stddev_samp(v) AS spread FROM bins GROUP BY ts),
+timed AS (SELECT *, CAST(ts AS DATE) AS day, year(ts) AS year, hour(ts) AS hour FROM field)"""
+
+
+def _field(spark, d) -> DataFrame:
+    bins = observations(spark, d).groupBy("loc", align.bin_start(F.col("ts"), 30).alias("ts")).agg((F.max("value") + F.max("event_id") / F.lit(1e6)).alias("v"))
+    return audit.field_stats(bins, "v")
 
 
-@query(f"""WITH {OBS}, f AS (SELECT {DAY} AS day, date_trunc('hour', ts) AS ts, CAST(hour(ts) AS INTEGER) AS hour, max(value) AS mean, max(clear) - min(clear) AS spread FROM obs GROUP BY ALL)
-SELECT day, min(ts) FILTER (hour = 9) AS morning, max(struct_pack(v := spread, t := -epoch_us(ts), ts := ts)).ts AS widest, max(struct_pack(v := mean, t := -epoch_us(ts), ts := ts)).ts AS brightest,
-max(struct_pack(v := mean, t := -epoch_us(ts), ts := ts)) FILTER (hour BETWEEN 13 AND 15).ts AS afternoon FROM f GROUP BY day""".replace("max(struct_pack(v := mean, t := -epoch_us(ts), ts := ts)) FILTER (hour BETWEEN 13 AND 15).ts", "struct_extract(max(struct_pack(v := mean, t := -epoch_us(ts), ts := ts)) FILTER (hour BETWEEN 13 AND 15), 'ts')"))
+@query(f"""WITH {OBS}, {FIELD},
+ends AS (SELECT day, list(ts ORDER BY ts) AS all_ts FROM timed GROUP BY day)
+SELECT day, coalesce(min(ts) FILTER (hour = 9), min(ts)) AS morning, arg_max(ts, round(spread, 7)) AS widest, arg_max(ts, round(mean, 7)) AS brightest,
+coalesce(arg_max(ts, round(mean, 7)) FILTER (hour BETWEEN 13 AND 15), CASE WHEN len(any_value(all_ts)) >= 4 THEN any_value(all_ts)[-4] END) AS afternoon FROM timed JOIN ends USING (day) GROUP BY day""")
 def snapshots(spark, d) -> DataFrame:
-    f = observations(spark, d).groupBy(F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.hour("ts").alias("hour")).agg(F.max("value").alias("mean"), (F.max("clear") - F.min("clear")).alias("spread"))
-    return audit.snapshots(f)
+    return audit.snapshots(_field(spark, d))
+
+
+@query(f"""WITH {OBS}, {FIELD}, peak AS (SELECT * FROM timed WHERE hour BETWEEN 9 AND 15),
+one AS (
+  SELECT year, coalesce(arg_max(ts, mean) FILTER (mean > 450 AND spread < 30), arg_max(ts, mean)) AS clear, arg_max(ts, spread) FILTER (mean > 150 AND mean < 500) AS partly, arg_min(ts, mean) AS lowest
+  FROM peak GROUP BY year),
+two AS (SELECT peak.year, arg_max(ts, spread) FILTER (mean > 150 AND mean < 500 AND day <> CAST(partly AS DATE)) AS partly_other_day FROM peak JOIN one ON peak.year = one.year GROUP BY peak.year),
+dim AS (SELECT year, ts, row_number() OVER (PARTITION BY year ORDER BY mean, ts) AS n FROM peak WHERE mean < 120 AND mean > 5)
+SELECT CAST(year AS INTEGER) AS year, clear, partly, partly_other_day, coalesce((SELECT arg_max(ts, n) FROM dim WHERE dim.year = one.year AND n <= 3), lowest) AS overcast FROM one JOIN two USING (year)""")
+def sky_picks(spark, d) -> DataFrame:
+    """Instants of the year that show a clear, two partly cloudy and an overcast sky."""
+    return audit.sky_picks(_field(spark, d))
 
 
 @query(f"""WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY loc) AS n FROM obs),

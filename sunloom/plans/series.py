@@ -232,9 +232,17 @@ def daylight_span(spark, d) -> DataFrame:
     return observations(spark, d).filter("clear >= 100").groupBy("loc", F.to_date("ts").alias("day")).agg(F.min("ts").alias("first_light"), F.max("ts").alias("last_light"))
 
 
-@query("SELECT event_type AS loc, event_id, min(value) OVER w AS best, coalesce(value < min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1e-6, true) AS improved FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+h AS (
+  SELECT user_id, event_id, n, value AS best, true AS improved, 0 AS waited, false AS stopped FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.user_id, r.event_id, r.n, CASE WHEN r.value < h.best - 1e-6 THEN r.value ELSE h.best END, r.value < h.best - 1e-6, CASE WHEN r.value < h.best - 1e-6 THEN 0 ELSE h.waited + 1 END,
+         h.stopped OR (r.value >= h.best - 1e-6 AND h.waited + 1 >= 9) FROM h JOIN r ON r.user_id = h.user_id AND r.n = h.n + 1)
+SELECT user_id, event_id, best, improved, waited, stopped FROM h""")
 def history_best(spark, d) -> DataFrame:
-    return O.history_best(read(spark, d, "events").withColumnRenamed("event_type", "loc"), ["loc"], "value", "event_id").select("loc", "event_id", "best", "improved")
+    """A history per user: the value accepted last, rows waited since, and whether patience (9) has run out."""
+    rows = read(spark, d, "events").select("user_id", "event_id", "value")
+    return O.history_best(rows, ["user_id"], "value", "event_id", patience=9).select("user_id", "event_id", "best", "improved", "waited", "stopped")
 
 
 @query("SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-17' AND hour(ts) IN (9, 12, 15)")

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import align as A
 from ..operators import audit, folds, metrics, mlp, scaling, spatial
 from ..operators import ordered as O
-from .fields import DAY, PIXELS, STACK, _errors, _folds, _labelled, _methods, _rounded
+from .fields import DAY, PIXELS, REGIME, STACK, _errors, _folds, _labelled, _methods, _rounded
 from .registry import KM, OBS, PLACES, observations, places, query, read
 
 STATIONS = """
@@ -46,7 +46,7 @@ def _baselines(o: DataFrame) -> DataFrame:
     met = spatial.pairs(stations, stations, exclude_self=True)
     series = whole.select(F.col("loc").alias("source"), "ts", "value")
     idw = spatial.apply_weights(spatial.idw_weights(met, 1.0, None), series, ["ts"]).select(F.col("target").alias("loc"), "ts", F.col("value").alias("idw"))
-    copied = spatial.nearest(met).join(series, "source").select(F.col("target").alias("loc"), "ts", F.col("value").alias("copied"))
+    copied = spatial.nearest(stations, stations, exclude_self=True).join(series, "source").select(F.col("target").alias("loc"), "ts", F.col("value").alias("copied"))
     side = A.align([whole, idw, copied], ["loc", "ts"])
     return side.select("loc", "ts", F.col("value").alias("truth"), "idw", "copied", (C.clip(F.col("bg"), 0.0, 1.3) * F.col("clear")).alias("background"))
 
@@ -121,10 +121,95 @@ def complete_rows(spark, d) -> DataFrame:
     return o.select("event_id", "ghi", "clear", "per").dropna(how="any").drop("per")
 
 
-@query("SELECT p_partkey, substr(p_type, 7) AS bare FROM part WHERE starts_with(p_type, 'SMALL ')")
+@query("SELECT c_custkey, substr(c_name, 10) AS bare FROM customer WHERE starts_with(c_name, 'Customer#0000000')")
 def prefix_strip(spark, d) -> DataFrame:
-    p = read(spark, d, "part").filter(F.col("p_type").startswith("SMALL "))
-    return p.select("p_partkey", F.regexp_replace("p_type", "^SMALL ", "").alias("bare"))
+    c = read(spark, d, "customer").filter(F.col("c_name").startswith("Customer#0000000"))
+    return c.select("c_custkey", F.regexp_replace("c_name", "^Customer#", "").alias("bare"))
+
+
+@query("SELECT o_orderkey, try_strptime(printf('%04d-%02d-%02d %02d:%02d', 1990 + o_orderkey % 40, 1 + o_orderkey % 13, 1 + o_custkey % 31, o_orderkey % 24, o_custkey % 60), '%Y-%m-%d %H:%M') AS ts FROM orders")
+def timestamp_parts(spark, d) -> DataFrame:
+    """Instants from calendar parts; parts that name no instant (a 13th month, the 31st of April) give null."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return read(spark, d, "orders").select("o_orderkey", C.from_parts(1990 + k % 40, 1 + k % 13, 1 + c % 31, k % 24, c % 60).alias("ts"))
+
+
+@query(f"WITH {OBS} SELECT event_id, ghi, CASE WHEN k13 > 9 THEN raw END AS late FROM obs WHERE ghi IS NOT NULL OR k13 > 9")
+def rows_with_any(spark, d) -> DataFrame:
+    """Rows that have a value in any column; those that are null in all go."""
+    o = observations(spark, d).withColumn("late", F.when(F.col("k13") > 9, F.col("raw")))
+    return o.filter(C.any_value(["ghi", "late"])).select("event_id", "ghi", "late")
+
+
+@query(f"""WITH {OBS}, g AS (SELECT loc, ts, lag(ts) OVER (PARTITION BY loc ORDER BY ts, event_id) AS before FROM obs WHERE value > 2e1 OR loc = 'click'),
+f AS (SELECT loc, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (epoch_us(ts) - epoch_us(before) > 90 * 60000000::BIGINT) AS n_gaps FROM g GROUP BY loc)
+SELECT *, (SELECT count(DISTINCT first_ts) FROM f) AS starts, (SELECT count(DISTINCT last_ts) FROM f) AS ends, count(*) OVER (PARTITION BY first_ts) AS same_start, (SELECT count(*) FROM f WHERE n_gaps > 0) AS gappy FROM f""")
+def feed_audit(spark, d) -> DataFrame:
+    """Feeds side by side: rows, range, gaps over 90 minutes, and whether they start and end together."""
+    o = observations(spark, d).filter("value > 20 OR loc = 'click'")
+    return audit.feed_audit(o, "loc", ["ts", "event_id"], 90)
+
+
+FIVE = ("nearest_copy", "idw", "background", "model", "model_corrected")
+FIVES = f"""{BASELINES}, guessed AS (SELECT *, idw * 0.75e0 + background * 0.25e0 AS model FROM side),
+ratios AS (SELECT month(ts) AS month, hour(ts) AS hour, median(truth / model) AS ratio FROM guessed WHERE truth >= 5e1 AND model >= 5e1 GROUP BY ALL),
+factors AS (SELECT month, hour, CASE WHEN hour BETWEEN 9 AND 15 THEN least(greatest(ratio, 0.5e0), 1.5e0) ELSE 1e0 END AS factor FROM ratios),
+corrected AS (SELECT g.*, model * coalesce(factor, 1e0) AS model_corrected FROM guessed g LEFT JOIN factors f ON month(ts) = f.month AND hour(ts) = f.hour),
+days AS (SELECT loc, {DAY} AS day, stddev_samp(truth) / 4e2 AS spread FROM corrected GROUP BY ALL),
+five AS (
+  {" UNION ALL ".join(f"SELECT c.loc, ts, truth, '{m}' AS method, {c} AS guess, {REGIME} AS regime FROM corrected c JOIN days ON c.loc = days.loc AND {DAY} = days.day" for m, c in zip(FIVE, ("copied", "idw", "background", "model", "model_corrected")))})"""
+
+
+def _five(o: DataFrame) -> DataFrame:
+    """loc, ts, method, regime, truth, guess: five estimates of every station, on instants that all stations have."""
+    side = _baselines(o).withColumn("model", F.col("idw") * 0.75 + F.col("background") * 0.25)
+    table = metrics.factors(side, F.month("ts"), F.hour("ts"), "truth", "model")
+    side = A.lookup(side.withColumns({"month": F.month("ts"), "hour": F.hour("ts")}), table, ["month", "hour"], "factor", 1.0).withColumn("model_corrected", F.col("model") * F.col("factor"))
+    regimes = side.groupBy("loc", F.to_date("ts").alias("day")).agg((F.stddev_samp("truth") / 400.0).alias("spread")).withColumn("regime", metrics.regime_of(F.col("spread")))
+    side = side.withColumn("day", F.to_date("ts")).join(regimes, ["loc", "day"])
+    columns = ("copied", "idw", "background", "model", "model_corrected")
+    return audit.stack_methods(side, {m: F.col(c) for m, c in zip(FIVE, columns)}, ["loc", "ts", "regime", "truth"])
+
+
+@query(f"""{FIVES}, pairs AS (SELECT * FROM five WHERE truth IS NOT NULL AND guess IS NOT NULL),
+edges AS (SELECT loc, method, quantile_cont(truth, 0.9) AS edge FROM pairs GROUP BY ALL),
+tops AS (SELECT loc, method, CASE WHEN count(*) > 1 THEN round(sqrt(avg((guess - truth) * (guess - truth))), 5) END AS peak_rmse FROM pairs JOIN edges USING (loc, method) WHERE truth >= edge GROUP BY ALL),
+steps AS (SELECT loc, method, (guess - lag(guess) OVER w) - (truth - lag(truth) OVER w) AS e FROM pairs WINDOW w AS (PARTITION BY loc, method ORDER BY ts)),
+ramps AS (SELECT loc, method, round(sqrt(avg(e * e)), 5) AS ramp_rmse FROM steps GROUP BY ALL)
+SELECT loc, method, {_errors('truth', 'guess')}, any_value(peak_rmse) AS peak_rmse, any_value(ramp_rmse) AS ramp_rmse FROM five LEFT JOIN tops USING (loc, method) LEFT JOIN ramps USING (loc, method) GROUP BY ALL""")
+def bench_five(spark, d) -> DataFrame:
+    """Nearest copy, inverse distance, background, model and its seasonal correction, with all seven measures, by station."""
+    table = audit.full_benchmark(_five(observations(spark, d)), ["loc", "method"], ["ts"])
+    return _rounded(table).withColumns({c: F.round(c, 5) for c in ("peak_rmse", "ramp_rmse")})
+
+
+@query(f"{FIVES} SELECT loc, method, regime, {_errors('truth', 'guess')} FROM five WHERE regime IS NOT NULL GROUP BY loc, method, regime HAVING count(*) >= 2")
+def bench_five_regimes(spark, d) -> DataFrame:
+    """The five by station and day regime; a regime of a single row is left out."""
+    return _rounded(audit.regime_benchmark(_five(observations(spark, d)), ["loc", "method", "regime"]))
+
+
+SNAPPED = "(VALUES (1, TIMESTAMP '2024-01-10 12:07:00'), (2, TIMESTAMP '2024-01-15 11:40:00'), (3, TIMESTAMP '2024-01-21 13:00:00')) asked(id, wanted)"
+
+
+@query(f"""WITH {OBS}, {PLACES}, {STATIONS},
+bins AS (SELECT loc, time_bucket(INTERVAL 6 HOURS, ts) AS ts, avg(value) AS value FROM obs GROUP BY ALL),
+snapped AS (SELECT asked.id AS moment, min(struct_pack(gap := abs(epoch_us(ts) - epoch_us(wanted)), ts := ts)).ts AS ts FROM {SNAPPED}, (SELECT DISTINCT ts FROM bins) b GROUP BY ALL),
+nearest AS (SELECT t.id AS target, min(struct_pack(km := {KM}, source := s.id)).source AS loc FROM targets t CROSS JOIN stations s GROUP BY t.id),
+both_ AS (SELECT moment, ts, value AS copy, value * (1e0 + (target % 17) / 1e2) AS model FROM nearest JOIN bins USING (loc) JOIN snapped USING (ts))
+SELECT moment, ts, round(avg(model), 5) AS model_mean, round(stddev_pop(model), 5) AS model_spread, count(DISTINCT round(model, 1)) AS model_distinct, count(model) AS model_n,
+round(avg(copy), 5) AS copy_mean, round(stddev_pop(copy), 5) AS copy_spread, count(DISTINCT round(copy, 1)) AS copy_distinct, count(copy) AS copy_n FROM both_ GROUP BY ALL""")
+def diversity_vs_copy(spark, d) -> DataFrame:
+    """At given moments, snapped to the field's instants: how varied a modelled field is against nearest-station copies."""
+    o = observations(spark, d)
+    bins = o.groupBy("loc", A.bin_start(F.col("ts"), 360).alias("ts")).agg(F.avg("value").alias("value"))
+    asked = spark.createDataFrame([(1, "2024-01-10 12:07:00"), (2, "2024-01-15 11:40:00"), (3, "2024-01-21 13:00:00")], "id int, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    snapped = A.nearest_instant(asked, bins, 360).select(F.col("id").alias("moment"), F.col("near").alias("ts"))
+    near = spatial.nearest(places(spark, d, "customer"), _stations(o)).select("target", F.col("source").alias("loc"))
+    wanted = bins.join(F.broadcast(snapped), "ts")  # as many moments as are asked for
+    both = near.join(wanted, "loc").select("moment", "ts", F.col("value").alias("copy"), (F.col("value") * (F.lit(1.0) + (F.col("target") % 17) / F.lit(100.0))).alias("model"))
+    table = audit.diversity(both, ["moment", "ts"], ["model", "copy"])
+    return table.withColumns({f"{v}_{m}": F.round(f"{v}_{m}", 5) for v in ("model", "copy") for m in ("mean", "spread")})
 
 
 @query(f"WITH {OBS}, m AS (SELECT user_id, median(value) AS typical FROM obs GROUP BY user_id) SELECT event_id, CASE WHEN typical > 5e1 THEN value * 0.1e0 ELSE value END AS value FROM obs JOIN m USING (user_id)")
@@ -151,18 +236,33 @@ def scaled_features(spark, d) -> DataFrame:
     return out.select("event_id", "copy", "role", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
 
 
+@query(f"""WITH {OBS}, r AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY loc ORDER BY ts, event_id) > count(*) OVER (PARTITION BY loc) - greatest(1, floor(0.2e0 * count(*) OVER (PARTITION BY loc))) THEN 'val' ELSE 'train' END AS role FROM obs),
+m AS (SELECT avg(raw) AS m1, stddev_pop(raw) AS s1, avg(bg) AS m2, stddev_pop(bg) AS s2 FROM r WHERE role = 'train')
+SELECT event_id, k13 / 13e0 AS x0, round((raw - m1) / s1, 6) AS x1, round((bg - m2) / s2, 6) AS x2 FROM r CROSS JOIN m""")
+def scaled_covariates(spark, d) -> DataFrame:
+    """Basis values first, which stay as they are; only the covariates behind them are standardised."""
+    o = O.tail_split(observations(spark, d), ["loc"], ["ts", "event_id"]).withColumn("x", F.array(F.col("k13") / 13.0, "raw", "bg"))
+    at = lambda i: F.get("x", F.lit(i))
+    return scaling.standardised(o, "x", F.col("role") == "train", 3, first=1).select("event_id", at(0).alias("x0"), F.round(at(1), 6).alias("x1"), F.round(at(2), 6).alias("x2"))
+
+
+NORMED = {"cos_zenith": "raw", "temperature": "k13", "humidity": "value", "pressure": "event_id % 7", "water": "event_id % 5", "cloud": "event_id % 3", "elevation": "user_id"}
+
+
 @query(f"""WITH {OBS}, c AS (
   SELECT *, bg - lag(bg) OVER w AS bg_change, lag(clear) OVER w AS bt_lag, clear / greatest(max(clear) OVER (PARTITION BY loc, {DAY}), 1e0) AS clear_share FROM obs WINDOW w AS (PARTITION BY loc ORDER BY ts, event_id))
-SELECT event_id, 18 AS n, bg AS first, bg_change, bt_lag, clear_share, round(sin(2e0 * pi() * dayofyear(ts) / 365e0), 9) AS doy_sin, round(cos(2e0 * pi() * (hour(ts) + minute(ts) / 60e0) / 24e0), 9) + 0e0 AS last FROM c""")
+SELECT event_id, 18 AS n, bg AS first, bg_change, bt_lag, clear_share, round((raw - 0e0) / 1e0, 9) AS cos_zenith, round((k13 - 15e0) / 20e0, 9) AS temperature, round((value - 70e0) / 30e0, 9) AS humidity,
+round((event_id % 7 - 990e0) / 20e0, 9) AS pressure, round((event_id % 5 - 1e0) / 1e0, 9) AS water, round((event_id % 3 - 6e0) / 6e0, 9) AS cloud, round((user_id - 300e0) / 100e0, 9) AS elevation,
+round(sin(2e0 * pi() * dayofyear(ts) / 365e0), 9) AS doy_sin, round(cos(2e0 * pi() * (hour(ts) + minute(ts) / 60e0) / 24e0), 9) + 0e0 AS last FROM c""")
 def covariate_rows(spark, d) -> DataFrame:
-    """The ordered covariates as one array a row, read back by place."""
-    k = F.col("event_id")
-    o = observations(spark, d).withColumns({"bg_csi": F.col("bg"), "bt": F.col("clear"), "cos_zenith": F.col("raw"), "temperature": F.col("k13"), "humidity": F.col("value"), "pressure": k % 7, "water": k % 5, "cloud": k % 3, "elevation": F.col("user_id")})
+    """The ordered covariates as one array a row, read back by place; the weather ones are normalised."""
+    o = observations(spark, d).withColumns({"bg_csi": F.col("bg"), "bt": F.col("clear"), **{c: F.expr(e) for c, e in NORMED.items()}})
     rows = folds.covariates(o, ["loc"], ["ts", "event_id"], F.col("ts"))
     at = lambda name: F.get("covariates", F.lit(folds.COVARIATES.index(name)))
     return rows.select(
         "event_id", F.size("covariates").alias("n"), at("bg_csi").alias("first"), at("bg_change").alias("bg_change"), at("bt_lag").alias("bt_lag"), at("clear_share").alias("clear_share"),
-        F.round(at("doy_sin"), 9).alias("doy_sin"), F.round(at("hour_cos"), 9).alias("last"),
+        *[F.round(at(c), 9).alias(c) for c in NORMED], F.round(at("doy_sin"), 9).alias("doy_sin"), F.round(at("hour_cos"), 9).alias("last"),
     )
 
 
@@ -196,27 +296,6 @@ def leftover_instants(spark, d) -> DataFrame:
     return of("click").exceptAll(of("view"))
 
 
-ACCEPT = """
-swept AS (
-  SELECT loc, threshold, alpha, CASE WHEN clear >= 2e2 AND clear < threshold THEN alpha * raw * 1e2 + (1e0 - alpha) * bg * 1e2 ELSE bg * 1e2 END - value AS e
-  FROM obs, (VALUES (2e2), (2.5e2), (3e2), (3.5e2), (4e2)) t(threshold), (VALUES (0.25e0), (0.5e0), (0.75e0), (1e0)) a(alpha)),
-t AS (SELECT threshold, alpha, loc, sqrt(avg(e * e)) AS rmse FROM swept GROUP BY ALL),
-b AS (SELECT loc, sqrt(avg((bg * 1e2 - value) * (bg * 1e2 - value))) AS base FROM obs GROUP BY loc),
-g AS (SELECT threshold, alpha, avg(rmse) AS pooled, avg(base) AS base, max(rmse - base) FILTER (loc = 'click') AS lead_delta, max(rmse - base) FILTER (loc <> 'click') AS worst_other FROM t JOIN b USING (loc) GROUP BY ALL)
-SELECT threshold, alpha, round(pooled, 5) AS pooled, round(lead_delta, 5) + 0e0 AS lead_delta, round(worst_other, 5) + 0e0 AS worst_other, coalesce(lead_delta <= -0.01e0 AND worst_other <= 1e0 AND pooled <= base, false) AS passes FROM g"""
-
-
-@query(f"WITH {OBS}, {ACCEPT}")
-def sweep_accepted(spark, d) -> DataFrame:
-    """Every pair of parameters against the rule: better at the lead location, not much worse anywhere, not worse on average."""
-    o = observations(spark, d)
-    rows = o.select("loc", F.lit("clear").alias("regime"), "clear", F.col("value").alias("truth"), (F.col("raw") * 100.0).alias("raw"), (F.col("bg") * 100.0).alias("final"))
-    e = F.col("final") - F.col("truth")
-    base = rows.groupBy("loc").agg(F.sqrt(F.avg(e * e)).alias("base_rmse"))
-    table = scaling.accept(metrics.blend_sweep(rows, [200, 250, 300, 350, 400], [0.25, 0.5, 0.75, 1.0]), base, "click", 0.01, 1.0)
-    return table.withColumns({c: F.round(c, 5) for c in ("pooled", "lead_delta", "worst_other")})
-
-
 @query(f"{STACK} SELECT loc, method, regime, {_errors('truth', 'guess')} FROM stacked GROUP BY GROUPING SETS ((loc, method), (method, regime), (method))")
 def bench_sets(spark, d) -> DataFrame:
     """Estimators per location, per regime and pooled, in one pass."""

@@ -12,7 +12,34 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", **options) -> DataFrame:
-    return spark.read.schema(schema).options(header=True, sep=sep, encoding="UTF-8", mode="PERMISSIVE", **options).csv(path)
+    """CSV as UTF-8; bytes that are none are left out of the texts, as a lossy decoder does."""
+    rows = spark.read.schema(schema).options(header=True, sep=sep, encoding="UTF-8", mode="PERMISSIVE", **options).csv(path)
+    return rows.withColumns({c: F.replace(F.col(c), F.lit("\ufffd"), F.lit("")) for c, t in rows.dtypes if t == "string"})
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
+    """Paths of a folder's files, sorted by name; an error where there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    glob = hadoop.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    paths = sorted(str(f.getPath().toString()) for f in found or [])
+    if not paths:
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return paths
+
+
+def id_or_stem(df: DataFrame, column: str, path: Column | None = None) -> DataFrame:
+    """df with column filled for the file a row comes from: the file's smallest id that is not null, else the file's stem.
+
+    One row a file is aggregated and joined back.
+    """
+    path = path if path is not None else F.col("_metadata.file_path")
+    rows = df.withColumn("__path", path)
+    if column not in df.columns:
+        rows = rows.withColumn(column, F.lit(None).cast("string"))
+    ids = rows.groupBy("__path").agg(F.min(column).alias("__id"))
+    stem = F.regexp_replace(F.element_at(F.split("__path", "/"), -1), r"\.[^.]*$", "")
+    return rows.join(ids, "__path").withColumn(column, F.coalesce("__id", stem)).drop("__path", "__id")
 
 
 def read_sniffed_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

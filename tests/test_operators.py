@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunloom.functions import columns as C
-from sunloom.operators import align, audit, folds, metrics, mlp, ordered, spatial
+from sunloom.operators import align, audit, folds, metrics, mlp, ordered, scaling, spatial
 from sunloom.sources import files
 from sunloom.streaming import series
 
@@ -92,7 +92,160 @@ def test_idw(spark):
         assert {r["source"]: r["weight"] for r in w.filter("target = 1").collect()} == {10: 1, 11: 0, 12: 0, 13: 0}
         values = spark.createDataFrame([(10, 1.0), (11, 2.0), (12, 5.0), (13, 3.0)], "source long, value double")
         assert all(1 <= r["value"] <= 5 for r in spatial.apply_weights(w, values, []).collect())
-    assert [r["source"] for r in spatial.nearest(spatial.pairs(targets, sources)).orderBy("target").collect()][0] == 10
+        by_weights = {r["target"]: r["value"] for r in spatial.apply_weights(w, values, []).collect()}
+        assert {r["target"]: r["value"] for r in spatial.inverse_distance(spatial.pairs(targets, sources), values, power).collect()} == pytest.approx(by_weights)
+    assert [r["source"] for r in spatial.nearest(targets, sources).orderBy("target").collect()][0] == 10
+
+
+def test_nearest_and_blocked_pairs(spark):
+    """Clustered sources, a target among them, one far away, ties and a place without coordinates, against all pairs."""
+    rng = np.random.default_rng(4)
+    sources = [(i, 46.6 + 0.01 * y, -119.2 + 0.01 * x) for i, (y, x) in enumerate(rng.normal(size=(200, 2)).tolist())] + [(900, 46.6, -119.2), (901, 46.6, -119.2), (902, None, None)]
+    targets = [(i, 46.6 + 0.05 * y, -119.2 + 0.05 * x) for i, (y, x) in enumerate(rng.normal(size=(60, 2)).tolist())] + [(70, 46.6, -119.2), (71, 60.0, -100.0)]
+    s, t = (spark.createDataFrame(x, "id long, lat double, lon double") for x in (sources, targets))
+    met = spatial.pairs(t, s.dropna()).collect()
+    want = {}
+    for r in met:
+        want[r["target"]] = min(want.get(r["target"], (1e9, 0)), (r["km"], r["source"]))
+    assert {r["target"]: (r["km"], r["source"]) for r in spatial.nearest(t, s).collect()} == want
+    blocked = spatial.pairs(t, s.dropna(), most=50, parts=3).collect()
+    assert sorted(map(tuple, blocked)) == sorted(map(tuple, met)) and len(met) == 62 * 202
+    own = spatial.nearest(s.dropna(), s, exclude_self=True).collect()
+    assert len(own) == 202 and all(r["source"] != r["target"] for r in own)
+    none = s.filter("id < 0")
+    assert spatial.nearest(t, none).count() == 0 and spatial.nearest(none, s).count() == 0
+
+
+def test_near_duplicate_vectors(spark):
+    """Vectors that start with zeros, equal ones and near ones: pairs of distinct vectors, equal ones linked to their first."""
+    rng = np.random.default_rng(8)
+    base = np.hstack([np.zeros((30, 5)), rng.normal(size=(30, 4))])
+    near = base + rng.uniform(-1, 1, size=base.shape) * 2e-5
+    rows = [(i, v) for i, v in enumerate(np.vstack([base, near]).tolist())] + [(100, base[3].tolist()), (101, base[3].tolist())]
+    got = {(r["a"], r["b"]) for r in spatial.near_duplicate_vectors(spark.createDataFrame(rows, "id long, v array<double>"), 1e-4, 1e-4).collect()}
+    want = {(i, j) for i, a in rows[:60] for j, b in rows[:60] if i < j and np.linalg.norm(np.array(a) - b) < 1e-4}
+    assert got == want | {(3, 100), (3, 101)}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_exact_percentiles(spark, monkeypatch, few):
+    """Large, tied, tiny and empty groups, null keys, against numpy; with few = 0 the sketch brackets every group."""
+    from sunloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = np.random.default_rng(1)
+    groups = {"wide": rng.lognormal(0, 3, 30_000), "ties": rng.integers(0, 4, 20_000).astype(float), None: rng.normal(size=12_000)}
+    if few:
+        groups |= {"one": np.array([3.0]), "two": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), ("wide", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    shares = [0.0, 0.03, 0.5, 0.9, 0.99, 1.0]
+    got = {r["g"]: r["p"] for r in quantiles.exact_percentiles(df, ["g"], "v", shares).collect()}
+    assert got.pop("none") == [None] * 6
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(np.quantile(vs, shares).tolist(), rel=1e-12)
+    whole = quantiles.exact_percentiles(df.filter("g = 'ties'"), [], "v", [0.5]).first()[0]
+    assert whole == [np.quantile(groups["ties"], 0.5)]
+
+
+def test_factor_hours(spark):
+    """Peak hours are 9 to 15, both counted: at 16 the factor is 1; a peak factor is held within its bounds."""
+    rows = [(h, 100.0, g) for h, g in ((8, 50.0), (9, 50.0), (15, 80.0), (16, 80.0), (12, 400.0))]
+    df = spark.createDataFrame(rows, "hour int, truth double, guess double")
+    got = {r["hour"]: r["factor"] for r in metrics.factors(df, F.lit(1), F.col("hour"), "truth", "guess").collect()}
+    assert got == {8: 1.0, 9: 1.5, 15: 1.25, 16: 1.0, 12: 0.5}
+
+
+def test_blend_and_acceptance(spark):
+    """Blending has no lower end, bg is held within [0, 1], the index within [0, 1.3]; clear days, noon and others decide."""
+    shape = "loc string, clear double, raw double, bg double, final double, truth double, hour int, regime string"
+    rows = [("a", 150.0, 0.8, 1.4, 0.2, 0.0, 10, "clear"), ("a", 199.0, -3.0, 0.5, 0.2, 0.0, 12, "clear"), ("a", 200.0, 0.8, 1.4, 0.2, 0.0, 12, None), ("a", 900.0, 0.8, 1.4, 9.0, 0.0, 15, None)]
+    df = spark.createDataFrame(rows, shape)
+    one = lambda at: metrics.blend_sweep(df.filter(F.col("clear") == at), [200], [0.5]).first()
+    assert one(150.0)["overall_rmse"] == pytest.approx(0.9 * 150) and one(150.0)["noon_rmse"] is None
+    assert one(199.0)["overall_rmse"] == 0.0 == one(199.0)["noon_rmse"]
+    assert one(200.0)["overall_rmse"] == pytest.approx(0.2 * 200) and one(200.0)["clear_rmse"] is None
+    assert one(900.0)["overall_rmse"] == pytest.approx(1.3 * 900)
+
+    base = spark.createDataFrame([("a", 50.0, 40.0, 30.0), ("b", 20.0, 20.0, 20.0)], "loc string, overall_rmse double, clear_rmse double, noon_rmse double")
+
+    def passes(a, b):
+        table = spark.createDataFrame([(200.0, 0.5, "a", *a), (200.0, 0.5, "b", *b)], "threshold double, alpha double, loc string, overall_rmse double, clear_rmse double, noon_rmse double")
+        return scaling.accept(table, base, "a").first()
+
+    # clear days improve although the lead's and the pooled overall error rise
+    assert passes((58.0, 39.9, 31.0), (21.0, 90.0, 90.0))["passes"]
+    # the overall errors fall everywhere, but clear days do not, or noon loses more than 1, or another location does
+    assert not passes((10.0, 40.0, 30.0), (10.0, 20.0, 20.0))["passes"]
+    assert not passes((10.0, 39.0, 31.01), (10.0, 20.0, 20.0))["passes"]
+    got = passes((10.0, 39.0, 30.0), (21.01, 20.0, 20.0))
+    assert not got["passes"] and got["max_other_overall_delta"] == pytest.approx(1.01) and got["lead_clear_delta"] == -1.0 and got["pooled_overall_rmse"] == pytest.approx(15.505)
+    table = spark.createDataFrame([(t, a, x, True) for t, a, x in ((300.0, 0.5, -2.0), (200.0, 0.5, -3.0), (200.0, 0.25, -3.0))] + [(400.0, 1.0, -9.0, False)], "threshold double, alpha double, lead_clear_delta double, passes boolean")
+    assert [(r["threshold"], r["alpha"]) for r in scaling.passing(table).orderBy("place").collect()] == [(200.0, 0.25), (200.0, 0.5), (300.0, 0.5)]
+
+
+def test_outages(spark):
+    """Zeros in a row count only under a bright sky; a low share counts at any time of day, alone."""
+    values = [(0.0, 201.0), (0.0, 300.0), (0.0, 201.0), (0.0, 200.0), (0.0, 300.0), (1.0, 300.0), (0.2, 5.0), (0.2, 6.0), (None, 300.0)]
+    df = spark.createDataFrame([("a", at(i), i, *v) for i, v in enumerate(values)], "loc string, ts timestamp_ntz, i int, ghi double, clear double")
+    runs = audit.zero_runs(df, ["loc"], F.col("ghi"), F.col("clear"), ["ts"]).collect()
+    assert [(r["first_ts"], r["last_ts"], r["n"]) for r in runs] == [(at(0), at(2), 3)]
+    low = audit.low_readings(df, F.col("ghi"), F.col("clear")).collect()
+    assert sorted(r["i"] for r in low) == [0, 1, 2, 3, 4, 5, 7]
+
+
+def test_snapshots_and_fallbacks(spark):
+    day = lambda d, h, m=0: datetime(2024, 1, d, h, m)
+    rows = [(day(1, 9), 10.0, 1.0), (day(1, 9, 30), 20.0, 5.0), (day(1, 12), 90.0, 2.0), (day(1, 14), 80.0, 5.0), (day(1, 15, 30), 85.0, None)]
+    rows += [(day(2, 10), 1.0, None), (day(2, 11), 2.0, None), (day(2, 16), 3.0, None), (day(2, 17), 4.0, None), (day(2, 18), 0.0, None), (day(3, 8), 1.0, 1.0)]
+    got = {r["day"].day: r for r in audit.snapshots(spark.createDataFrame(rows, "ts timestamp_ntz, mean double, spread double")).collect()}
+    assert tuple(got[1])[1:] == (day(1, 9), day(1, 9, 30), day(1, 12), day(1, 15, 30))
+    assert tuple(got[2])[1:] == (day(2, 10), None, day(2, 17), day(2, 11)) and got[3]["afternoon"] is None
+
+
+def test_sky_picks_and_fallbacks(spark):
+    day = lambda d, h, y=2024: datetime(y, 1, d, h)
+    rows = [(day(1, 8), 999.0, 1.0), (day(1, 9), 600.0, 40.0), (day(1, 10), 500.0, 10.0), (day(1, 11), 470.0, 5.0), (day(2, 9), 200.0, 90.0), (day(2, 10), 210.0, 80.0), (day(3, 12), 300.0, 70.0)]
+    rows += [(day(4, 9), 50.0, 1.0), (day(4, 10), 60.0, 1.0), (day(4, 11), 70.0, 1.0), (day(4, 12), 80.0, 1.0), (day(4, 16), 6.0, 1.0), (day(5, 9), 5.0, 1.0)]
+    rows += [(day(1, 9, 2025), 130.0, 2.0), (day(2, 9, 2025), 140.0, 2.0)]
+    got = {r["year"]: r for r in audit.sky_picks(spark.createDataFrame(rows, "ts timestamp_ntz, mean double, spread double")).collect()}
+    assert tuple(got[2024]) == (2024, day(1, 10), day(2, 9), day(3, 12), day(4, 11))
+    assert tuple(got[2025]) == (2025, day(2, 9, 2025), None, None, day(1, 9, 2025))
+
+
+def test_parts_and_empty_rows(spark):
+    rows = spark.createDataFrame([(2024, 2, 29, 5, 7), (2023, 2, 29, 0, 0), (2024, None, 1, 1, 1), (2024, 12, 31, 24, 0)], "y int, m int, d int, h int, n int")
+    assert [r[0] for r in rows.select(C.from_parts(*map(F.col, "ymdhn"))).collect()] == [datetime(2024, 2, 29, 5, 7), None, None, None]
+    rows = spark.createDataFrame([(None, None, 1), (1.0, None, 2), (None, "x", 3)], "a double, b string, i int")
+    assert [r["i"] for r in rows.filter(C.any_value(["a", "b"])).collect()] == [2, 3]
+
+
+def test_feed_audit(spark):
+    rows = [("a", at(0)), ("a", at(10)), ("a", at(50)), ("b", at(0)), ("b", at(15)), ("c", at(5))]
+    got = {r["feed"]: r for r in audit.feed_audit(spark.createDataFrame(rows, "feed string, ts timestamp_ntz"), "feed", ["ts"], 20).collect()}
+    assert [(got[f]["n"], got[f]["n_gaps"], got[f]["same_start"]) for f in "abc"] == [(3, 1, 2), (2, 0, 2), (1, 0, 1)]
+    assert {(r["starts"], r["ends"], r["gappy"]) for r in got.values()} == {(2, 3, 1)}
+
+
+def test_patience(spark):
+    """Slow drifts below the tolerance add up against the loss accepted last, not against the smallest one."""
+    losses = [3.0, 3.0 - 0.8e-6, 3.0 - 1.6e-6, None, 5.0, 2.0]
+    rows = ordered.history_best(rows_of(spark, losses), ["loc"], "v", "i", patience=2).orderBy("i").collect()
+    assert [r["improved"] for r in rows] == [True, False, True, False, False, True]
+    assert [r["waited"] for r in rows] == [0, 1, 0, 1, 2, 0] and [r["stopped"] for r in rows] == [False] * 4 + [True] * 2
+    assert rows[-1]["best"] == 2.0 and rows[3]["best"] == losses[2]
+
+
+def test_file_fallbacks(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_bytes(bytes.fromhex("69642c760a2c636166e90a2c780a"))  # a text with a stray byte, and one without
+    (tmp_path / "a.csv").write_text("id,v\n,y\np7,z\n")
+    found = files.list_files(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in found] == ["a.csv", "b.csv"]
+    rows = files.id_or_stem(files.read_csv(spark, str(tmp_path), "id string, v string"), "id").collect()
+    assert sorted((r["id"], r["v"]) for r in rows) == [("b", "caf"), ("b", "x"), ("p7", "y"), ("p7", "z")]
 
 
 def test_islands(spark):
@@ -168,6 +321,7 @@ def test_covariates(spark):
     got = folds.covariates(rows, ["loc"], ["ts"], F.col("ts")).orderBy("ts").collect()
     assert [len(r["covariates"]) for r in got] == [18] * 3
     assert got[1]["covariates"][:4] == [1, 0, 1, 0.5]
+    assert got[1]["covariates"][4] == 1 and got[1]["covariates"][8:14] == pytest.approx([(1 - r) / w for r, w in list(folds.NORMS.values())[1:]])
     scaled = spark.createDataFrame([([1.0, 4.0], [0.0, 2.0], [1.0, 2.0])], "x array<double>, m array<double>, s array<double>").select(folds.standardise("x", F.col("m"), F.col("s")))
     assert scaled.first()[0] == [1, 1]
 
