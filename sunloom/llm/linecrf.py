@@ -2,15 +2,24 @@
 
 Every line is good or bad. A line's score depends on its own features and those of the lines before and after it; a
 2 x 2 table scores neighbouring labels. Forward-backward gives each line's probability of being good, and their mean,
-weighted by line length, is the text's quality. Training lines take the label of their document, as that is all that is
-labelled; likelihood and gradient are exact, over a bounded sample of labelled documents on the driver. Scoring is a map
-over whole texts: rows of a batch run through forward-backward together, ordered by their number of lines.
+weighted by line length, is the text's quality.
+
+Only documents are labelled, so line labels are latent. A document's label says how much of its text is good: MOSTLY_GOOD
+or more under label 1, MOSTLY_BAD or less under label 0. Training is expectation maximisation under these constraints
+(posterior regularisation): the expected labels are those of the model's own chain, tilted by one multiplier a document
+until the constraint holds, and not at all where it holds already. So lines of a bad document that look like those of good
+documents come out good. Likelihood and gradient are exact, over a bounded sample on the driver: at most SAMPLE_DOCS
+labelled documents, one row and at most SAMPLE_LINES lines of each (their features are of the whole text).
+
+Scoring is a map over whole texts: rows of a batch run through forward-backward together, ordered by their number of lines;
+long texts by a scan of 2 x 2 products instead, whose steps are the logarithm of their lines.
 
 Features see the text alone: never labels, language, source or id.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,11 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Labelled documents that a model is fit on at most; their lines' features are all that reaches the driver.
-SAMPLE_DOCS = 4000
+#: Labelled documents that a model is fit on at most, and lines of each; their features are all that reaches the driver.
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
+#: Share of a text that is good: at least so much under label 1, at most so much under label 0.
+MOSTLY_GOOD, MOSTLY_BAD = 0.9, 0.4
+#: Texts of more lines are scanned by doubling steps.
+LONG = 2000
 GOOD = 0.7
 N_BASE = 16
-STEPS, RATE, RIDGE = 150, 0.1, 1e-3
+STEPS, RATE, RIDGE, TILT = 150, 0.1, 1e-3, 2.0
 _SYMBOLS, _DIGITS, _UPPER, _PAUSES = b"#*$%&|<>", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?"
 _HIGH = bytes(range(128, 256))
 
@@ -79,8 +92,14 @@ class LineCrf:
         if not texts:
             return []
         sizes = np.array([len(t) for t in texts])
-        good = forward_backward(self._x(texts) @ self.weights, self.moves, sizes)[0]
-        return np.split(good, np.cumsum(sizes)[:-1])
+        scores = np.split(self._x(texts) @ self.weights, np.cumsum(sizes)[:-1])
+        out = [scan_chain(s, self.moves) if len(s) > LONG else None for s in scores]
+        short = [i for i, found in enumerate(out) if found is None]
+        if short:
+            good = forward_backward(np.concatenate([scores[i] for i in short]), self.moves, sizes[short])[0]
+            for i, part in zip(short, np.split(good, np.cumsum(sizes[short])[:-1])):
+                out[i] = part
+        return out
 
 
 def forward_backward(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +108,7 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -
     starts = (np.cumsum(sizes) - sizes)[order]
     lengths = sizes[order]
     active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(int(lengths[0]))]  # texts longer than t
-    emit = np.exp(np.stack([np.minimum(0, -scores), np.minimum(0, scores)], axis=1))
-    table = np.exp(moves - moves.max())
+    emit, table = _factors(scores, moves)
     ahead = np.zeros_like(emit)
     for t, n in enumerate(active):
         at = starts[:n] + t
@@ -108,47 +126,93 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -
     return both[:, 1] / both.sum(axis=1), pairs
 
 
-def fit(texts: list[np.ndarray], labels: list[int]) -> LineCrf:
-    """Maximum likelihood with a ridge, by Adam on the exact gradient; every text's lines all have its label."""
+def _factors(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(np.stack([np.minimum(0, -scores), np.minimum(0, scores)], axis=1)), np.exp(moves - moves.max())
+
+
+def scan_chain(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Probability of good for every line of one text: products of the lines' 2 x 2 steps over 1, 2, 4, ... lines."""
+    emit, table = _factors(scores, moves)
+    step = table[None] * emit[:, None, :]
+    step[0] = emit[0]  # the first line has none before it: both rows alike
+    ahead, back, shift = step.copy(), step.copy(), 1
+    while shift < len(scores):
+        joined = ahead[:-shift] @ ahead[shift:]
+        ahead[shift:] = joined / joined.max(axis=(1, 2), keepdims=True)
+        joined = back[:-shift] @ back[shift:]
+        back[:-shift] = joined / joined.max(axis=(1, 2), keepdims=True)
+        shift *= 2
+    after = np.ones_like(emit)
+    after[:-1] = back[1:].sum(axis=2)
+    both = ahead[:, 0, :] * after
+    return both[:, 1] / both.sum(axis=1)
+
+
+def fit(texts: list[np.ndarray], labels: list[int], lengths: list[np.ndarray] | None = None) -> LineCrf:
+    """Latent line labels by constrained expectation maximisation (see the module), with a ridge, by Adam.
+
+    lengths: of the lines, which weigh a document's share of good text; all alike by default.
+    """
     own = np.vstack(texts)
     mean, scale = own.mean(axis=0), own.std(axis=0)
     scale[scale < 1e-8] = 1
     model = LineCrf(np.zeros(3 * N_BASE + 1), np.zeros((2, 2)), mean, scale)
     x, sizes = model._x(texts), np.array([len(t) for t in texts])
-    y = np.repeat(np.array(labels, float), sizes)
-    seen = np.zeros((2, 2))
-    for label, size in zip(labels, sizes):
-        seen[label, label] += size - 1
+    starts, y = np.cumsum(sizes) - sizes, np.array(labels, float)
+    weights = np.concatenate([np.ones(n) for n in sizes] if lengths is None else lengths)
+    weights = weights / np.repeat(np.add.reduceat(weights, starts), sizes)
+    bound, sign = np.where(y > 0, MOSTLY_GOOD, MOSTLY_BAD), np.where(y > 0, 1.0, -1.0)
+    # a line's tilt is its document's multiplier times its share of the text, in lines of average length
+    line_weight, tilt = weights * np.repeat(sizes, sizes), np.full(len(texts), 1.0)
     params = np.zeros(len(model.weights) + 4)
     first, second = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
         w, moves = params[:-4], params[-4:].reshape(2, 2)
-        good, pairs = forward_backward(x @ w, moves, sizes)
-        gradient = np.concatenate([x.T @ (y - good), (seen - pairs).ravel()]) / len(texts) - RIDGE * params
+        scores = x @ w
+        good, pairs = forward_backward(scores, moves, sizes)
+        held, seen = forward_backward(scores + np.repeat(tilt * sign, sizes) * line_weight, moves, sizes)
+        # a multiplier grows while its constraint is broken and shrinks to nothing while it holds
+        tilt = np.clip(tilt + TILT * sign * (bound - np.add.reduceat(held * weights, starts)), 0, 20)
+        gradient = np.concatenate([x.T @ (held - good), (seen - pairs).ravel()]) / len(texts) - RIDGE * params
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         params = params + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     model.weights, model.moves = params[:-4], params[-4:].reshape(2, 2)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS) -> LineCrf | float:
+def _block(key: object, n: int, most: int) -> slice:
+    """Of n lines, the most in a row that a model is fit on: where they start is the key's hash."""
+    at = zlib.crc32(str(key).encode()) % (n - most + 1) if n > most else 0
+    return slice(at, at + most)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES
+) -> LineCrf | float:
     """A model from the labelled rows of docs, at most sample of them (those with the smallest key hashes).
 
-    Where labels are missing or all alike there is nothing to tell apart: the share of label 1 is returned, 0.5 for none.
+    Of rows that share a key one is used, the one with the smallest text hash; of labels that do, the smallest. Of a text
+    at most ``lines`` lines in a row are used. Where labels are missing or all alike there is nothing to tell apart: the
+    share of label 1 is returned, 0.5 for none.
     """
-    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64("__key"), "__key", "__label").limit(sample)  # so many rows at most: small enough to broadcast
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(label).cast("int")).alias("__label"))
+    chosen = chosen.orderBy(F.xxhash64("__key"), "__key").limit(sample)  # so many rows at most: small enough to broadcast
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    rows = rows.groupBy("__key", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
 
     def body(keys, texts, ys):
-        return [(k, y, line_features(t or "")[0].astype("<f4").tobytes()) for k, t, y in zip(keys, texts, ys)]
+        for k, t, y in zip(keys, texts, ys):
+            own, sizes = line_features(t or "")
+            part = _block(k, len(own), lines)
+            yield k, y, own[part].astype("<f4").tobytes(), sizes[part].astype("<f4").tobytes()
 
-    got = map_rows(rows, ["__key", "__text", "__label"], f"key {dict(docs.dtypes)[key]}, label int, own binary", body).collect()
+    got = map_rows(rows, ["__key", "__text", "__label"], f"key {dict(docs.dtypes)[key]}, label int, own binary, sizes binary", body).collect()
     got.sort(key=lambda r: (r["key"], r["label"], bytes(r["own"])))
     ys = [r["label"] for r in got]
     if len(set(ys)) < 2:
         return float(np.mean(ys)) if ys else 0.5
-    return fit([np.frombuffer(bytes(r["own"]), "<f4").reshape(-1, N_BASE).astype(float) for r in got], ys)
+    floats = lambda raw: np.frombuffer(bytes(raw), "<f4").astype(float)
+    return fit([floats(r["own"]).reshape(-1, N_BASE) for r in got], ys, [floats(r["sizes"]) for r in got])
 
 
 def score_texts(docs: DataFrame, model: LineCrf | float, key: str = "doc_id", text: str = "text") -> DataFrame:
