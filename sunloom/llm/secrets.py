@@ -6,13 +6,19 @@ guesses an attacker needs; a dynamic program over the value's positions finds it
 guesses by a constant for the choice of the cut. A value in a credential context (``password: ...``, ``pwd is ...``)
 whose cost reaches a threshold is a secret; cheaper values (``password: changeme``) are placeholders.
 
+The dictionary is WORDS, then the words of a public tokenizer's vocabulary in its order, which is by frequency: a file
+whose path is a parameter. Values that refer to a secret are none: ``${NAME}``, ``{{ name }}``, ``<name>``, ``name()``, and
+``a.b.c`` of parts that are each cheap. After ``is`` a word of small letters alone is prose.
+
 The program is linear in the value's length, so values are taken whole. Each text is scanned within its row.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,11 +49,42 @@ SUBSTITUTES = {"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$":
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CONTEXT = re.compile(r"""(?:passphrase|password|passwd|passcode|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key)["']?(?:\x20*[:=]|\x20+is\b)\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"']+))""", re.A | re.I)
+CONTEXT = re.compile(r"""(?:passphrase|password|passwd|passcode|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key)["']?(?:\x20*[:=]|(\x20+is\b))\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"']+))""", re.A | re.I)
 HINTS = ("pass", "pwd", "secret", "token", "credential", "key")
 
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
+REFERENCE = re.compile(r"[$%]\{|\$\(|\$[A-Za-z_]\w*$|\{\{|<[^>]*>?$|%\w+%$|[A-Za-z_][\w.:>-]*[(\[]")
+PATH = re.compile(r"[A-Za-z_]\w*(?:(?:\.|::|->|/)[A-Za-z_]\w*)+$", re.A)
+#: A vocabulary of so many words at most, the first of the file.
+MOST_WORDS = 50_000
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str | None = None):
+    """Ranks from 1 of words in small letters, as an automaton: WORDS, then the whole words of the tokenizer file at path.
+
+    A whole word is a token of three or more ASCII letters that starts a word. None is the public tokenizer's file.
+    """
+    import ahocorasick
+
+    with open(path or vocabulary_path(), encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    words = list(WORDS)
+    for token in sorted(tokens, key=tokens.get):
+        if token[:1] == "\u0120" and len(token) > 3 and token[1:].isascii() and token[1:].isalpha():
+            words.append(token[1:].lower())
+    automaton = ahocorasick.Automaton()
+    for rank, word in enumerate(list(dict.fromkeys(words))[:MOST_WORDS], 1):
+        automaton.add_word(word, (len(word), rank))
+    automaton.make_automaton()
+    return automaton
+
+
 _PLACE = {c: (y, x) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 _CUT = math.log10(20)
@@ -62,18 +99,18 @@ def _next_to(a: str, b: str) -> bool:
     return a != b and abs(ya - yb) <= 1 and abs(xa - xb) <= 1
 
 
-def _pieces(value: str) -> dict[int, list[tuple[int, float]]]:
+def _pieces(value: str, words) -> dict[int, list[tuple[int, float]]]:
     """By end: (start, cost) of the words, dates, repeats, walks and sequences in value."""
     found: dict[int, list[tuple[int, float]]] = {}
     add = lambda i, j, cost: found.setdefault(j, []).append((i, cost))
     n, low = len(value), value.lower() if len(value.lower()) == len(value) else value
     plain = "".join(SUBSTITUTES.get(c, c) for c in low)
-    for i in range(n):
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            for form, extra in ((low, 0.0), (plain, 1.0)):
-                if (rank := _RANK.get(form[i:j])) and (extra == 0 or plain[i:j] != low[i:j]):
-                    capital = 0.0 if value[i:j] == low[i:j] else math.log10(2) if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else math.log10(2) * (j - i)
-                    add(i, j, math.log10(rank) + extra + capital)
+    for form, extra in ((low, 0.0), (plain, 1.0)):
+        for last, (size, rank) in words.iter(form):
+            i, j = last + 1 - size, last + 1
+            if extra == 0 or plain[i:j] != low[i:j]:
+                capital = 0.0 if value[i:j] == low[i:j] else math.log10(2) if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else math.log10(2) * (j - i)
+                add(i, j, math.log10(rank) + extra + capital)
     at = 0
     while m := _DATE.search(value, at):  # overlapping starts count too
         add(m.start(), m.end(), math.log10(120 if m.end() - m.start() == 4 else 365 * 120))
@@ -102,9 +139,9 @@ def _pieces(value: str) -> dict[int, list[tuple[int, float]]]:
     return found
 
 
-def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses that the cheapest cut of value needs; 0 for the empty value."""
-    pieces, n = _pieces(value), len(value)
+def guess_cost(value: str, words=None) -> float:
+    """Decimal logarithm of the guesses that the cheapest cut of value needs; 0 for the empty value. words: a dictionary."""
+    pieces, n = _pieces(value, words or dictionary()), len(value)
     # done[j]: cheapest for value[:j]; open_[j]: the same with a brute-force span that ends at j
     done, open_ = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for j in range(1, n + 1):
@@ -117,25 +154,34 @@ def guess_cost(value: str) -> float:
     return done[n]
 
 
-def find_secrets(text: str, threshold: float = SECRET_COST) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) in code points, by start and then kind; score: the guess cost of the span's value."""
-    spans: list[tuple[str, int, int, float]] = []
+def refers(value: str, threshold: float, words) -> bool:
+    """True for a value that names where a secret is kept, not the secret."""
+    if REFERENCE.match(value):
+        return True
+    return bool(PATH.match(value)) and all(guess_cost(part, words) < threshold for part in re.split(r"\.|::|->|/", value))
+
+
+def find_secrets(text: str, threshold: float = SECRET_COST, words=None) -> list[tuple[str, int, int, float | None]]:
+    """(kind, start, end, score) in code points, by start and then kind; score: the guess cost of a guess span's value."""
+    spans: list[tuple[str, int, int, float | None]] = []
     low = text.lower()
     if any(h in low for h in HINTS):
-        for m in ASSIGN.finditer(text):
-            if len(m[2]) >= 8:
-                spans.append(("assign", m.start(), m.end(), guess_cost(m[2])))
+        words = words or dictionary()
+        spans += [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         for m in CONTEXT.finditer(text):
-            which = next(g for g in (1, 2, 3) if m[g] is not None)
-            if (cost := guess_cost(m[which].rstrip(".,;"))) >= threshold:
-                spans.append(("guess", m.start(which), m.start(which) + len(m[which].rstrip(".,;")), cost))
+            which = next(g for g in (2, 3, 4) if m[g] is not None)
+            value = m[which].rstrip(".,;")
+            if m[1] and value.isascii() and value.isalpha() and value.islower() or refers(value, threshold, words):
+                continue
+            if (cost := guess_cost(value, words)) >= threshold:
+                spans.append(("guess", m.start(which), m.start(which) + len(value), cost))
     if "AKIA" in text:
-        spans += [("access", m.start(), m.end(), guess_cost(m[0])) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    spans += [("hex", m.start(), m.end(), guess_cost(m[0])) for m in HEX.finditer(text)]
+        spans += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    spans += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def redact(text: str, spans: list[tuple[str, int, int, float]], mark: str = "[SECRET]") -> str:
+def redact(text: str, spans: list[tuple[str, int, int, float | None]], mark: str = "[SECRET]") -> str:
     """text with every maximal stretch that spans cover replaced by mark."""
     out, at = [], 0
     for _, i, j, _ in spans:
@@ -149,27 +195,29 @@ def redact(text: str, spans: list[tuple[str, int, int, float]], mark: str = "[SE
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
 
-def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SECRET_COST) -> DataFrame:
+def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SECRET_COST, vocabulary: str | None = None) -> DataFrame:
     """key, spans (array of kind, start, end, score) and redacted (the text without them) for every row.
 
     A null text counts as empty and has no spans; its redacted text stays null. Repeated rows stay repeated; other
     columns are dropped; an empty table gives none. Spans of different kinds may overlap; of one kind they don't,
-    and a guess span is a value alone.
+    and a guess span is a value alone; score is null but for guess spans. vocabulary: path of the dictionary's tokenizer
+    file, which every executor reads.
     """
 
     def body(keys, texts):
         for k, t in zip(keys, texts):
-            spans = find_secrets(t or "", threshold)
+            spans = find_secrets(t or "", threshold, dictionary(vocabulary))
             yield k, [dict(zip(("kind", "start", "end", "score"), s)) for s in spans], t if t is None or not spans else redact(t, spans)
 
     return map_rows(df.withColumns({"__key": F.col(key), "__text": F.col(text)}), ["__key", "__text"], f"{key} {dict(df.dtypes)[key]}, spans array<{SPAN}>, redacted string", body)
 
 
-def redact_secrets(df: DataFrame, text: str = "text", threshold: float = SECRET_COST) -> DataFrame:
+def redact_secrets(df: DataFrame, text: str = "text", threshold: float = SECRET_COST, vocabulary: str | None = None) -> DataFrame:
     """df with its texts' secrets replaced by a mark. Null texts stay null; rows and other columns stay as they are."""
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        found = ((t, find_secrets(t or "", threshold)) for t in texts)
+        found = ((t, find_secrets(t or "", threshold, dictionary(vocabulary))) for t in texts)
         return pd.Series([redact(t, spans) if spans else t for t, spans in found], dtype=object)
 
     return df.withColumn(text, clean(F.col(text)))
