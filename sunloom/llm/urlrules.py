@@ -129,8 +129,22 @@ BASE_RULES = [
     UrlRule("||com/en/", "block", 1), UrlRule("||example.com/en/7", "allow", 1), UrlRule("||net/de/", "allow", 1),
     UrlRule("||example.net/de/8", "block", 1), UrlRule("||org/es/", "block", 1),
 ]
-#: Pattern rules of the method: spam host names, wherever they stand as a label.
-SPAM_RULES = [UrlRule(f"^{x}.", "block") for x in ("casino-win", "free-bets", "cheap-pills", "adult-cam", "xxx-videos", "payday-loans", "hot-singles")]
+# Spam names, wherever they stand as a label, and words that start the label of a host to be blocked.
+SPAM_NAMES = ("casino-win", "free-bets", "cheap-pills", "adult-cam", "xxx-videos", "payday-loans", "hot-singles")
+SPAM_WORDS = ("adult", "ads", "bets", "cams", "casino", "escort", "gambling", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "xxx")
+SPAM_RULES = [UrlRule(f"^{x}.", "block") for x in SPAM_NAMES] + [UrlRule(f"||{w}{c}*", "block") for w in SPAM_WORDS for c in "-."]
+
+
+def read_rules(rules: DataFrame) -> list[UrlRule]:
+    """Rules from a table of pattern, verdict and tier (0 where it is null or missing), by tier, pattern and verdict.
+
+    At most MAX_RULES, counted first; rows without pattern or verdict are left out, repeated rules are one.
+    """
+    tier = F.coalesce(F.col("tier"), F.lit(0)) if "tier" in rules.columns else F.lit(0)
+    kept = rules.select("pattern", "verdict", tier.cast("int").alias("tier")).dropna().distinct()
+    if (n := kept.count()) > MAX_RULES:
+        raise ValueError(f"{n} rules; at most {MAX_RULES} fit a plan literal")
+    return [UrlRule(r["pattern"], r["verdict"], r["tier"]) for r in kept.orderBy("tier", "pattern", "verdict").collect()]
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -139,7 +153,7 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", F.when(F.col("rule_tier") == 1, F.col("rule")).alias("rule"), "verdict")
 
 
-_SPAM = "|".join(r.pattern[1:-1] for r in SPAM_RULES)
+_SPAM, _WORDS = "|".join(SPAM_NAMES), "|".join(SPAM_WORDS)
 OP9_SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -153,6 +167,6 @@ decided AS (
                FROM rules WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)) AS best
   FROM parts p)
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.verdict, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9_%-])({_SPAM})[.]') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(best.verdict, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9_%-])({_SPAM})[.]') OR regexp_matches(host, '(^|[.])({_WORDS})[.-]') THEN 'block' ELSE 'allow' END) AS verdict
 FROM decided
 """
