@@ -69,35 +69,78 @@ def pack_bits(row: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw_widths(places: np.ndarray) -> np.ndarray:
+    """Widths of codes by their place behind the last clear code: 9 to 12 bits, widened one code early."""
+    known = 258 + np.maximum(places - 1, 0)  # entries when the code is read: each code but the first made one
+    return 9 + (known >= 511) + (known >= 1023) + (known >= 2047)
+
+
 def unpack_lzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes most significant bit first, 9 to 12 bits wide, widened one code early; 256 clears, 257 ends."""
+    """TIFF's LZW: codes most significant bit first; 256 clears, 257 ends. Codes are read a table's worth at a time."""
     first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last = list(first), 9, b""
-    out, held, bits, at = [], 0, 0, 0
+    raw = np.frombuffer(data + bytes(3), "u1").astype(np.int64)
+    windows, end = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], 8 * len(data)
+    out: list[bytes] = []
+    table, last, place, at = list(first), b"", 0, 0
     while True:
-        while bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            held, bits, at = held << 8 | data[at], bits + 8, at + 1
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
+        widths = _lzw_widths(np.arange(place, place + 4096))
+        starts = at + np.cumsum(widths) - widths
+        n = int(np.searchsorted(starts + widths, end, side="right"))
+        codes = (windows[starts[:n] >> 3] >> 24 - (starts[:n] & 7) - widths[:n]) & (1 << widths[:n]) - 1
+        marks = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(marks[0]) if len(marks) else n
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                word = table[code]
+            elif code == len(table) and last:
+                word = last + last[:1]
+            else:
+                raise TiffError("an LZW code is out of its table")
+            out.append(word)
+            if last:
+                table.append(last + word[:1])
+            last = word
+        if len(marks) and codes[stop] == 256:
+            table, last, place, at = list(first), b"", 0, int(starts[stop] + widths[stop])
+        elif len(marks) or n < 4096:  # the end, or no whole code is left
             return b"".join(out)
-        if code == 256:
-            table, width, last = list(first), 9, b""
-            continue
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and last:
-            word = last + last[:1]
         else:
-            raise TiffError("an LZW code is out of its table")
-        out.append(word)
-        if last:
-            table.append(last + word[:1])
-        last = word
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+            place, at = place + n, int(starts[n - 1] + widths[n - 1])
+
+
+#: Codes of a table: with so many behind a clear code every code stays within 12 bits.
+LZW_CODES = 3836
+
+
+def pack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW of data; widths follow from each code's place behind its clear code, so bits are laid out at once."""
+    codes, places, size = [256], [0], 0
+    table: dict[int, int] = {}
+    word, find = data[0] if data else -1, table.get
+    for c in data[1:]:
+        longer = find(word << 8 | c)
+        if longer is not None:
+            word = longer
+            continue
+        codes.append(word)
+        places.append(size)
+        table[word << 8 | c] = 258 + size
+        word, size = c, size + 1
+        if size == LZW_CODES:
+            codes.append(256)
+            places.append(size)
+            size = 0
+            table.clear()
+    if word >= 0:
+        codes.append(word)
+        places.append(size)
+        size += 1
+    codes.append(257)
+    places.append(size)
+    widths = _lzw_widths(np.array(places))
+    at = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+    bits = np.repeat(np.array(codes), widths) >> (np.repeat(widths, widths) - 1 - at) & 1
+    return np.packbits(bits.astype("u1")).tobytes()
 
 
 def _inflate(data: bytes) -> bytes:
@@ -228,33 +271,35 @@ def decode_page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
 
 PIXELS, SAMPLES_PER_PIXEL = 64, 3
 ROW = PIXELS * SAMPLES_PER_PIXEL
-STRIP_ROWS, TILE_ROWS, TILED_FROM, PACKED_BELOW = 128, 64, 256, 8
+STRIP_ROWS, TILE_ROWS = 128, 64
+CODECS = (PACKBITS, LZW, DEFLATE)
 
 
 def encode(payload: bytes) -> bytes:
     """One RGB page, 64 pixels wide, of a payload of whole rows (192 bytes each).
 
-    Fewer than PACKED_BELOW rows are PackBits strips, others deflate with the horizontal predictor: strips, or tiles from
-    TILED_FROM rows on. The layout depends on the payload's length alone.
+    The payload's CRC chooses between PackBits, LZW and deflate and between strips and tiles, whatever its size. LZW and
+    deflate come with the horizontal predictor.
     """
     if not payload or len(payload) % ROW:
         raise ValueError(f"a payload is a positive multiple of {ROW} bytes")
-    rows = len(payload) // ROW
+    rows, choice = len(payload) // ROW, zlib.crc32(payload)
     page = np.frombuffer(payload, "u1").reshape(rows, PIXELS, SAMPLES_PER_PIXEL)
-    tiled, packed = rows >= TILED_FROM, rows < PACKED_BELOW
+    codec, tiled = CODECS[choice % 3], choice // 3 % 2 == 1
+    packed = codec == PACKBITS
     step = TILE_ROWS if tiled else STRIP_ROWS
     blocks = []
     for y in range(0, rows, step):
         block = page[y : y + step]
+        if tiled and len(block) < step:
+            block = np.concatenate([block, np.zeros((step - len(block), *block.shape[1:]), "u1")])
         if packed:
             blocks.append(b"".join(pack_bits(r.tobytes()) for r in block))
             continue
-        if tiled and len(block) < step:
-            block = np.concatenate([block, np.zeros((step - len(block), *block.shape[1:]), "u1")])
         differences = block.copy()
         differences[:, 1:] -= block[:, :-1]
-        blocks.append(zlib.compress(differences.tobytes(), 6))
-    tags = {WIDTH: [PIXELS], HEIGHT: [rows], BITS: [8] * SAMPLES_PER_PIXEL, COMPRESSION: [PACKBITS if packed else DEFLATE], PHOTOMETRIC: [2], SAMPLES: [SAMPLES_PER_PIXEL], PLANAR: [1], PREDICTOR: [1 if packed else 2]}
+        blocks.append(pack_lzw(differences.tobytes()) if codec == LZW else zlib.compress(differences.tobytes(), 6))
+    tags = {WIDTH: [PIXELS], HEIGHT: [rows], BITS: [8] * SAMPLES_PER_PIXEL, COMPRESSION: [codec], PHOTOMETRIC: [2], SAMPLES: [SAMPLES_PER_PIXEL], PLANAR: [1], PREDICTOR: [1 if packed else 2]}
     at, offsets = 8, []
     for b in blocks:
         offsets.append(at)
