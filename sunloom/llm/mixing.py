@@ -58,18 +58,19 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_
 
 
 def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """key, source, size, source_size, target, copies, taken (copies * size) and finish (time of the first copy; null without
-    target) per row.
+    """key, source, size, source_size, target, copies, taken (copies * size), finish (time of the first copy; null without
+    target) and number per row.
 
-    A null source is a source, the last one; a null or empty text has size 0 and no copies. Rows that agree in key and
-    size (repeated rows) share a shuffled place one after the other, so reruns agree. An empty table gives none.
+    A null source is a source, the last one; a null or empty text has size 0 and no copies. Rows that agree in key, source
+    and size (repeated rows, null keys) share a shuffled place, are planned as one row of their count, and come out one
+    after the other: number, from 1, is the row's place among them. An empty table gives none.
     """
-    rows = docs.select(F.col(key).alias("__id"), F.col(source).alias("source"), size.alias("size")).withColumn("place", shuffle_key(F.col("__id"), F.col("size"), seed))
-    rows = durable(rows)
-    n = rows.count()
-    shift = max(0, (n // RANGE_ROWS).bit_length())
+    rows = docs.select(F.col(key).alias("__id"), F.col(source).alias("source"), size.alias("size")).groupBy("__id", "source", "size").agg(F.count("*").alias("n"))
+    rows = durable(rows.withColumn("place", shuffle_key(F.col("__id"), F.col("size"), seed)))
+    shift = max(0, (rows.count() // RANGE_ROWS).bit_length())
     rows = rows.withColumn("range", F.shiftright("place", KEY_BITS - shift))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    words = F.col("n") * F.col("size")
+    ranges = rows.groupBy("source", "range").agg(F.sum(words).alias("words"))
     shares = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -77,7 +78,12 @@ def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "
     ranges = ranges.join(shares, same(ranges, shares, "source")).select(ranges["source"], "range", "before", "source_size", "rank", "target")
     placed = rows.join(ranges, same(rows, ranges, "source", "range")).select(rows["*"], "before", "source_size", "rank", "target")
     order = Window.partitionBy("source", "range").orderBy("place", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = durable(placed.withColumn("upto", F.col("before") + F.sum("size").over(order)))
+    placed = placed.withColumn("before", F.col("before") + F.sum(words).over(order) - words)
+    # as many rows as are repeated; those of a count over RANGE_ROWS are dealt as parts first
+    parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / RANGE_ROWS) - 1)))
+    parts = parts.filter(F.col("n") <= RANGE_ROWS).unionByName(parts.filter(F.col("n") > RANGE_ROWS).repartition("__id", "source", "size", "part"))
+    number = F.explode(F.sequence(F.col("part") * RANGE_ROWS + 1, F.least("n", (F.col("part") + 1) * RANGE_ROWS)))
+    placed = durable(parts.withColumn("number", number).withColumn("upto", F.col("before") + F.col("number") * F.col("size")).drop("n", "part", "before"))
     # copies in the global order, by ranges of finish time: those that start before time 1 hold the budget
     copies = placed.filter("size > 0 and target > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(MOST_COPIES - 1))))
     done = lambda k: F.try_divide((k * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
@@ -111,27 +117,34 @@ def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "
     starts = [(F.lit(k) * F.col("source_size") + F.col("upto") - F.col("size")) < F.col("target") for k in range(MOST_COPIES)]
     count = sum((F.when(f & s, 1).otherwise(0) for f, s in zip(fits, starts)), F.lit(0))
     return placed.withColumn("copies", F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(count, taken)).otherwise(0)).select(
-        F.col("__id").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), done(F.lit(0)).alias("finish")
+        F.col("__id").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), done(F.lit(0)).alias("finish"), "number"
     )
 
 
+#: Rows that agree in key, source and size are numbered by so many parts, by the hash of their texts.
+NUMBERED = 1024
+
+
 def mixture(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, seed: int = 0) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as its copies say, range-sorted by finish time.
 
-    Rows are found again by (key, size), so rows that agree in both take the copies of all of them in turn. All columns
-    of docs are kept, and no others.
+    Rows are found again by key, source and size; rows that agree in all three are interchangeable for the plan, are
+    numbered by their texts' hashes, and take the copies of the plan's row of that number. Null texts have no words and are
+    not taken. All columns of docs are kept, whatever their names, and no others; an empty table gives none.
     """
-    plan = plan_mix(docs, word_count(F.col(text)), key, source, weights, seed)
-    # rows that agree in key, source and size are interchangeable for the plan: numbered alike on both sides
-    number = lambda names: F.row_number().over(Window.partitionBy(*names).orderBy(names[-1]))
-    mine = docs.withColumn("__size", word_count(F.col(text)))
-    mine = mine.withColumn("__n", number([key, source, "__size"]))
-    plan = plan.select(F.col(key).alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__z"), "source_size", "target", "copies", "finish").withColumn("__m", number(["__k", "__s", "__z"]))
-    plan = plan.filter("copies > 0")
-    met = mine.join(plan, mine[key].eqNullSafe(plan["__k"]) & mine[source].eqNullSafe(plan["__s"]) & (mine["__size"] == plan["__z"]) & (mine["__n"] == plan["__m"]))
-    each = met.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = each.withColumn("__at", F.col("finish") + F.col("__copy") * F.col("source_size") / F.col("target"))
-    return each.repartitionByRange(F.col("__at"), F.col("__k")).sortWithinPartitions("__at", "__k").select(*docs.columns)
+    plan = plan_mix(docs, word_count(F.col(text)), key, source, weights, seed).filter("copies > 0")
+    group = lambda k, s, z: F.struct(k.alias("k"), s.alias("s"), z.alias("z"))  # noqa: E731  (never null: joins by plain equality)
+    plan = plan.select(group(F.col(key), F.col("source"), F.col("size")).alias("g"), F.col("number").alias("n"), "source_size", "target", "copies", "finish")
+    mine = docs.select(F.struct("*").alias("row"), group(F.col(key), F.col(source), word_count(F.col(text))).alias("g"), F.xxhash64(text).alias("h"))
+    mine = mine.withColumn("part", F.pmod("h", NUMBERED))
+    counts = mine.groupBy("g", "part").agg(F.count("*").alias("rows"))
+    earlier = F.sum("rows").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("g", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    mine = mine.withColumn("n", F.row_number().over(Window.partitionBy("g", "part").orderBy("h"))).join(counts, ["g", "part"])
+    met = mine.select("row", "g", (F.col("n") + F.col("earlier")).alias("n")).join(plan, ["g", "n"])
+    each = met.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    each = each.withColumn("at", F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target"))
+    return each.repartitionByRange("at", "g.k").sortWithinPartitions("at", "g.k").select("row.*")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
