@@ -83,13 +83,14 @@ def format_chats(turns: DataFrame, template: ChatTemplate = INSTRUCT) -> DataFra
     segments: array of (text, loss). valid: the machine accepts every turn; bad_turn: index from 0 of the first that
     it does not, else null. complete: valid and it ends in a final state. Turns stand by turn, then role, then escaped
     text, nulls first, so ties and repeated rows have one order; a null text counts as empty, a null role as an
-    unknown role named by the empty string; rows of a null conv_id are one conversation. Other input columns are
+    unknown role named by the empty string; a row of a null conv_id is a conversation of its own. Other input columns are
     dropped; an empty table gives none. The result of a conversation is one string, so a conversation must fit a task.
     """
     t = template
     # turns are escaped row by row, before they move
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), t.escape(F.coalesce(F.col("text"), F.lit(""))).alias("body")).alias("turn"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    chats = rows.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    chats = chats.unionByName(rows.filter(F.col("conv_id").isNull()).select("conv_id", F.array("turn").alias("turns")))
     opener = lambda r: _by_role(t, r, lambda m: F.lit(m.opener), F.concat(F.lit(t.other[0]), F.hex(F.coalesce(r, F.lit(""))), F.lit(t.other[1])))
     closer = lambda r: _by_role(t, r, lambda m: F.lit(m.closer + t.end), F.lit(t.other[2] + t.end))
     loss = lambda r: _by_role(t, r, lambda m: F.lit(m.loss), F.lit(False))
