@@ -45,13 +45,33 @@ HARD = [
     (8, "one two", "en", "b", 7, "v"),
 ]
 HARD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
+#: Columns whose names operators use inside, and one of a type that cannot be hashed or compared.
+CLASHING = {"copies": "long", "target": "double", "finish": "string", "source_size": "long", "number": "int", "size": "long", "node": "long", "root": "long", "key": "string", "row": "long", "spans": "string"}
+
+
+def with_clashes(df):
+    from pyspark.sql import functions as F
+
+    return df.withColumns({**{c: F.lit(3).cast(t) for c, t in CLASHING.items()}, "extra": F.create_map(F.lit("a"), F.col("lang"))})
 
 
 @pytest.fixture(scope="session")
 def hard(spark):
-    return spark.createDataFrame(HARD, HARD_SCHEMA)
+    return with_clashes(spark.createDataFrame(HARD, HARD_SCHEMA))
 
 
 @pytest.fixture(scope="session")
 def nothing(spark):
-    return spark.createDataFrame([], HARD_SCHEMA)
+    return with_clashes(spark.createDataFrame([], HARD_SCHEMA))
+
+
+@pytest.fixture(scope="session")
+def huge(spark):
+    """A text of four megabytes in one line, one of three in many, and short ones around them."""
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(600_000)]
+    lines = "\n".join(" ".join(words[i : i + 9]) for i in range(0, 450_000, 9))
+    rows = [(1, " ".join(words), "en", "a", 1, "x"), (2, "a few words here", "en", "a", 1, "x"), (3, lines, "en", "b", 1, "x"), (4, " ".join(words), "en", "b", 1, "x")]
+    return with_clashes(spark.createDataFrame(rows, HARD_SCHEMA))

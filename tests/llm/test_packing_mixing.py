@@ -154,3 +154,22 @@ def test_mixture_rows(spark, hard, nothing):
     assert mixing.mixture(hard).columns == hard.columns
     assert mixing.mixture(nothing).count() == 0
     assert mixing.plan_mix(nothing, mixing.word_count(F.col("text"))).count() == 0
+
+
+def test_rows_that_agree_are_split(spark, monkeypatch):
+    """Rows of one key, source and size, as null keys have, are planned by their count and dealt in parts; SQL has one by one."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    rows = [(None, "a", "five words are in here")] * 100 + [(i, s, "some words " * (i % 9)) for i in range(60) for s in "ab"] + [(5, "b", "x y")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    plan = mixing.plan_mix(docs, mixing.word_count(F.col("text"))).collect()
+    assert len(plan) == len(rows)
+    want = Counter((None if r[0] is None or r[0] != r[0] else int(r[0]), r[1], r[2]) for r in con.sql(f"SELECT doc_id, size, copies FROM ({mixing.OP3_SQL})").fetchall())
+    assert Counter((r["doc_id"], r["size"], r["copies"]) for r in plan) == want
+    numbers = sorted(r["number"] for r in plan if r["doc_id"] is None)
+    assert numbers == list(range(1, 101))
+    taken = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.mixture(docs).collect())
+    assert sum(taken.values()) == sum(r["copies"] for r in plan)
+    for (k, s, t), n in taken.items():
+        assert n == sum(r["copies"] for r in plan if (r["doc_id"], r["source"], r["size"]) == (k, s, len(t.split())))

@@ -64,6 +64,25 @@ def test_stages_take_hard_rows(spark, table, request):
     assert (out.count() > 0) == (table == "hard")
 
 
+def test_stages_take_megabytes(spark, huge):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, huge, SMALL).collect()
+        ids = sorted({r["doc_id"] for r in out})
+        # few words fail a rule; equal texts and one that holds three quarters of them are one; the mix takes each text that has words
+        assert ids == ([1, 3, 4] if name == "quality_rules" else [1, 2] if name == "near_dedup" else [1, 2, 3, 4] if name == "secret_scan" else ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, huge, SMALL).count() > 1000
+
+
+def test_run_leaves_one_stage_table(spark):
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("pipeline-*"))
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    (new,) = set(folder.glob("pipeline-*")) - before
+    assert [x.name for x in new.iterdir()] == ["mix_sources"]
+
+
 def test_packed_rows_hold_the_ids(spark):
     """Each document's ids, put together again from the sequences they were packed into, are the tokenizer's."""
     from tokenizers import Tokenizer
