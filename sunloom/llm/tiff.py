@@ -8,6 +8,7 @@ damaged or not read gives a row with its error, as does a damaged file.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -45,27 +46,24 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(row: bytes) -> bytes:
-    """Runs of three and more as runs, the rest as literals."""
-    out, i, literal, n = bytearray(), 0, 0, len(row)
+    """Runs of three to 128 as runs, the rest as literals."""
+    out, at = bytearray(), 0
 
-    def flush(end: int) -> None:
-        for a in range(literal, end, 128):
-            piece = row[a : min(a + 128, end)]
+    def literals(end: int) -> None:
+        for i in range(at, end, 128):
+            piece = row[i : min(i + 128, end)]
             out.append(len(piece) - 1)
             out.extend(piece)
 
-    while i < n:
-        j = i + 1
-        while j < n and row[j] == row[i] and j - i < 128:
-            j += 1
-        if j - i >= 3:
-            flush(i)
-            out.append(257 - (j - i))
-            out.append(row[i])
-            literal = j
-        i = j
-    flush(n)
+    for run in _RUN.finditer(row):
+        literals(run.start())
+        out.extend((257 - len(run[0]), run[0][0]))
+        at = run.end()
+    literals(len(row))
     return bytes(out)
 
 
@@ -278,28 +276,30 @@ CODECS = (PACKBITS, LZW, DEFLATE)
 def encode(payload: bytes) -> bytes:
     """One RGB page, 64 pixels wide, of a payload of whole rows (192 bytes each).
 
-    The payload's CRC chooses between PackBits, LZW and deflate and between strips and tiles, whatever its size. LZW and
-    deflate come with the horizontal predictor.
+    The payload's CRC chooses between PackBits, LZW and deflate and between strips and tiles, whatever its size. Deflate
+    comes with the horizontal predictor; LZW without, as differences of text repeat too little for its table.
     """
     if not payload or len(payload) % ROW:
         raise ValueError(f"a payload is a positive multiple of {ROW} bytes")
     rows, choice = len(payload) // ROW, zlib.crc32(payload)
     page = np.frombuffer(payload, "u1").reshape(rows, PIXELS, SAMPLES_PER_PIXEL)
     codec, tiled = CODECS[choice % 3], choice // 3 % 2 == 1
-    packed = codec == PACKBITS
     step = TILE_ROWS if tiled else STRIP_ROWS
     blocks = []
     for y in range(0, rows, step):
         block = page[y : y + step]
         if tiled and len(block) < step:
             block = np.concatenate([block, np.zeros((step - len(block), *block.shape[1:]), "u1")])
-        if packed:
+        if codec == PACKBITS:
             blocks.append(b"".join(pack_bits(r.tobytes()) for r in block))
             continue
+        if codec == LZW:
+            blocks.append(pack_lzw(block.tobytes()))
+            continue
         differences = block.copy()
         differences[:, 1:] -= block[:, :-1]
-        blocks.append(pack_lzw(differences.tobytes()) if codec == LZW else zlib.compress(differences.tobytes(), 6))
-    tags = {WIDTH: [PIXELS], HEIGHT: [rows], BITS: [8] * SAMPLES_PER_PIXEL, COMPRESSION: [codec], PHOTOMETRIC: [2], SAMPLES: [SAMPLES_PER_PIXEL], PLANAR: [1], PREDICTOR: [1 if packed else 2]}
+        blocks.append(zlib.compress(differences.tobytes(), 6))
+    tags = {WIDTH: [PIXELS], HEIGHT: [rows], BITS: [8] * SAMPLES_PER_PIXEL, COMPRESSION: [codec], PHOTOMETRIC: [2], SAMPLES: [SAMPLES_PER_PIXEL], PLANAR: [1], PREDICTOR: [2 if codec == DEFLATE else 1]}
     at, offsets = 8, []
     for b in blocks:
         offsets.append(at)
