@@ -20,17 +20,23 @@ def by_time(by: Sequence[str], *order: str) -> Window:
 
 #: Width of the ranges that stand for days where the first order column is a number.
 NUMBERS = 65_536
+#: Characters at the start of a string that stand for its day.
+PREFIX = 4
 
 
 def _with_day(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df with __day: of an instant its day, of a number its range; other types have one range in all."""
+    """df with __day: of an instant its day, of a number its range, of a string its first characters; other types are refused."""
     kind, c = dict(df.dtypes)[order[0]], F.col(order[0])
     if kind.startswith("timestamp") or kind == "date":
         day = F.to_date(c)
     elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
         day = F.floor(c / NUMBERS)
+    elif kind == "string":
+        day = F.substring(c, 1, PREFIX)
+    elif kind == "boolean":
+        day = c
     else:
-        day = F.lit(0)
+        raise TypeError(f"rows are not ordered by {order[0]}: {kind} has no ranges")
     return df.withColumn("__day", day)
 
 

@@ -21,15 +21,19 @@ def stream_gaps(rows: DataFrame, by: str, longer_minutes: float, ts: str = "ts")
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        found = []
-        for instants in (b[ts].sort_values() for b in batches):
-            for t in instants:
-                if last is not None and (t - last).total_seconds() > 60 * longer_minutes:
-                    found.append((key[0], last, t, (t - last).total_seconds() / 60))
-                last = t if last is None else max(last, t)
+        for batch in batches:
+            t = batch[ts].dropna().sort_values().reset_index(drop=True)
+            if t.empty:
+                continue
+            before = t.shift(1)
+            if last is not None:  # rows that come late are before it
+                before = before.fillna(last).clip(lower=last)
+            minutes = (t - before).dt.total_seconds() / 60
+            found = pd.DataFrame({by: key[0], "after": before, "until": t, "minutes": minutes})
+            last = t.iloc[-1] if last is None else max(last, t.iloc[-1])
+            yield found[minutes > longer_minutes]
         if last is not None:
             state.update((last.value // 1000,))
-        yield pd.DataFrame(found, columns=[by, "after", "until", "minutes"])
 
     schema = f"{by} {dict(rows.dtypes)[by]}, after timestamp, until timestamp, minutes double"
     return rows.select(by, ts).groupBy(by).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)

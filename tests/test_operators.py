@@ -444,3 +444,16 @@ def test_ranges_of_an_order_join_up(spark, monkeypatch, width):
     filled = [r["v"] for r in collect(ordered.interpolate(rows, ["loc"], "v", ["i"], 2))]
     assert filled == [1, 2, None, 1, 2, 3, None, 5, 6, 5, 4, None, 2, 2, 2, 3, 3.5, 4]
     assert [(r["loc"], r["n"]) for r in ordered.runs(rows, ["loc"], F.col("v").isNull(), ["i"], 3, "i").collect()] == [("a", 3), ("a", 3)]
+
+
+def test_order_by_text_and_refusal(spark):
+    words = ["apple", "apples", "applf", "b", "", None, "zoo", "apple pie"]
+    rows = spark.createDataFrame([("x", w, i) for i, w in enumerate(words)], "loc string, w string, i int")
+    got = {r["w"]: r["total"] for r in ordered.running_sum(rows, ["loc"], ["w"], "i", "total").collect()}
+    order, want, total = sorted(words, key=lambda w: (w is not None, w or "")), {}, 0
+    for w in order:
+        total += words.index(w)
+        want[w] = total
+    assert got == want
+    with pytest.raises(TypeError):
+        ordered.running_sum(rows.withColumn("a", F.array("i")), ["loc"], ["a"], "i", "total")
