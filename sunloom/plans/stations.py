@@ -303,6 +303,13 @@ def bench_sets(spark, d) -> DataFrame:
     return _rounded(metrics.error_sets(stacked, [["loc", "method"], ["method", "regime"], ["method"]]))
 
 
+@query("SELECT event_id, CAST((1 + user_id % 7) * (2 + event_id % 5) + (2 + event_id % 5) + (2 + event_id % 5) + 1 AS INTEGER) AS parameters FROM events")
+def parameter_counts(spark, d) -> DataFrame:
+    """Weights of perceptrons with one hidden layer, from their layer sizes."""
+    sizes = F.array((1 + F.col("user_id") % 7).cast("int"), (2 + F.col("event_id") % 5).cast("int"), F.lit(1))
+    return read(spark, d, "events").select("event_id", mlp.parameters(sizes).alias("parameters"))
+
+
 @query()
 def mlp_ablation(spark, d) -> DataFrame:
     """The perceptron with all features and without its last two, by fold: parameters, epochs, best validation loss."""

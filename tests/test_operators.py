@@ -364,12 +364,20 @@ def test_mlp_loso_judges_a_location_by_models_that_did_not_see_it(spark, monkeyp
     assert want.count() > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_fits_are_bounded(spark):
-    """Of each role at most rows rows, those with the smallest hashes."""
-    rows = spark.range(50).select(F.lit(0).alias("fold_id"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("role"), F.array(F.col("id").cast("double")).alias("x"), F.col("id").cast("double").alias("y"))
-    model = mlp.fit_folds(rows, mlp.MlpSettings(hidden=(2,), epochs=1, rows=7)).collect()[0]
-    chosen = rows.filter("role = 'train'").orderBy(F.xxhash64("x", "y"), "y").limit(7).collect()
-    assert model["mean"][0] == pytest.approx(sum(r["y"] for r in chosen) / 7)
+def test_mlp_in_parts_counts_every_row(spark, monkeypatch):
+    """Folds dealt into many parts learn as well, over all rows; a fold without validation rows runs all rounds."""
+    monkeypatch.setattr(mlp, "PART_ROWS", 100)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 3))
+    y = 0.3 * x[:, 0] - 0.2 * x[:, 1]
+    data = [(k, "val" if i % 5 == 0 and k else "train", list(map(float, r)), float(v)) for k in range(2) for i, (r, v) in enumerate(zip(x, y))]
+    rows = spark.createDataFrame(data + [(0, "train", None, 1.0), (1, "train", [0.0, 0.0, 0.0], None)], "fold_id int, role string, x array<double>, y double")
+    models = mlp.fit_folds(rows, mlp.MlpSettings(hidden=(8,), epochs=25, dropout=0.0, rate=1e-2, batch=16, patience=25)).orderBy("fold_id").collect()
+    assert models[0]["mean"] == pytest.approx(x.mean(axis=0).tolist()) and models[0]["epochs"] == 25
+    assert models[1]["mean"] == pytest.approx(x[np.arange(900) % 5 > 0].mean(axis=0).tolist()) and models[1]["best_val"] < 0.1 * np.mean(mlp.huber(y, 0.1))
+    scored = mlp.score(rows.dropna(), spark.createDataFrame(models, mlp.WEIGHTS)).agg(F.avg(F.pow(F.col("guess") - F.col("y"), F.lit(2)))).first()[0]
+    assert scored < 0.1 * y.var()
+    assert mlp.fit_folds(rows.filter("role = 'test'")).count() == 0
 
 
 def test_nearest_instant(spark):
