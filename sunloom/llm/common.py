@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import checkpoint_folder, durable  # noqa: F401  (what the operators take from here)
+
 #: White space that separates words in the operators' contracts, as a regular expression class.
 BLANK = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,26 +28,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share.
-
-    Where none is set, a session in local mode gets one of its own; on a cluster this raises, as a driver's disk is not shared.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """A copy of df in the checkpoint folder, so that lost executors cost no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 #: Rows that a Python task holds as objects at a time, whatever Arrow sends.
 SLICE = 256
 

@@ -38,11 +38,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def deal_chunks(postings: DataFrame, lists: DataFrame, long: DataFrame, names: Sequence[str], node: str, chunk: int) -> DataFrame:
+def deal_chunks(postings: DataFrame, lists: DataFrame, long: DataFrame | None, names: Sequence[str], node: str, chunk: int) -> DataFrame:
     """names, x, node, lead: each of lists (names, n) by its chunks x, the leaders (lead = 1) in all of them.
 
-    long: the lists of more than chunk nodes. Postings of other lists, those of a single node, are dropped.
+    long: the lists of more than chunk nodes, None if there are none. Postings of other lists, those of a single node, are
+    dropped.
     """
+    if long is None:
+        return postings.join(lists.select(*names), list(names)).select(*names, F.lit(0).alias("x"), node, F.lit(0).alias("lead"))
     long = small(long.select(*names, F.col("n").alias("__n")))
     chunks = F.ceil(F.coalesce("__n", F.lit(1)) / chunk).cast("int")
     met = postings.join(long, list(names), "left").withColumn("__chunks", chunks)

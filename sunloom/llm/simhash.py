@@ -156,13 +156,14 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> Dat
     postings = nodes.select("fp", F.explode(posting_keys(F.col("fp"), max_bits)).alias("key")).select("fp", "key.set", "key.bytes")
     lists = durable(postings.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1"))
     long = lists.filter(F.col("n") > chunk)
+    long = None if long.isEmpty() else long
 
     def solve(dealt: DataFrame) -> DataFrame:
         keys = [*names, "x", "y"]
         return dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _links(batches, max_bits), "a bigint, b bigint").distinct()
 
     found = solve(deal_chunks(postings, lists, long, names, "fp", chunk).withColumn("y", F.col("x")))
-    if long.isEmpty():
+    if long is None:
         return found
     found = durable(found)
     roots = components(found).withColumnRenamed("node", "fp")
@@ -179,20 +180,20 @@ def components(edges: DataFrame) -> DataFrame:
     spread over tasks to meet its least neighbour.
     """
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    met, state, n = spread_join, None, edges.count()
-    if n <= MOST_BROADCAST:
+    sums = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    met, state = spread_join, sums(edges)
+    if state[0] <= MOST_BROADCAST:
         met = lambda rows, own, key, by: rows.join(own, key)
-    while n:
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = met(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         other = met(large, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = durable(other.filter("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        before, state = state, sums(edges)
+        if state == before:
             break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
