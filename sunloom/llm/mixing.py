@@ -57,15 +57,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_
     return levelled.withColumn("free", free).select("source", "source_size", "rank", F.least(F.col("most").cast("double"), F.coalesce(F.col("free.level") * F.col("weight"), F.col("most").cast("double"))).alias("target"))
 
 
-def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, seed: int = 0) -> DataFrame:
+def plan_mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, seed: int = 0, count: Column | None = None) -> DataFrame:
     """key, source, size, source_size, target, copies, taken (copies * size), finish (time of the first copy; null without
     target) and number per row.
 
     A null source is a source, the last one; a null or empty text has size 0 and no copies. Rows that agree in key, source
     and size (repeated rows, null keys) share a shuffled place, are planned as one row of their count, and come out one
-    after the other: number, from 1, is the row's place among them. An empty table gives none.
+    after the other: number, from 1, is the row's place among them. An empty table gives none. count: of how many rows a row
+    of docs stands for, one by default.
     """
-    rows = docs.select(F.col(key).alias("__id"), F.col(source).alias("source"), size.alias("size")).groupBy("__id", "source", "size").agg(F.count("*").alias("n"))
+    rows = docs.select(F.col(key).alias("__id"), F.col(source).alias("source"), size.alias("size"), (F.lit(1) if count is None else count).alias("n"))
+    rows = rows.groupBy("__id", "source", "size").agg(F.sum("n").alias("n"))
     rows = durable(rows.withColumn("place", shuffle_key(F.col("__id"), F.col("size"), seed)))
     shift = max(0, (rows.count() // RANGE_ROWS).bit_length())
     rows = rows.withColumn("range", F.shiftright("place", KEY_BITS - shift))
@@ -132,12 +134,12 @@ def mixture(docs: DataFrame, text: str = "text", key: str = "doc_id", source: st
     numbered by their texts' hashes, and take the copies of the plan's row of that number. Null texts have no words and are
     not taken. All columns of docs are kept, whatever their names, and no others; an empty table gives none.
     """
-    plan = plan_mix(docs, word_count(F.col(text)), key, source, weights, seed).filter("copies > 0")
     group = lambda k, s, z: F.struct(k.alias("k"), s.alias("s"), z.alias("z"))  # noqa: E731  (never null: joins by plain equality)
-    plan = plan.select(group(F.col(key), F.col("source"), F.col("size")).alias("g"), F.col("number").alias("n"), "source_size", "target", "copies", "finish")
     mine = docs.select(F.struct("*").alias("row"), group(F.col(key), F.col(source), word_count(F.col(text))).alias("g"), F.xxhash64(text).alias("h"))
     mine = mine.withColumn("part", F.pmod("h", NUMBERED))
-    counts = mine.groupBy("g", "part").agg(F.count("*").alias("rows"))
+    counts = durable(mine.groupBy("g", "part").agg(F.count("*").alias("rows")))
+    plan = plan_mix(counts.select("g.*", "rows"), F.col("z"), "k", "s", weights, seed, F.col("rows")).filter("copies > 0")
+    plan = plan.select(group(F.col("k"), F.col("source"), F.col("size")).alias("g"), F.col("number").alias("n"), "source_size", "target", "copies", "finish")
     earlier = F.sum("rows").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("g", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
     mine = mine.withColumn("n", F.row_number().over(Window.partitionBy("g", "part").orderBy("h"))).join(counts, ["g", "part"])
