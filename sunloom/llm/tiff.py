@@ -269,7 +269,7 @@ def decode_page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
 
 PIXELS, SAMPLES_PER_PIXEL = 64, 3
 ROW = PIXELS * SAMPLES_PER_PIXEL
-STRIP_ROWS, TILE_ROWS = 128, 64
+STRIP_ROWS, TILE_ROWS = 128, 16
 CODECS = (PACKBITS, LZW, DEFLATE)
 
 
