@@ -68,10 +68,11 @@ def _half(o: DataFrame) -> DataFrame:
     return o.groupBy("loc", A.bin_start(F.col("ts"), 30).alias("ts")).agg(F.max("value").alias("v"))
 
 
-@query(f"WITH {OBS}, {HALF} SELECT a.ts, a.v AS click, b.v AS view, c.v AS purchase FROM half a JOIN half b ON a.ts = b.ts JOIN half c ON a.ts = c.ts WHERE a.loc = 'click' AND b.loc = 'view' AND c.loc = 'purchase'")
+@query(f"WITH {OBS}, wide AS (SELECT loc, time_bucket(INTERVAL 6 HOURS, ts) AS ts, max(value) AS v FROM obs GROUP BY ALL) SELECT a.ts, a.v AS click, b.v AS view, c.v AS purchase FROM wide a JOIN wide b ON a.ts = b.ts JOIN wide c ON a.ts = c.ts WHERE a.loc = 'click' AND b.loc = 'view' AND c.loc = 'purchase'")
 def align_inner(spark, d) -> DataFrame:
-    h = _half(observations(spark, d))
-    return A.align([h.filter(F.col("loc") == x).select("ts", F.col("v").alias(x)) for x in ("click", "view", "purchase")], ["ts"])
+    """Instants that all of three locations have; bins of six hours have rows at every scale."""
+    bins = observations(spark, d).groupBy("loc", A.bin_start(F.col("ts"), 360).alias("ts")).agg(F.max("value").alias("v"))
+    return A.align([bins.filter(F.col("loc") == x).select("ts", F.col("v").alias(x)) for x in ("click", "view", "purchase")], ["ts"])
 
 
 @query(f"WITH {OBS}, {HALF} SELECT count(*) AS n FROM half a WHERE a.loc = 'click' AND NOT EXISTS (SELECT 1 FROM half b WHERE b.loc = 'view' AND b.ts = a.ts)")

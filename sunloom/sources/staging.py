@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,20 @@ def durable(df: DataFrame) -> DataFrame:
     """A copy of df in the checkpoint folder: lineage ends there, and lost executors cost no recomputation."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints for a table that no result outlives; it goes when the application ends, or by remove()."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # marked once it is there: a path that does not exist cannot be marked
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(target)
+    store.deleteOnExit(target)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
