@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import checkpoint_folder, durable  # noqa: F401  (what the operators take from here)
+from ..sources.staging import checkpoint_folder, durable, remove, scratch  # noqa: F401  (what the operators take from here)
 
 #: White space that separates words in the operators' contracts, as a regular expression class.
 BLANK = r"[\x20\x09-\x0D]"

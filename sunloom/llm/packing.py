@@ -8,9 +8,6 @@ memory whatever the input's size, and keep the packing as tight as one group's i
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
 import zlib
 from collections.abc import Iterable
 
@@ -19,62 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, map_rows
+from .bpe import ByteBpe, tokenizer_path
+from .common import map_rows, scratch
 
 LENGTH, END = 2048, 1
 GROUP_PIECES = 20_000
 SEED = 17
-#: Chunks that a task's cache of ids holds before it starts anew.
-CACHED = 400_000
-
-
-class ByteBpe:
-    """Ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
-
-    The pattern that cuts a text before BPE never joins what stands on both sides of a lone space, so ids of a text are
-    those of its space-led chunks, and chunks repeat: they are encoded once and cached. Texts where white space meets a
-    space are encoded whole. Special tokens' strings in a text count as those tokens, as the file says.
-    """
-
-    _meets = re.compile(r"\s \s|  ")
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        # Fixed rule of byte-level BPE: printable bytes stand for themselves, the others for characters from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        of_char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.special = {t["content"]: t["id"] for t in file["added_tokens"] if t["special"]}
-        ranks = {bytes(of_char[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self._bpe = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-        self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        bpe = self._bpe
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= CACHED:
-                    self.clear()
-                ids = self[chunk] = np.array(bpe.encode_ordinary(chunk), "<u4").tobytes()
-                return ids
-
-        self._chunks = Chunks()
-
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self._split.split(text))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self._meets.search(text):
-            return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        chunk = self._chunks.__getitem__
-        return chunk(first) + b"".join([chunk(" " + w) for w in rest])
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = True, as_bytes: bool = False) -> DataFrame:
@@ -134,7 +81,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
     table gives none; a length below 1 or above length raises.
     """
     # the number within the written table spreads even pieces that agree in everything
-    table = f"{checkpoint_folder(pieces.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    table = f"{scratch(pieces.sparkSession, 'pieces')}/rows"
     pieces.withColumn("__row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(table)
     numbered = pieces.sparkSession.read.parquet(table)
     groups = max(1, -(-numbered.count() // GROUP_PIECES))
@@ -151,12 +98,6 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
     return numbered.drop("sequence_id", "offset").join(places, "__row").select(*names)
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op2_pack(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     packed = pack(tokenize_pieces(docs, tokenizer_path(), as_bytes=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, linecrf, mixing, packing, quality, secrets, simhash, tiff, urlrules
+from . import chat, fillmiddle, licenses, linecrf, mixing, packing, quality, secrets, simhash, tiff, treebpe, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_url_filter": urlrules.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_fill_middle": fillmiddle.op11_fill_middle,
+    "op13_bpe_roundtrip": treebpe.op13_bpe_roundtrip,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op9_url_filter": urlrules.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_fill_middle": fillmiddle.OP11_SQL,
 }
