@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fillmiddle, licenses, linecrf, mixing, packing, quality, secrets, simhash, tiff, treebpe, urlrules
+from . import alignment, chat, fillmiddle, licenses, linecrf, mixing, packing, quality, secrets, simhash, tiff, treebpe, urlrules
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": urlrules.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_fill_middle": fillmiddle.op11_fill_middle,
+    "op12_align_tokenizers": alignment.op12_align_tokenizers,
     "op13_bpe_roundtrip": treebpe.op13_bpe_roundtrip,
 }
 ORACLE_SQL = {

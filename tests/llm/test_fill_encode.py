@@ -12,7 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sunloom.llm import bpe, fillmiddle, treebpe
+from sunloom.llm import alignment, bpe, fillmiddle, treebpe
 
 from .conftest import SMALL
 
@@ -142,3 +142,108 @@ def test_other_tokenizer_files_are_refused(library):
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": file["model"] | {"merges": file["model"]["merges"][::-1]}}, {"added_tokens": [{**file["added_tokens"][0], "lstrip": True}]}, {"model": file["model"] | {"ignore_merges": True}}):
         with pytest.raises(ValueError):
             bpe.check_plain(file | change)
+
+
+@pytest.fixture(scope="module")
+def both():
+    import sentencepiece
+
+    a = Tokenizer.from_file(bpe.tokenizer_path())
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=bpe.tokenizer_path("piece_bpe_32k.model"))
+
+
+def aligned(both, docs):
+    """The contract, pair by pair."""
+    (a, b), of_char = both, bpe.byte_characters()
+    bytes_a = {i: bytes(of_char[c] for c in t) if i != 50256 else t.encode() for t, i in a.get_vocab().items()}
+    names = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+    bytes_b = [bytes([int(n[3:5], 16)]) if b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+    done, counts = [], Counter()
+    for key, text in docs:
+        body = (" " + text).encode() if text else b""
+        ids = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        spans = [[], []]
+        for side, table in enumerate((bytes_a, bytes_b)):
+            at = 0
+            for i in ids[side]:
+                at += len(table[i])
+                spans[side].append((at, i))
+        if not text or any(b"".join(t[i] for i in x) != body for x, t in zip(ids, (bytes_a, bytes_b))):
+            done.append((key, None))
+            continue
+        ends_b = dict(spans[1])
+        links = [(i, ends_b[at]) for at, i in spans[0] if at in ends_b]
+        counts.update(links)
+        groups, held_a, rest = [], [], list(spans[1])
+        for at, i in spans[0]:
+            held_a.append(str(i))
+            if at in ends_b:
+                held_b = [str(j) for e, j in rest if e <= at]
+                rest = [(e, j) for e, j in rest if e > at] if len(rest) < 400 else rest[len(held_b) :]
+                groups.append(f"{','.join(held_a)}|{','.join(held_b)}")
+                held_a = []
+        done.append((key, (len(spans[0]), len(spans[1]), len(groups), links, ";".join(groups))))
+    top = Counter()
+    for (_, j), n in counts.items():
+        top[j] = max(top[j], n)
+    return [(k, 0, 0, 0, 0, 0, 0, "") if f is None else (k, *f[:3], len(f[3]), sum(counts[p] == top[p[1]] for p in f[3]), sum(counts[p] for p in f[3]), sha(f[4])) for k, f in done]
+
+
+def test_op12_whole_table(spark, both):
+    want = aligned(both, texts_of(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    got = alignment.op12_align_tokenizers(spark, SMALL)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert tally(got.collect()) == tally(want) and any(0 < w[5] < w[4] for w in want)
+
+
+FILES = bpe.tokenizer_path(), bpe.tokenizer_path("piece_bpe_32k.model")
+
+
+def test_align_on_hard_rows(spark, hard, nothing, huge, both, monkeypatch):
+    odd = ["a ", " a", "  a  b ", " ", "  ", "\n", "x\n y", "x \n y\n\n  z ", "a▁b", "▁", "ok ▁ then", "<s> </s><|endoftext|>", "\x00\x1c a\x85b \x1d c", "漢字 かな", "é 😀👍🏽", "don't  we'll 'S", "a  b　 c", "\t\t tab", "1 22 333  4444"]
+    docs = spark.createDataFrame([*enumerate(odd), (3, "a "), (3, "a "), (None, "ok then"), (None, None)], "doc_id long, text string")
+    for rows in (hard, docs, docs.unionByName(hard.select("doc_id", "text"))):
+        assert tally(alignment.align(rows, *FILES).collect()) == tally(aligned(both, texts_of(rows)))
+    assert alignment.align(nothing, *FILES).count() == 0 and alignment.align(nothing, *FILES).columns[0] == "doc_id"
+    words = huge.filter("doc_id < 3")
+    got = {r["doc_id"]: r for r in alignment.align(words, *FILES).collect()}
+    text = dict(texts_of(words))[1]
+    assert got[1]["n_a"] == len(both[0].encode(" " + text, add_special_tokens=False).ids) and got[1]["n_b"] == len(both[1].encode(text))
+
+
+def test_alignment_starts_anew_and_sums_as_a_tree(spark, both, monkeypatch):
+    monkeypatch.setattr(alignment, "FAN", 2)
+    docs = spark.createDataFrame([(k, f"word{k % 7} and more{k % 3} text") for k in range(40)], "doc_id long, text string").repartition(7)
+    want = tally(aligned(both, texts_of(docs)))
+    assert tally(alignment.align(docs, *FILES).collect()) == want
+    few = alignment.Aligner(*FILES)
+    keys, counts = Counter(), 0
+    for _, text in texts_of(docs):  # one text at a time, forgotten in between, counts the same
+        (n,) = few.numbers([text])
+        keys.update(dict(zip(*(x.tolist() for x in few.counts(np.bincount(n, minlength=len(few)))))))
+        few.clear()
+    known, found = alignment.pair_counts(docs, *FILES)
+    assert keys == Counter(dict(zip(known.keys.tolist(), found.tolist())))
+
+
+@given(st.sets(st.integers(0, 2**50), max_size=300))
+def test_perfect_hash(keys):
+    known = alignment.PerfectHash(np.array(sorted(keys), np.int64))
+    assert sorted(known.find(np.array(sorted(keys), np.int64)).tolist()) == list(range(len(keys)))
+    for other in (k + 1 for k in keys if k + 1 not in keys):
+        with pytest.raises(KeyError):
+            known.find(np.array([other]))
+
+
+@given(st.lists(st.text(" a\nbé漢▁'1", min_size=1, max_size=20), min_size=1, max_size=4))
+def test_chunks_keep_both_tokenizers_apart(both, texts):
+    aligner = ALIGNER.setdefault("it", None) or ALIGNER.update(it=alignment.Aligner(*FILES)) or ALIGNER["it"]
+    for text, n in zip(texts, aligner.numbers(texts, True)):
+        want = aligned(both, [(0, text)])[0]
+        assert (n is None) == (want[1] == 0)
+        if n is not None:
+            assert sha(";".join(aligner.groups[i] for i in n)) == want[7]
+
+
+ALIGNER: dict = {}
