@@ -156,6 +156,22 @@ def basis(targets: DataFrame, knot_table: DataFrame) -> DataFrame:
     return met.select("target", "level", "knot", wendland(km, F.col("support")).alias("phi")).filter("phi > 0")
 
 
+def level_starts(lat: tuple[float, float], lon: tuple[float, float], levels: Sequence[float] = LEVELS) -> list[int]:
+    """Where each level's knots begin in one numbering of all, and at the end how many there are."""
+    sizes = [knot_count(*lat, s / KM_PER_LAT) * knot_count(*lon, s / KM_PER_LON) for s in levels]
+    return [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+
+
+def basis_rows(phi: DataFrame, starts: Sequence[int]) -> DataFrame:
+    """target, at, phi: of each target the places (in the numbering of level_starts) and values that are not zero, by place.
+
+    As many entries as knots reach a target, which their number bounds.
+    """
+    place = F.element_at(F.array(*map(F.lit, starts)), F.col("level") + 1) + F.col("knot")
+    rows = phi.groupBy("target").agg(F.sort_array(F.collect_list(F.struct(place.cast("int").alias("at"), "phi"))).alias("r"))
+    return rows.select("target", F.col("r.at").alias("at"), F.col("r.phi").alias("phi"))
+
+
 def active(phi: DataFrame, least: float = 1e-6) -> DataFrame:
     """level, knot of the basis columns that any target moves."""
     return phi.groupBy("level", "knot").agg(F.max(F.abs("phi")).alias("top")).filter(F.col("top") > num(least)).select("level", "knot")

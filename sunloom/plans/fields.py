@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, audit, folds, metrics, mlp, scaling, spatial
+from ..operators import align, audit, folds, metrics, scaling, spatial
 from .registry import KM, OBS, PLACES, observations, places, query, read
 
 MET = f"met AS (SELECT t.id AS target, s.id AS source, {KM} AS km FROM targets t CROSS JOIN sources s)"
@@ -385,14 +385,3 @@ def _folds(o: DataFrame) -> DataFrame:
 def ensemble_mean(spark, d) -> DataFrame:
     guesses = [F.col("raw"), F.col("bg"), F.col("k13") / 13.0, F.col("value") * F.lit(0.002)]
     return observations(spark, d).select("event_id", (sum(guesses[1:], guesses[0]) / F.lit(4.0)).alias("guess"))
-
-
-@query()
-def mlp_loso(spark, d) -> DataFrame:
-    """A perceptron per held-out location, scored on it: errors by fold. Fitted, so there is no SQL twin."""
-    o = observations(spark, d).withColumns({"y": F.least(F.col("raw"), C.num(1.3)), "x": F.array("bg", F.col("clear") / 1000.0, F.col("k13") / 13.0, F.col("value") / 500.0)})
-    rows = folds.leave_one_out(o, _folds(o), "loc", ["ts", "event_id"])
-    train = folds.oversample(rows, (F.col("role") == "train") & (F.col("y") > 0.85), 4)
-    models = mlp.fit_folds(train, mlp.MlpSettings(hidden=(16, 16), epochs=20, dropout=0.0))
-    scored = mlp.score_held(rows, models)
-    return _rounded(metrics.error_table(scored, ["loc"], "y", "guess"))

@@ -308,16 +308,3 @@ def parameter_counts(spark, d) -> DataFrame:
     """Weights of perceptrons with one hidden layer, from their layer sizes."""
     sizes = F.array((1 + F.col("user_id") % 7).cast("int"), (2 + F.col("event_id") % 5).cast("int"), F.lit(1))
     return read(spark, d, "events").select("event_id", mlp.parameters(sizes).alias("parameters"))
-
-
-@query()
-def mlp_ablation(spark, d) -> DataFrame:
-    """The perceptron with all features and without its last two, by fold: parameters, epochs, best validation loss."""
-    o = observations(spark, d).withColumns({"y": F.least(F.col("raw"), C.num(1.3)), "x": F.array("bg", F.col("clear") / 1000.0, F.col("k13") / 13.0, F.col("value") / 500.0)})
-    rows = folds.leave_one_out(o, _folds(o), "loc", ["ts", "event_id"])
-    settings = mlp.MlpSettings(hidden=(8, 8), epochs=8, dropout=0.0)
-    found = None
-    for name, x in (("all", F.col("x")), ("basis", F.slice("x", 1, 2))):
-        part = mlp.fit_folds(rows.withColumn("x", x), settings).select(F.lit(name).alias("features"), "fold_id", mlp.parameters(F.col("sizes")).alias("parameters"), "epochs", "best_val")
-        found = part if found is None else found.unionByName(part)
-    return found

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunloom.functions import columns as C
-from sunloom.operators import align, audit, folds, metrics, mlp, ordered, scaling, spatial
+from sunloom.operators import align, audit, folds, metrics, ordered, scaling, spatial
 from sunloom.sources import files
 from sunloom.streaming import series
 
@@ -326,60 +326,6 @@ def test_covariates(spark):
     assert scaled.first()[0] == [1, 1]
 
 
-def test_mlp_learns_and_repeats(spark):
-    assert mlp.parameter_count([429, 100, 100, 100, 1]) == 63_701 - 400 and mlp.parameter_count([411, 100, 100, 100, 1]) == 61_901 - 400
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 3))
-    y = 0.3 * x[:, 0] - 0.2 * np.abs(x[:, 1])
-    data = [(k % 2, "val" if i % 5 == 0 else "train", list(map(float, r)), float(v)) for k in range(2) for i, (r, v) in enumerate(zip(x, y))]
-    rows = spark.createDataFrame(data, "fold_id int, role string, x array<double>, y double")
-    settings = mlp.MlpSettings(hidden=(16,), epochs=60, dropout=0.0, rate=1e-2, batch=64)
-    models = mlp.fit_folds(rows, settings)
-    again = mlp.fit_folds(rows, settings)
-    assert [m["weights"] for m in models.orderBy("fold_id").collect()] == [m["weights"] for m in again.orderBy("fold_id").collect()]
-    scored = mlp.score(rows, models).agg(F.avg(F.pow(F.col("guess") - F.col("y"), F.lit(2)))).first()[0]
-    assert scored < 0.1 * y.var()
-
-
-def test_held_rows_are_scored_by_their_own_fold(spark):
-    """Models that give 1 and 5 + x: every fold's rows of role test get that fold's output, all others none."""
-    models = spark.createDataFrame([(0, [1, 1], [0.0, 1.0], [0.0], [1.0], 1, 0.0), (1, [1, 1], [1.0, 5.0], [0.0], [1.0], 1, 0.0)], mlp.WEIGHTS)
-    rows = spark.createDataFrame([(k, loc, role, [x]) for k in (0, 1, 2) for loc, role, x in (("a", "test", 2.0), ("b", "train", 3.0), ("c", "val", 4.0), ("d", "test", None))], "fold_id int, loc string, role string, x array<double>")
-    got = {(r["fold_id"], r["loc"]): r["guess"] for r in mlp.score_held(rows, models).collect()}
-    assert got == {(0, "a"): 1, (0, "d"): 1, (1, "a"): 7, (1, "d"): 5, (2, "a"): None, (2, "d"): None}
-
-
-def test_mlp_loso_judges_a_location_by_models_that_did_not_see_it(spark, monkeypatch):
-    """Each fold's model gives its own fold_id: the query's errors are those of the location's own fold."""
-    from sunloom.plans import fields
-
-    def constant(rows, settings):
-        return rows.select("fold_id").distinct().select("fold_id", F.array(F.lit(4), F.lit(1)).alias("sizes"), F.array(*[F.lit(0.0)] * 4, F.col("fold_id").cast("double")).alias("weights"), F.array(*[F.lit(0.0)] * 4).alias("mean"), F.array(*[F.lit(1.0)] * 4).alias("std"))
-
-    monkeypatch.setattr(mlp, "fit_folds", constant)
-    o = fields.observations(spark, "/root/testdata/sf0.001")
-    want = fields._folds(o).join(o, F.col("held") == F.col("loc")).withColumns({"y": F.least("raw", F.lit(1.3)), "guess": F.col("fold_id").cast("double")})
-    want = fields._rounded(metrics.error_table(want, ["loc"], "y", "guess"))
-    got = fields.mlp_loso(spark, "/root/testdata/sf0.001")
-    assert want.count() > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_mlp_in_parts_counts_every_row(spark, monkeypatch):
-    """Folds dealt into many parts learn as well, over all rows; a fold without validation rows runs all rounds."""
-    monkeypatch.setattr(mlp, "PART_ROWS", 100)
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(900, 3))
-    y = 0.3 * x[:, 0] - 0.2 * x[:, 1]
-    data = [(k, "val" if i % 5 == 0 and k else "train", list(map(float, r)), float(v)) for k in range(2) for i, (r, v) in enumerate(zip(x, y))]
-    rows = spark.createDataFrame(data + [(0, "train", None, 1.0), (1, "train", [0.0, 0.0, 0.0], None)], "fold_id int, role string, x array<double>, y double")
-    models = mlp.fit_folds(rows, mlp.MlpSettings(hidden=(8,), epochs=25, dropout=0.0, rate=1e-2, batch=16, patience=25)).orderBy("fold_id").collect()
-    assert models[0]["mean"] == pytest.approx(x.mean(axis=0).tolist()) and models[0]["epochs"] == 25
-    assert models[1]["mean"] == pytest.approx(x[np.arange(900) % 5 > 0].mean(axis=0).tolist()) and models[1]["best_val"] < 0.1 * np.mean(mlp.huber(y, 0.1))
-    scored = mlp.score(rows.dropna(), spark.createDataFrame(models, mlp.WEIGHTS)).agg(F.avg(F.pow(F.col("guess") - F.col("y"), F.lit(2)))).first()[0]
-    assert scored < 0.1 * y.var()
-    assert mlp.fit_folds(rows.filter("role = 'test'")).count() == 0
-
-
 def test_nearest_instant(spark):
     targets = spark.createDataFrame([(1, at(10)), (2, at(1000)), (3, at(25))], "id int, at timestamp_ntz")
     seen = spark.createDataFrame([(at(5),), (at(15),), (at(40),), (at(40),)], "ts timestamp_ntz")
