@@ -77,14 +77,27 @@ def asof_backward(grid: DataFrame, observed: DataFrame, by: Sequence[str], value
 
 
 def nearest_instant(targets: DataFrame, instants: DataFrame, reach_minutes: int, ts: str = "ts") -> DataFrame:
-    """targets (columns id, at) with the instant nearest to at, the earlier of two, within reach_minutes.
+    """targets (columns id, at) with the instant nearest to at, the earlier of two, within reach_minutes; null without one.
 
-    Both sides meet in bins as long as the reach, each target in its own and both neighbours: an equi join.
+    Distinct wanted and given instants are merged in slots as long as the reach: within a slot the last given before and
+    the first after are running values of two sorts, and what a slot lacks comes from the last of the slot before and the
+    first of the one after, one small row a slot. Rows shuffled are the two sides, however dense they are.
     """
     width = 60 * reach_minutes
-    slot = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1e6 / width)
-    own = instants.select(F.col(ts).alias("near")).distinct().withColumn("slot", slot(F.col("near")))
-    met = targets.withColumn("slot", F.explode(F.array(*[slot(F.col("at")) + k for k in (-1, 0, 1)]))).join(own, "slot", "left")
-    gap = F.abs(F.unix_micros(F.col("near").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
-    met = met.withColumn("gap", gap).withColumn("near", F.when(F.col("gap") <= width * 1_000_000, F.col("near")))
-    return met.groupBy("id", "at").agg(F.min(F.when(F.col("near").isNotNull(), F.struct("gap", "near"))).getField("near").alias("near"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = F.floor(F.col("__m") / (1_000_000 * width))
+    given = instants.filter(F.col(ts).isNotNull()).select(F.col(ts).alias("near")).distinct().withColumn("__m", micros("near")).withColumn("slot", slot)
+    wanted = targets.select("at").distinct().withColumn("__m", micros("at")).withColumn("slot", slot)
+    mark = F.struct("__m", "near")
+    ends = given.groupBy("slot").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
+    both = given.select("slot", "__m", mark.alias("__given"), F.lit(0).alias("__want"), F.lit(None).cast(dict(targets.dtypes)["at"]).alias("at"))
+    both = both.unionByName(wanted.select("slot", "__m", F.lit(None).cast(given.select(mark.alias("g")).schema["g"].dataType).alias("__given"), F.lit(1).alias("__want"), "at"))
+    over = Window.partitionBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    before, after = over.orderBy("__m", "__want"), over.orderBy(F.desc("__m"), "__want")
+    both = both.withColumns({"__b": F.last("__given", ignorenulls=True).over(before), "__a": F.last("__given", ignorenulls=True).over(after)}).filter("__want = 1 AND at IS NOT NULL")
+    beside = lambda name, end, step: ends.select((F.col("slot") + step).alias("slot"), F.col(end).alias(name))
+    both = both.join(beside("__b1", "last", 1), "slot", "left").join(beside("__a1", "first", -1), "slot", "left")
+    gap = lambda c: F.struct(F.abs(F.col(f"{c}.__m") - F.col("__m")).alias("gap"), F.col(f"{c}.__m").alias("m"), F.col(f"{c}.near").alias("near"))
+    near = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), gap(c)) for c in ("__b", "__a", "__b1", "__a1")])))
+    found = both.select("at", near.alias("n")).select("at", F.when(F.col("n.gap") <= width * 1_000_000, F.col("n.near")).alias("near"))
+    return targets.select("id", "at").distinct().join(found, "at", "left").select("id", "at", "near")

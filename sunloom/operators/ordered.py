@@ -8,11 +8,14 @@ Order columns are a total order; null locations and null instants are groups of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import durable
+
 
 def by_time(by: Sequence[str], *order: str) -> Window:
     return Window.partitionBy(*by).orderBy(*(order or ("ts",)))
@@ -149,25 +152,46 @@ def history_best(df: DataFrame, by: Sequence[str], loss: str, epoch: str, tolera
     """df with best (the loss accepted last), improved (this row's is accepted), waited (rows since) and stopped.
 
     A loss is accepted if it is below the one accepted last by more than tolerance; a null loss is not. stopped: waited has
-    come to patience at this row or an earlier one. A history is folded as one array: it is as long as its epochs.
+    come to patience at this row or an earlier one. Rows of a key are sorted by epoch in a partition and streamed, so a task
+    holds one batch of a history, however long it is. Keys may be null; other columns are kept.
+    """
+    fields = [*df.schema.fields]
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "best double", "improved boolean", "waited int", "stopped boolean"])
+    at = [df.columns.index(c) for c in by]
+    here = df.columns.index(loss)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best, waited, stopped = None, None, 0, False
+        for batch in batches:
+            found: list[tuple] = []
+            for *key, value in zip(*[batch.column(i).to_pylist() for i in [*at, here]]):
+                if key != held:
+                    held, best, waited, stopped = key, None, 0, False
+                better = value is not None and (best is None or value < best - tolerance)
+                best, waited = (float(value), 0) if better else (best, waited + 1)
+                stopped = stopped or waited >= patience
+                found.append((best, better, waited, stopped))
+            if found:
+                extra = [pa.array(c, t) for c, t in zip(zip(*found), (pa.float64(), pa.bool_(), pa.int32(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "best", "improved", "waited", "stopped"])
+
+    return df.repartition(*by).sortWithinPartitions(*by, epoch).mapInArrow(fold, shape)
+
+
+def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
+    """df with each row's place in the order, from 0 and without gaps; rows that agree in it are placed in any order.
+
+    Rows are dealt in ranges of the order and sorted there, so a row's place in its range is known to its task; the rows
+    of the ranges before it are one small row a range.
     """
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(False).alias("improved"), F.lit(0).alias("waited"), F.lit(False).alias("stopped"))
-
-    def step(state: Column, row: Column) -> Column:
-        value = row[loss].cast("double")
-        better = F.coalesce(F.when(state["best"].isNull(), value.isNotNull()).otherwise(value < state["best"] - F.lit(tolerance)), F.lit(False))
-        waited = F.when(better, 0).otherwise(state["waited"] + 1)
-        return F.struct(F.when(better, value).otherwise(state["best"]).alias("best"), better.alias("improved"), waited.alias("waited"), (state["stopped"] | (waited >= patience)).alias("stopped"))
-
-    others = [c for c in df.columns if c not in by]
-    histories = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(epoch, *[c for c in others if c != epoch]))).alias("rows"))
-    # each step keeps its state beside the row, so that one pass gives every prefix
-    grow = lambda acc, row: F.struct(step(acc["state"], row).alias("state"), F.concat(acc["found"], F.array(F.struct(row.alias("row"), step(acc["state"], row).alias("state")))).alias("found"))
-    shape = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in histories.schema["rows"].dataType.elementType.fields)
-    empty = F.array().cast(f"array<struct<row: struct<{shape}>, state: struct<best: double, improved: boolean, waited: int, stopped: boolean>>>")
-    folded = histories.withColumn("found", F.aggregate("rows", F.struct(start.alias("state"), empty.alias("found")), grow)["found"])
-    out = folded.select(*by, F.explode("found").alias("f"))
-    return out.select(*by, *[F.col(f"f.row.{c}").alias(c) for c in others], "f.state.best", "f.state.improved", "f.state.waited", "f.state.stopped")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = durable(ranged)  # ranges follow from a sample: they are drawn once
+    part = F.shiftright("__id", 33)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__before"))  # as many rows as partitions
+    met = ranged.join(F.broadcast(starts), part == F.col("__part"))
+    return met.withColumn(name, F.col("__before") + (F.col("__id") - F.shiftleft("__part", 33))).drop("__id", "__part", "__before")
 
 
 def splice(sources: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:

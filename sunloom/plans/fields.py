@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, audit, folds, metrics, scaling, spatial
+from ..operators import align, audit, folds, metrics, ordered, scaling, spatial
 from .registry import KM, OBS, PLACES, observations, places, query, read
 
 MET = f"met AS (SELECT t.id AS target, s.id AS source, {KM} AS km FROM targets t CROSS JOIN sources s)"
@@ -95,11 +95,12 @@ beside AS (SELECT DISTINCT py + dy AS py, px + dx AS px FROM own, (VALUES (1, 0)
 allp AS (SELECT py, px FROM own UNION SELECT py, px FROM beside)
 SELECT allp.py, allp.px, coalesce(n, 0) AS n_locations, CAST(row_number() OVER (ORDER BY allp.py, allp.px) - 1 AS INTEGER) AS pixel_index FROM allp LEFT JOIN own USING (py, px)""")
 def neighbor_expand(spark, d) -> DataFrame:
-    """All pixels with places and those beside them, numbered by place; the numbering orders the pixel dimension alone."""
+    """All pixels with places and those beside them, numbered by place."""
     own = spatial.pixels(places(spark, d, "customer")).groupBy("py", "px").agg(F.count("*").alias("n"))
     beside = spatial.neighbours(own).select(F.col("ny").alias("py"), F.col("nx").alias("px"))
     every = own.select("py", "px").unionByName(beside).distinct().join(own, ["py", "px"], "left")
-    return every.select("py", "px", F.coalesce("n", F.lit(0)).cast("long").alias("n_locations"), (F.row_number().over(Window.orderBy("py", "px")) - 1).alias("pixel_index"))
+    every = every.select("py", "px", F.coalesce("n", F.lit(0)).cast("long").alias("n_locations"))
+    return ordered.dense_index(every, ["py", "px"], "pixel_index").withColumn("pixel_index", F.col("pixel_index").cast("int"))
 
 
 @query("""WITH own AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
