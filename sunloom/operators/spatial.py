@@ -1,9 +1,11 @@
 """Spatial operators on location tables (id, lat, lon): distances, nearest, inverse distance, knots and basis, pixels.
 
-The pairs of targets and sources that inverse distance weighs are their product, by definition. Sources are counted: up to
-MAX_SOURCES they are broadcast, beyond that targets and sources meet in blocks by an equi join, each task one part of the
-targets and one block of the sources. The nearest source needs no product: both meet in cells that widen until the best
-distance is proven. The basis has compact support: targets and knots meet in cells as wide as the support.
+Inverse distance weighs every source for every target, by definition. Sources and targets of equal position are one, and
+sources are dealt into blocks that are one row of arrays each: a target meets blocks, not sources, and weighs a block's
+sources within the row. Weights that are used for many instants meet them as a matrix product: one array of values an
+instant, one array of weights a target, no row for a target, a source and an instant. The nearest source is looked for in
+a tree of cells, split where they hold many sources, down from cells that can hold nearer ones. The basis has compact
+support: targets and knots meet in cells as wide as the support.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KM_PER_LAT, KM_PER_LON, km_apart, num, snap_index, wendland
 from ..sources.staging import durable
+from .ordered import dense_index
 
-MAX_SOURCES = 100_000
+#: Sources that are met as one table at most, blocks that are broadcast at most, and sources of a block.
+MAX_SOURCES, MAX_BLOCKS, BLOCK = 100_000, 2_000, 512
+#: Sources of a leaf cell; a cell is split into SPLIT times SPLIT, at most DEPTH times.
+LEAF, SPLIT, DEPTH = 64, 4, 15
 # Spacing of the knot levels in kilometres; a basis function reaches 2.5 spacings.
 LEVELS = (10.0, 5.0, 2.5, 1.5)
 REACH = 2.5
@@ -51,54 +57,147 @@ def pairs(targets: DataFrame, sources: DataFrame, exclude_self: bool = False, mo
     return met.select("target", "source", _KM().alias("km"))
 
 
+def _cell(level: int, side: float, y0: float, x0: float, lat: str, lon: str) -> tuple[Column, Column]:
+    """Numbers of the cell of a level that a place lies in; the whole square is the cell of level 0."""
+    n = SPLIT**level
+    at = lambda c, per, lo: F.least(F.greatest(F.floor((F.col(c) * num(per) - num(lo)) / num(side / n)), F.lit(0)), F.lit(n - 1))
+    return at(lat, KM_PER_LAT, y0), at(lon, KM_PER_LON, x0)
+
+
+def _tree(s: DataFrame, side: float, y0: float, x0: float) -> tuple[list[DataFrame], DataFrame]:
+    """Cells by level (cy, cx, py, px of the cell above, leaf, and one of its sources), and sources by leaf.
+
+    s: slat, slon, ids. Only cells with more than LEAF sources are split, so each source is handled once a level of its
+    own branch, and a level's cells are counted before the shuffle.
+    """
+    levels, leaves, rest = [], None, s
+    for k in range(DEPTH + 1):
+        cy, cx = _cell(k, side, y0, x0, "slat", "slon")
+        rest = rest.withColumns({"cy": cy, "cx": cx})
+        cells = rest.groupBy("cy", "cx").agg(F.count("*").alias("n"), F.min(F.struct("slat", "slon", "ids")).alias("some"))
+        cells = cells.withColumn("leaf", F.lit(True) if k == DEPTH else F.col("n") <= LEAF)
+        above = {"py": F.floor(F.col("cy") / SPLIT), "px": F.floor(F.col("cx") / SPLIT)}
+        cells = durable(cells.withColumns(above).select("cy", "cx", "py", "px", "leaf", "some"))
+        levels.append(cells)
+        met = rest.join(cells.select("cy", "cx", "leaf"), ["cy", "cx"])
+        own = met.filter("leaf").select(F.lit(k).alias("level"), "cy", "cx", "slat", "slon", "ids")
+        leaves = own if leaves is None else leaves.unionByName(own)
+        if cells.filter("NOT leaf").isEmpty():
+            return levels, durable(leaves)
+        rest = durable(met.filter("NOT leaf").drop("leaf", "cy", "cx"))
+    return levels, durable(leaves)
+
+
+def _two_nearest(t: DataFrame, s: DataFrame) -> DataFrame:
+    """tlat, tlon, best: the two nearest of s (slat, slon, ids: its smallest two ids) to each of t, nearest first.
+
+    Down the tree, level by level: a target keeps the cells that may hold a source as near as the second nearest it knows
+    of, where every cell tells one of its sources. At the leaves it meets their sources.
+    """
+    box = s.agg(*[f(c).alias(k) for k, f, c in (("y0", F.min, "slat"), ("y1", F.max, "slat"), ("x0", F.min, "slon"), ("x1", F.max, "slon"))]).first()
+    y0, x0 = box["y0"] * KM_PER_LAT, box["x0"] * KM_PER_LON
+    side = max(box["y1"] * KM_PER_LAT - y0, box["x1"] * KM_PER_LON - x0, 1e-6) * (1 + 1e-9)
+    levels, leaves = _tree(s, side, y0, x0)
+    pair = lambda ids, km: F.transform(ids, lambda i: F.struct(km.alias("km"), i.alias("source")))
+    at = lambda c: F.col(c).cast("double")
+    searching, found = t.select("tlat", "tlon", F.lit(0).alias("py"), F.lit(0).alias("px")), None
+    for k, cells in enumerate(levels):
+        met = searching.join(cells, ["py", "px"]) if k else searching.drop("py", "px").crossJoin(F.broadcast(cells))  # one cell
+        width = side / SPLIT**k
+        out = lambda c, per, lo, n, w=width: F.greatest(num(lo) + at(n) * num(w) - F.col(c) * num(per), F.col(c) * num(per) - num(lo) - (at(n) + 1) * num(w), num(0))
+        dy, dx = out("tlat", KM_PER_LAT, y0, "cy"), out("tlon", KM_PER_LON, x0, "cx")
+        km = km_apart(F.col("tlat"), F.col("tlon"), F.col("some.slat"), F.col("some.slon"))
+        new = met.select("tlat", "tlon", F.lit(k).alias("level"), "cy", "cx", "leaf", F.sqrt(dy * dy + dx * dx).alias("least"), F.transform(F.col("some.ids"), lambda _: km).alias("km"))
+        every = new if found is None else found.unionByName(new)
+        # as many entries as cells are kept, which is few: what lies within a cell's width of the nearest ones
+        kept = every.groupBy("tlat", "tlon").agg(F.collect_list(F.struct("level", "cy", "cx", "leaf", "least", "km")).alias("c"))
+        second = F.get(F.sort_array(F.flatten("c.km")), F.lit(1))
+        near = F.filter("c", lambda c: second.isNull() | (c["least"] * num(1 - 1e-9) <= second))
+        kept = durable(kept.select("tlat", "tlon", F.explode(near).alias("c")).select("tlat", "tlon", "c.*"))
+        found = kept.filter("leaf")
+        searching = kept.filter("NOT leaf").select("tlat", "tlon", F.col("cy").alias("py"), F.col("cx").alias("px"))
+    met = found.select("tlat", "tlon", "level", "cy", "cx").join(leaves, ["level", "cy", "cx"])
+    near = met.select("tlat", "tlon", pair(F.col("ids"), _KM()).alias("near"))
+    # at most LEAF sources a cell that is left
+    return near.groupBy("tlat", "tlon").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 2).alias("best"))
+
+
 def nearest(targets: DataFrame, sources: DataFrame, exclude_self: bool = False) -> DataFrame:
     """target, source, km: the nearest source of each target, the smallest id of several; no row where there is none.
 
-    Targets look for sources in their own cell and the eight around it. A source nearer than a cell's width is the nearest
-    there is; targets without one look again in cells four times as wide, so the rounds are the logarithm of the extent. The
-    first width is that at which the sources, spread evenly, would be two a cell. Places without coordinates are left out.
+    Positions are looked up, not ids: sources of one position are one with their smallest two ids, targets of one position
+    search once. Two nearest are found, of which a target that may not be its own source takes the one that it is not.
+    Places without coordinates are left out.
     """
     t, s = _sides(targets.dropna(subset=["lat", "lon"]), sources.dropna(subset=["lat", "lon"]))
-    about = s.agg(F.count("*").alias("n"), *[f(c).alias(k) for k, f, c in (("y0", F.min, "slat"), ("y1", F.max, "slat"), ("x0", F.min, "slon"), ("x1", F.max, "slon"))]).first()
-    if not about["n"]:
-        return t.crossJoin(s).select("target", "source", _KM().alias("km"))
-    high, wide = (about["y1"] - about["y0"]) * KM_PER_LAT, (about["x1"] - about["x0"]) * KM_PER_LON
-    size = max((2 * max(high, 1e-3) * max(wide, 1e-3) / about["n"]) ** 0.5, 1e-3)
-    bounds = t.agg(F.min("tlat"), F.max("tlat"), F.min("tlon"), F.max("tlon")).first()
-    if bounds[0] is None:
-        return t.crossJoin(s).select("target", "source", _KM().alias("km"))
-    reach = (max(about["y1"], bounds[1]) - min(about["y0"], bounds[0])) * KM_PER_LAT + (max(about["x1"], bounds[3]) - min(about["x0"], bounds[2])) * KM_PER_LON
-    found, left = None, t
-    while True:
-        cell = lambda c, per, w=size: F.floor(c * num(per) / num(w))
-        own = s.withColumns({"cy": cell(F.col("slat"), KM_PER_LAT), "cx": cell(F.col("slon"), KM_PER_LON)})
-        around = left
-        for name, at, per in (("cy", "tlat", KM_PER_LAT), ("cx", "tlon", KM_PER_LON)):
-            around = around.withColumn(name, F.explode(F.array(*[cell(F.col(at), per) + k for k in (-1, 0, 1)])))
-        met = around.join(own, ["cy", "cx"])
-        met = met.filter(F.col("target") != F.col("source")) if exclude_self else met
-        best = met.groupBy("target").agg(F.min(F.struct(_KM().alias("km"), "source")).alias("best")).select("target", "best.source", "best.km")
-        last = size > 2 * reach  # the cells around a place hold everything
-        proven = best if last else best.filter(F.col("km") < num(size))
-        proven = durable(proven)
-        found = proven if found is None else found.unionByName(proven)
-        left = durable(left.join(proven.select("target"), "target", "left_anti"))
-        if last or left.isEmpty():
-            return found
-        size *= 4
-
-
-def inverse_distance(met: DataFrame, values: DataFrame, power: float = 2.0, coincident_km: float | None = 0.001, value: str = "value") -> DataFrame:
-    """target, value: the mean of the sources' values (source, value) weighed by km^-power; one aggregation over pairs.
-
-    A source within coincident_km gives the value alone, the nearest of several.
+    spots = durable(_spots(s.dropDuplicates(["slat", "slon", "source"])))
+    wanted = t.select("tlat", "tlon").distinct()
+    n = spots.limit(LEAF + 1).count()
+    if n == 0:
+        return t.join(s, F.lit(False)).select("target", "source", F.lit(None).cast("double").alias("km"))
+    if n <= LEAF:
+        near = wanted.crossJoin(F.broadcast(spots)).select("tlat", "tlon", F.transform("ids", lambda i: F.struct(_KM().alias("km"), i.alias("source"))).alias("near"))
+        best = near.groupBy("tlat", "tlon").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 2).alias("best"))
+    else:
+        best = _two_nearest(wanted, spots)
+    met = t.join(best, ["tlat", "tlon"])
+    first = F.get("best", F.lit(0))
+    chosen = F.when(first["source"] != F.col("target"), first).otherwise(F.get("best", F.lit(1))) if exclude_self else first
+    return met.withColumn("__n", chosen).filter("__n IS NOT NULL").select("target", "__n.source", "__n.km")
+
+
+def _spots(s: DataFrame) -> DataFrame:
+    """slat, slon, ids: distinct positions with the smallest two ids of each, by two smallest values, not by a list of all."""
+    first = s.groupBy("slat", "slon").agg(F.min("source").alias("i"))
+    second = s.join(first, ["slat", "slon"]).filter("source > i").groupBy("slat", "slon").agg(F.min("source").alias("j"))
+    return first.join(second, ["slat", "slon"], "left").select("slat", "slon", F.array_compact(F.array("i", "j")).alias("ids"))
+
+
+def inverse_distance(targets: DataFrame, sources: DataFrame, values: DataFrame, power: float = 2.0, coincident_km: float | None = 0.001, exclude_self: bool = False, value: str = "value") -> DataFrame:
+    """target, value: the mean of the sources' values (source, value) weighed by km^-power.
+
+    A source within coincident_km gives the value alone, the nearest of several, the smallest id of those. Values of one
+    position are summed first, and BLOCK positions are one row of arrays: a target meets blocks, and what it takes from a
+    block are three numbers and its nearest source. Up to MAX_BLOCKS blocks are broadcast, more are met part by part. With
+    exclude_self a target does not count the source of its own id: positions are targets' then, and what is left out is
+    taken off again.
     """
-    raw = F.pow("km", num(-power)) if power not in (1.0, 2.0) else num(1) / (F.col("km") if power == 1.0 else F.col("km") * F.col("km"))
-    near = F.lit(False) if coincident_km is None else F.col("km") < num(coincident_km)
-    rows = met.join(values.select("source", F.col(value).alias("__v")), "source").withColumn("__w", F.when(~near, raw))
-    sums = rows.groupBy("target").agg(F.min(F.struct("km", "source", "__v")).alias("best"), F.sum(F.col("__w") * F.col("__v")).alias("__wv"), F.sum("__w").alias("__w"))
-    at_source = F.lit(False) if coincident_km is None else F.col("best.km") < num(coincident_km)
-    return sums.select("target", F.when(at_source, F.col("best.__v")).otherwise(F.col("__wv") / F.col("__w")).alias(value))
+    t, s = _sides(targets, sources)
+    rows = s.join(values.select("source", F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL"), "source")
+    spots = rows.groupBy("slat", "slon").agg(F.sum("__v").alias("v"), F.count("*").cast("double").alias("n"), F.min(F.struct("source", "__v")).alias("first"))
+    blocks = max(1, -(-spots.count() // BLOCK))
+    spots = spots.withColumn("block", F.pmod(F.xxhash64("slat", "slon"), F.lit(blocks)).cast("int"))
+    # about BLOCK positions a row
+    packed = spots.groupBy("block").agg(F.collect_list(F.struct("slat", "slon", "v", "n", "first")).alias("spots"))
+    wanted = t.select("tlat", "tlon").distinct()
+    if blocks <= MAX_BLOCKS:
+        met = wanted.crossJoin(F.broadcast(packed))
+    else:
+        parts = 256
+        wanted = wanted.withColumns({"part": F.pmod(F.xxhash64("tlat", "tlon"), F.lit(parts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        met = wanted.join(packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))), ["part", "block"])
+    raw = lambda km: F.pow(km, num(-power)) if power not in (1.0, 2.0) else num(1) / (km if power == 1.0 else km * km)
+    # a source that coincides weighs nothing among the others: with a bound it is the value itself, and without one the target's own
+    floor = num(coincident_km) if coincident_km is not None else num(0)
+
+    far = F.transform("spots", lambda p: km_apart(F.col("tlat"), F.col("tlon"), p["slat"], p["slon"]))
+    met = met.withColumn("far", far).withColumn("w", F.transform("far", lambda km: F.when((km >= floor) & (km > 0), raw(km)).otherwise(num(0))))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), num(0), lambda acc, x: acc + x)
+    close = F.array_min(F.zip_with("far", "spots", lambda km, p: F.when(km < floor if coincident_km is not None else km == 0, F.struct(km.alias("km"), p["first"].alias("first"), p["n"].alias("n"), p["v"].alias("v")))))
+    sums = met.select("tlat", "tlon", dot("w", F.col("spots.v")).alias("wv"), dot("w", F.col("spots.n")).alias("wn"), close.alias("close"))
+    sums = sums.groupBy("tlat", "tlon").agg(F.sum("wv").alias("wv"), F.sum("wn").alias("wn"), F.min("close").alias("close"))
+    at = F.col("close.first.__v") if coincident_km is not None else F.lit(None).cast("double")
+    if not exclude_self:
+        if coincident_km is None:  # dividing by a distance of nothing gives no number
+            at = F.when(F.col("close").isNotNull(), F.lit(float("nan")))
+        found = sums.select("tlat", "tlon", F.coalesce(at, F.try_divide("wv", "wn")).alias(value))
+        return t.join(found, ["tlat", "tlon"]).select("target", value)
+    if coincident_km is not None:
+        raise ValueError("exclude_self is for weights without a coincident source")
+    # of its own position only the target's own source may stand there, and it weighs nothing
+    alone = t.join(rows.select(F.col("source").alias("target"), F.col("slat").alias("tlat"), F.col("slon").alias("tlon"), F.lit(1.0).alias("own")), ["target", "tlat", "tlon"], "left")
+    others = F.coalesce("close.n", num(0)) - F.coalesce("own", num(0))
+    return alone.join(sums, ["tlat", "tlon"]).select("target", F.when(others > 0, F.lit(float("nan"))).otherwise(F.try_divide("wv", "wn")).alias(value))
 
 
 def idw_weights(met: DataFrame, power: float = 2.0, coincident_km: float | None = 0.001) -> DataFrame:
@@ -117,8 +216,29 @@ def idw_weights(met: DataFrame, power: float = 2.0, coincident_km: float | None
 
 
 def apply_weights(weights: DataFrame, values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """target, by, weighted sum of the sources' values: a matrix product as join and sum."""
-    return weights.join(values, "source").groupBy("target", *by).agg(F.sum(F.col("weight") * F.col(value)).alias(value))
+    """target, by, weighted sum of the sources' values: a matrix product.
+
+    Sources are numbered. An instant is one row of its sources' numbers and values, a target one row of weights in the
+    order of the numbers, BLOCK targets a block: instants meet blocks, and a target's sum is a dot product within the row.
+    Rows shuffled are instants and targets; a source that an instant lacks, or whose value is null, counts nothing, and an
+    instant without any value of a target's sources has no row.
+    """
+    sources = dense_index(weights.select("source").distinct(), ["source"], "__k")
+    wide = weights.join(sources, "source").groupBy("target").agg(F.sort_array(F.collect_list(F.struct("__k", "weight"))).alias("w"))
+    n = sources.count()
+    # a target that has no weight for some source takes none of it
+    full = F.when(F.size("w") == n, F.col("w.weight")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0)).cast("int")), lambda k: F.get(F.filter("w", lambda e: e["__k"] == k), F.lit(0))["weight"]))
+    wide = wide.select("target", full.alias("w"))
+    blocks = max(1, -(-wide.count() // BLOCK))
+    packed = wide.withColumn("block", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("target", "w")).alias("__ts"))
+    instants = values.filter(F.col(value).isNotNull()).join(sources, "source").groupBy(*by).agg(F.collect_list(F.struct(F.col("__k").cast("int").alias("k"), F.col(value).cast("double").alias("v"))).alias("__vs"))
+    if blocks * n <= MAX_SOURCES:  # of BLOCK weights each
+        met = instants.crossJoin(F.broadcast(packed))
+    else:
+        met = instants.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    each = met.select(*by, "__vs", F.explode("__ts").alias("__t"))
+    terms = F.filter(F.transform("__vs", lambda e: F.get(F.col("__t.w"), e["k"]) * e["v"]), lambda x: x.isNotNull())
+    return each.select("__t.target", *by, terms.alias("__x")).filter(F.size("__x") > 0).select("target", *by, F.aggregate("__x", num(0), lambda a, x: a + x).alias(value))
 
 
 def knot_count(lo: float, hi: float, step: float) -> int:

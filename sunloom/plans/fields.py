@@ -25,7 +25,7 @@ w AS (SELECT target, source, raw / sum(raw) OVER (PARTITION BY target) AS weight
 SELECT target, round(sum(weight * s_acctbal), 5) AS value FROM w JOIN supplier ON source = s_suppkey GROUP BY target""")
 def idw_p2(spark, d) -> DataFrame:
     values = read(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_acctbal").alias("value"))
-    return spatial.inverse_distance(spatial.pairs(places(spark, d, "customer"), places(spark, d, "supplier")), values).withColumn("value", F.round("value", 5))
+    return spatial.inverse_distance(places(spark, d, "customer"), places(spark, d, "supplier"), values).withColumn("value", F.round("value", 5))
 
 
 @query(f"""WITH {PLACES}, {OWN}, w AS (SELECT target, source, (1e0 / km) / sum(1e0 / km) OVER (PARTITION BY target) AS weight FROM met)
@@ -34,7 +34,7 @@ def idw_p1_exclude_self(spark, d) -> DataFrame:
     """Distances of coincident places would divide by zero; these have none."""
     own = places(spark, d, "supplier")
     values = read(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_acctbal").alias("value"))
-    return spatial.inverse_distance(spatial.pairs(own, own, exclude_self=True), values, 1.0, None).withColumn("value", F.round("value", 5))
+    return spatial.inverse_distance(own, own, values, 1.0, None, exclude_self=True).withColumn("value", F.round("value", 5))
 
 
 LAT, LON = (46.56, 46.82), (-119.29, -119.05)

@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import align as A
 from ..operators import audit, folds, metrics, mlp, scaling, spatial
 from ..operators import ordered as O
+from ..sources.staging import durable
 from .fields import DAY, PIXELS, REGIME, STACK, _errors, _folds, _labelled, _methods, _rounded
 from .registry import KM, OBS, PLACES, observations, places, query, read
 
@@ -39,8 +40,8 @@ side AS (SELECT loc, ts, value AS truth, idw, copied, least(greatest(bg, 0e0), 1
 
 def _baselines(o: DataFrame) -> DataFrame:
     """loc, ts, truth and the estimates of a station by its neighbours: nearest copy, inverse distance, background."""
-    stations = _stations(o)
-    bins = o.groupBy("loc", A.bin_start(F.col("ts"), 360).alias("ts")).agg(F.avg("value").alias("value"), F.avg("bg").alias("bg"), F.avg("clear").alias("clear"))
+    stations = durable(_stations(o))
+    bins = durable(o.groupBy("loc", A.bin_start(F.col("ts"), 360).alias("ts")).agg(F.avg("value").alias("value"), F.avg("bg").alias("bg"), F.avg("clear").alias("clear")))
     n = stations.count()
     whole = A.known(bins, bins.groupBy("ts").agg(F.count("*").alias("n")).filter(F.col("n") == n), ["ts"])
     met = spatial.pairs(stations, stations, exclude_self=True)
@@ -48,7 +49,7 @@ def _baselines(o: DataFrame) -> DataFrame:
     idw = spatial.apply_weights(spatial.idw_weights(met, 1.0, None), series, ["ts"]).select(F.col("target").alias("loc"), "ts", F.col("value").alias("idw"))
     copied = spatial.nearest(stations, stations, exclude_self=True).join(series, "source").select(F.col("target").alias("loc"), "ts", F.col("value").alias("copied"))
     side = A.align([whole, idw, copied], ["loc", "ts"])
-    return side.select("loc", "ts", F.col("value").alias("truth"), "idw", "copied", (C.clip(F.col("bg"), 0.0, 1.3) * F.col("clear")).alias("background"))
+    return durable(side.select("loc", "ts", F.col("value").alias("truth"), "idw", "copied", (C.clip(F.col("bg"), 0.0, 1.3) * F.col("clear")).alias("background")))  # all that follows reads it again and again
 
 
 @query(f"""{BASELINES}, stacked AS (

@@ -93,7 +93,7 @@ def test_idw(spark):
         values = spark.createDataFrame([(10, 1.0), (11, 2.0), (12, 5.0), (13, 3.0)], "source long, value double")
         assert all(1 <= r["value"] <= 5 for r in spatial.apply_weights(w, values, []).collect())
         by_weights = {r["target"]: r["value"] for r in spatial.apply_weights(w, values, []).collect()}
-        assert {r["target"]: r["value"] for r in spatial.inverse_distance(spatial.pairs(targets, sources), values, power).collect()} == pytest.approx(by_weights)
+        assert {r["target"]: r["value"] for r in spatial.inverse_distance(targets, sources, values, power).collect()} == pytest.approx(by_weights)
     assert [r["source"] for r in spatial.nearest(targets, sources).orderBy("target").collect()][0] == 10
 
 
