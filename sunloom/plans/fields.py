@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, audit, folds, metrics, ordered, scaling, spatial
+from ..operators import align, audit, folds, metrics, ordered, quantiles, scaling, spatial
+from ..sources import arrays
+from ..sources.staging import durable, scratch
 from .registry import KM, OBS, PLACES, observations, places, query, read
 
 MET = f"met AS (SELECT t.id AS target, s.id AS source, {KM} AS km FROM targets t CROSS JOIN sources s)"
@@ -116,6 +118,21 @@ def near_duplicates(spark, d) -> DataFrame:
     return spatial.near_duplicate_vectors(own.unionByName(moved), 1e-4, 1e-4).withColumn("distance", F.round("distance", 8))
 
 
+@query("""SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE) * CAST(CAST(x AS FLOAT) AS DOUBLE)))), 5) AS norm, len(embedding) AS width FROM embeddings""")
+def array_norms(spark, d) -> DataFrame:
+    """Vectors written as array files, ids as a second array, and read again row by row."""
+    spark.dataSource.register(arrays.NpySource)
+    folder = scratch(spark, "arrays")
+    # both arrays are written from the same rows in the same order
+    rows = durable(read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("x")))
+    for name, x in (("vectors", F.col("x")), ("ids", F.col("vec_id").cast("long"))):
+        rows.select(x.alias("x")).write.format("npy").mode("append").save(f"{folder}/{name}")
+    back = lambda name: spark.read.format("npy").load(f"{folder}/{name}")
+    met = back("vectors").join(back("ids").withColumnRenamed("x", "id"), "row")
+    square = F.aggregate("x", C.num(0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return met.select("id", F.round(F.sqrt(square), 5).alias("norm"), F.size("x").cast("long").alias("width"))
+
+
 REGIME = "CASE WHEN spread < 0.1e0 THEN 'clear' WHEN spread < 0.2e0 THEN 'cloudy_smooth' WHEN spread IS NOT NULL THEN 'broken_cloud' END"
 
 
@@ -288,9 +305,13 @@ def percentiles(spark, d) -> DataFrame:
     return table.select("loc", *[F.round(c, 6).alias(c) for c in table.columns[1:]])
 
 
-@query()
+@query("""SELECT loc, share, n, true AS within FROM (SELECT event_type AS loc, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) g, (VALUES (0.1e0), (0.5e0), (0.9e0), (0.99e0)) s(share)""")
 def percentiles_approx(spark, d) -> DataFrame:
-    return metrics.percentiles(observations(spark, d), ["loc"], "value", [0.1, 0.5, 0.9], exact=False)
+    """Percentiles from sketches by location and day, merged over days; each is within a hundredth of its rank by exact counts."""
+    o = observations(spark, d)
+    by_day = quantiles.sketches(o.withColumn("day", F.to_date("ts")), ["loc", "day"], "value")
+    guesses = quantiles.sketched(quantiles.merged(by_day, ["loc"]), ["loc"], [0.1, 0.5, 0.9, 0.99])
+    return quantiles.rank_errors(o, ["loc"], "value", guesses).select("loc", "share", "n", (F.col("error") <= 0.01).alias("within"))
 
 
 @query("SELECT CAST(floor(value / 25e0) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align as A
-from ..operators import audit, folds, metrics, mlp, scaling, spatial
+from ..operators import audit, folds, metrics, mlp, quantiles, scaling, spatial
 from ..operators import ordered as O
 from ..sources.staging import durable
 from .fields import DAY, PIXELS, REGIME, STACK, _errors, _folds, _labelled, _methods, _rounded
@@ -73,9 +73,11 @@ def verdict(spark, d) -> DataFrame:
 
 @query(f"WITH {OBS} SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS ts, round(avg(clear), 6) AS mean, round(stddev_samp(clear), 6) AS spread, median(clear) AS median, count(*) AS n FROM obs GROUP BY 1")
 def row_stats(spark, d) -> DataFrame:
-    """The field's mean, sample deviation and median over all locations at each instant."""
-    rows = observations(spark, d).groupBy(A.bin_start(F.col("ts"), 30).alias("ts"))
-    return rows.agg(F.round(F.avg("clear"), 6).alias("mean"), F.round(F.stddev_samp("clear"), 6).alias("spread"), F.median("clear").alias("median"), F.count("*").alias("n"))
+    """The field's mean, sample deviation and median over all locations at each instant; no task holds an instant's values."""
+    rows = observations(spark, d).select(A.bin_start(F.col("ts"), 30).alias("ts"), "clear")
+    means = rows.groupBy("ts").agg(F.round(F.avg("clear"), 6).alias("mean"), F.round(F.stddev_samp("clear"), 6).alias("spread"), F.count("*").alias("n"))
+    medians = quantiles.exact_percentiles(rows, ["ts"], "clear", [0.5]).select("ts", F.get("p", F.lit(0)).alias("median"))
+    return means.join(medians, "ts").select("ts", "mean", "spread", "median", "n")
 
 
 _MONTHS = ", ".join(f"max(total) FILTER (month = {m}) AS m{m}" for m in range(1, 13))

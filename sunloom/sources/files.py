@@ -1,9 +1,8 @@
-"""File scans and sinks: CSV with preamble, sniffed separators, optional columns, arrays in Parquet, safe overwrite."""
+"""File scans and sinks: CSV with preamble, sniffed separators, optional columns, arrays in Parquet, reports."""
 
 from __future__ import annotations
 
 import csv
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,23 +90,8 @@ def write_rounded_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     df.withColumns(rounded).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite Parquet at path, also where df reads it: written beside, the old one kept as .bak until the new one stands."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    staged = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    target = hadoop.Path(path)
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    backup = hadoop.Path(f"{path}.bak")
-    store.delete(backup, True)
-    if store.exists(target):
-        store.rename(target, backup)
-    store.rename(hadoop.Path(staged), target)
-
-
 def write_vectors(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Dense rows as arrays of float in Parquet: what array files are elsewhere."""
+    """Dense rows as arrays of float in Parquet (array files themselves: arrays.NpySource)."""
     arrays = {c: F.col(c).cast("array<float>") for c, t in df.dtypes if t.startswith("array<")}
     writer = df.withColumns(arrays).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

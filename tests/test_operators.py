@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunloom.functions import columns as C
-from sunloom.operators import align, audit, folds, metrics, ordered, scaling, spatial
+from sunloom.operators import align, audit, folds, metrics, ordered, quantiles, scaling, spatial
 from sunloom.sources import files
 from sunloom.streaming import series
 
@@ -348,10 +348,6 @@ def test_files(spark, tmp_path):
     assert frame.columns == ["id", "refl"]
     with pytest.raises(ValueError, match="b, c"):
         files.require(frame.withColumn("a", F.lit(1)), ["a", "b", "c"])
-    path = str(tmp_path / "t")
-    spark.range(3).write.parquet(path)
-    files.replace_table(spark.read.parquet(path).filter("id > 0"), path)
-    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(f"{path}.bak").count() == 3
     files.write_rounded_csv(spark.createDataFrame([(1.23456,)], "v double"), str(tmp_path / "r"), 2)
     assert spark.read.csv(str(tmp_path / "r"), header=True).collect()[0]["v"] == "1.23"
     files.write_report(spark.createDataFrame([("a", 1.0), ("b", None)], "loc string, rmse double").orderBy("loc"), str(tmp_path / "report"), "errors")
@@ -378,10 +374,55 @@ def test_stream_means(spark, tmp_path):
     assert [(r["v"], r["n"]) for r in got] == [(1.5, 2), (9.0, 1), (9.0, 1)]  # the late row comes after its bin is closed
 
 
-def test_stream_gaps(spark, tmp_path):
-    rows = stream(spark, tmp_path, [[("a", at(0)), ("a", at(5))], [("a", at(40)), ("b", at(0))]], "loc string, ts timestamp")
-    got = drain(series.stream_gaps(rows, "loc", 20), tmp_path, "gaps")
-    assert [(r["loc"], r["minutes"]) for r in got] == [("a", 35.0)]
+@pytest.fixture
+def stateful(spark):
+    spark.conf.set(*series.STORE)
+    yield spark
+    spark.conf.unset(series.STORE[0])
+
+
+def test_stream_gaps(stateful, tmp_path):
+    """Row 50 comes after rows 0 and 100: the gap between these two is none."""
+    rows = stream(stateful, tmp_path, [[("a", at(0)), ("a", at(100))], [("a", at(50)), ("b", at(0))], [("c", at(5000))]], "loc string, ts timestamp")
+    got = drain(series.stream_gaps(rows, "loc", 60), tmp_path, "gaps")
+    assert got == []
+
+
+def test_stream_gaps_equal_the_batch_operator(stateful, tmp_path):
+    """Shuffled rows, as late as the watermark allows, repeated ones, three keys, one of which falls silent."""
+    rng = np.random.default_rng(11)
+    whole = [(k, int(m)) for k, n, top in (("a", 60, 3000), ("b", 40, 3000), ("c", 10, 400)) for m in rng.choice(top, n, replace=False)]
+    whole += whole[:7]
+    batches = [[(k, at(m)) for k, m in rng.permutation(np.array([w for w in whole if lo <= w[1] < lo + 500], dtype=object))] for lo in range(0, 3000, 500)]
+    rows = stream(stateful, tmp_path, [*batches, [("z", at(20_000))], [("z", at(20_001))]], "loc string, ts timestamp")
+    got = drain(series.stream_gaps(rows, "loc", 45, late="600 minutes"), tmp_path, "more")
+    every = stateful.createDataFrame([(k, at(m)) for k, m in set(whole)], "loc string, ts timestamp")
+    want = ordered.gaps(every, ["loc"], ["ts"], 45).collect()
+    key = lambda r: (r["loc"], r["until"])
+    assert [tuple(r) for r in sorted(got, key=key)] == [tuple(r) for r in sorted(want, key=key)] and len(want) > 10
+
+
+def test_stream_gaps_forgets_silent_keys(stateful, tmp_path):
+    """After its time of silence a key begins anew: the gap that ends then is not told, those of others are."""
+    batches = [[("a", at(0)), ("b", at(0))], [("b", at(2000))], [("b", at(4000))], [("b", at(6000))], [("a", at(6500)), ("b", at(6500))], [("z", at(20_000))], [("z", at(20_001))]]
+    rows = stream(stateful, tmp_path, batches, "loc string, ts timestamp")
+    got = drain(series.stream_gaps(rows, "loc", 1000, forget_minutes=2500), tmp_path, "silent")
+    assert sorted((r["loc"], r["minutes"]) for r in got) == [("b", 2000.0)] * 3
+
+
+def test_sketches_merge(spark):
+    """Sketches by day, merged over days and locations: ranks within a hundredth; nulls count nowhere."""
+    rng = np.random.default_rng(12)
+    rows = [(f"s{i % 3}", i % 17, float(v) if i % 11 else None) for i, v in enumerate(rng.exponential(size=6000))] + [("none", 1, None)]
+    df = spark.createDataFrame(rows, "loc string, day int, v double")
+    by_day = quantiles.sketches(df, ["loc", "day"], "v")
+    for by in (["loc"], ["day"]):
+        got = quantiles.rank_errors(df, by, "v", quantiles.sketched(quantiles.merged(by_day, by), by, [0.0, 0.25, 0.5, 0.99, 1.0])).collect()
+        assert len(got) == 5 * (3 if by == ["loc"] else 17) and all(r["error"] <= 0.01 for r in got)
+    n = sum(r["n"] for r in quantiles.merged(by_day, ["loc"]).collect())
+    assert n == sum(v is not None for *_, v in rows)
+    wrong = quantiles.merged(by_day, ["loc"]).select("loc", F.lit(0.5).alias("share"), "n", F.lit(99.0).alias("guess"))
+    assert all(r["error"] == 0.5 for r in quantiles.rank_errors(df, ["loc"], "v", wrong).collect())
 
 
 @pytest.mark.parametrize("width", [1, 3, 65_536])
