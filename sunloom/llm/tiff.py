@@ -29,9 +29,10 @@ class TiffError(ValueError):
     pass
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """PackBits, up to the run that reaches most bytes."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -73,13 +74,16 @@ def _lzw_widths(places: np.ndarray) -> np.ndarray:
     return 9 + (known >= 511) + (known >= 1023) + (known >= 2047)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes most significant bit first; 256 clears, 257 ends. Codes are read a table's worth at a time."""
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
+    """TIFF's LZW, up to the code that reaches most bytes: codes most significant bit first; 256 clears, 257 ends.
+
+    Codes are read a table's worth at a time.
+    """
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     raw = np.frombuffer(data + bytes(3), "u1").astype(np.int64)
     windows, end = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], 8 * len(data)
     out: list[bytes] = []
-    table, last, place, at = list(first), b"", 0, 0
+    table, last, place, at, size = list(first), b"", 0, 0, 0
     while True:
         widths = _lzw_widths(np.arange(place, place + 4096))
         starts = at + np.cumsum(widths) - widths
@@ -98,6 +102,9 @@ def unpack_lzw(data: bytes) -> bytes:
             if last:
                 table.append(last + word[:1])
             last = word
+            size += len(word)
+            if most is not None and size >= most:
+                return b"".join(out)
         if len(marks) and codes[stop] == 256:
             table, last, place, at = list(first), b"", 0, int(starts[stop] + widths[stop])
         elif len(marks) or n < 4096:  # the end, or no whole code is left
@@ -141,14 +148,25 @@ def pack_lzw(data: bytes) -> bytes:
     return np.packbits(bits.astype("u1")).tobytes()
 
 
-def _inflate(data: bytes) -> bytes:
+def _inflate(data: bytes, most: int | None = None) -> bytes:
+    """Deflate, up to most bytes."""
     try:
-        return zlib.decompress(data)
+        stream = zlib.decompressobj()
+        out = stream.decompress(data, most or 0)
     except zlib.error as e:
         raise TiffError(f"deflate: {e}") from None
+    if not stream.eof and (most is None or len(out) < most):
+        raise TiffError("deflate: the stream ends early")
+    return out
+
+
+def _stored(data: bytes, most: int | None = None) -> bytes:
+    return data[:most]
 
 
-DECODERS = {NONE: bytes, LZW: unpack_lzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
+#: Bytes that one stored byte can stand for at most: a run of two for 128, a code of 12 bits for a table, deflate's own bound.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+DECODERS = {NONE: _stored, LZW: unpack_lzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
 
 
 def _tags(data: bytes, order: str, at: int, n: int) -> dict[int, tuple]:
@@ -234,12 +252,13 @@ def _samples(raw: bytes, rows: int, wide: int, deep: int, bits: int, predictor:
 def decode_page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
     """What the page's tags say, and its samples: row by row, the samples of a pixel side by side.
 
-    A sample under 8 bits is a byte; others are in the file's byte order.
+    A sample under 8 bits is a byte; others are in the file's byte order. Sizes are held against what the strips or tiles
+    can stand for before anything of that size is made, and no more is decoded than the page takes.
     """
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
     bits, compression, predictor = set(tags.get(BITS, (1,))), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if not width or not height:
+    if not width or not height or min(width, height, samples) < 1:
         raise TiffError("a page without size")
     known = len(bits) == 1 and bits <= {1, 2, 4, 8, 16, 32} and compression in DECODERS and planar in (1, 2)
     if not known or predictor not in (1, 2, 3) or predictor == 2 and min(bits) < 8 or predictor == 3 and min(bits) < 16:
@@ -248,19 +267,23 @@ def decode_page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
     tiled = TILE_OFFSETS in tags
     offsets, sizes = (tags.get(TILE_OFFSETS), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_BYTES))
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    if not offsets or not sizes or not bw or not bh:
+    if not offsets or not sizes or not bw or not bh or min(bw, bh) < 1 or min(*offsets, *sizes, 0) < 0:
         raise TiffError("a page without strips or tiles")
     across, down = -(-width // bw), -(-height // bh)
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     if len(offsets) < across * down * planes or len(sizes) < len(offsets):
         raise TiffError("strips or tiles are missing")
+    line = -(-bw * deep * min(bits) // 8)
+    parts = [data[o : o + n] for o, n in zip(offsets[: across * down * planes], sizes)]
+    if any(len(p) * GROWTH[compression] < line * (bh if tiled else min(bh, height - k % down * bh)) for k, p in enumerate(parts)):
+        raise TiffError("a strip or tile is too short for its size")
     page = np.zeros((height, width, samples), kind)
     for k in range(across * down * planes):
         plane, rest = divmod(k, across * down)
         y, x = (v * s for v, s in zip(divmod(rest, across), (bh, bw)))
         rows = bh if tiled else min(bh, height - y)
-        stored = data[offsets[k] : offsets[k] + sizes[k]]
-        raw = DECODERS[compression](stored.translate(REVERSED) if one(FILL_ORDER, 1) == 2 else stored)
+        stored = parts[k].translate(REVERSED) if one(FILL_ORDER, 1) == 2 else parts[k]
+        raw = DECODERS[compression](stored, rows * line)
         block = _samples(raw, rows, bw, deep, min(bits), predictor, kind)
         part = block[: height - y, : width - x]
         page[y : y + part.shape[0], x : x + part.shape[1], plane : plane + deep] = part
@@ -342,7 +365,9 @@ def read_tiff(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
     """A row for every page of every file: key, PAGE's columns.
 
     data: the page's samples, row by row. A page that is damaged or not read gives a row of its number with its error, and
-    the pages after it are given; a null or damaged file gives one row of page null with its error. Repeated rows stay repeated; other columns are dropped; an empty table gives none.
+    the pages after it are given; a null or damaged file gives one row of page null with its error. No file ends the query:
+    whatever a page's decoding raises is that page's error. Repeated rows stay repeated; other columns are dropped; an
+    empty table gives none.
     """
     names = ("width", "height", "samples", "bits", "compression", "predictor", "tiled")
 
@@ -352,16 +377,16 @@ def read_tiff(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
                 if data is None:
                     raise TiffError("no file")
                 found = walk(data)
-            except TiffError as e:
-                yield k, None, *[None] * 9, str(e)
+            except Exception as e:  # a damaged file is a row, whatever is wrong with it
+                yield k, None, *[None] * 9, str(e) or type(e).__name__
                 continue
             for p, tags in enumerate(found):
                 try:
                     if isinstance(tags, TiffError):
                         raise tags
                     about, samples = decode_page(data, tags)
-                except TiffError as e:
-                    yield k, p, *[None] * 9, str(e)
+                except Exception as e:  # and so is a damaged page
+                    yield k, p, *[None] * 9, str(e) or type(e).__name__
                 else:
                     yield k, p, *[about[n] for n in names], samples, feature(samples), None
 
@@ -369,7 +394,11 @@ def read_tiff(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
 
 
 def write_tiff(df: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
-    """key and media: each payload (whole rows of 192 bytes) as a TIFF file; null stays null."""
+    """key and media: each payload as a TIFF file; null stays null.
+
+    A payload is a positive number of whole rows (192 bytes); another one raises. Repeated rows stay repeated and equal
+    payloads give equal files; other columns are dropped; an empty table gives none.
+    """
 
     def body(keys, payloads):
         return [(k, None if p is None else encode(p)) for k, p in zip(keys, payloads)]
@@ -378,6 +407,7 @@ def write_tiff(df: DataFrame, key: str = "doc_id", payload: str = "payload") ->
 
 
 def op6_media_tiff(spark, sf_dir: str) -> DataFrame:
+    """Every document's text as the samples of a TIFF page, read back: lengths, digests and a feature. Null texts are empty, so one row of blanks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     size = F.octet_length(raw)
