@@ -9,7 +9,7 @@ or more under label 1, MOSTLY_BAD or less under label 0. Training is expectation
 (posterior regularisation): the expected labels are those of the model's own chain, tilted by one multiplier a document
 until the constraint holds, and not at all where it holds already. So lines of a bad document that look like those of good
 documents come out good. Likelihood and gradient are exact, over a bounded sample on the driver: at most SAMPLE_DOCS
-labelled documents, one row and at most SAMPLE_LINES lines of each (their features are of the whole text).
+labelled documents, whole, of at most SAMPLE_LINES lines together.
 
 Scoring is a map over whole texts: rows of a batch run through forward-backward together, ordered by their number of lines;
 long texts by a scan of 2 x 2 products instead, whose steps are the logarithm of their lines.
@@ -19,7 +19,6 @@ Features see the text alone: never labels, language, source or id.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Labelled documents that a model is fit on at most, and lines of each; their features are all that reaches the driver.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
+#: Labelled documents that a model is fit on at most, and lines of all of them; their features are all that reaches the driver.
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 400_000
 #: Share of a text that is good: at least so much under label 1, at most so much under label 0.
 MOSTLY_GOOD, MOSTLY_BAD = 0.9, 0.4
 #: Texts of more lines are scanned by doubling steps.
@@ -180,31 +179,34 @@ def fit(texts: list[np.ndarray], labels: list[int], lengths: list[np.ndarray] |
     return model
 
 
-def _block(key: object, n: int, most: int) -> slice:
-    """Of n lines, the most in a row that a model is fit on: where they start is the key's hash."""
-    at = zlib.crc32(str(key).encode()) % (n - most + 1) if n > most else 0
-    return slice(at, at + most)
-
-
 def train(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES
 ) -> LineCrf | float:
     """A model from the labelled rows of docs, at most sample of them (those with the smallest key hashes).
 
-    Of rows that share a key one is used, the one with the smallest text hash; of labels that do, the smallest. Of a text
-    at most ``lines`` lines in a row are used. Where labels are missing or all alike there is nothing to tell apart: the
+    Of rows that share a key one is used, the one with the smallest text hash; of labels that do, the smallest. Texts are
+    used whole, in the order of their keys' hashes as long as they have no more than ``lines`` lines together; one that goes
+    beyond is left out, and the next that fits is used. Where labels are missing or all alike there is nothing to tell apart: the
     share of label 1 is returned, 0.5 for none.
     """
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(label).cast("int")).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__key").limit(sample)  # so many rows at most: small enough to broadcast
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
     rows = rows.groupBy("__key", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    # numbers of lines alone come here first, at most sample of them
+    n_lines = F.size(F.split(F.coalesce("__text", F.lit("")), "\n", -1))
+    fitting, total = [], 0
+    for r in rows.select("__key", n_lines.alias("n")).orderBy(F.xxhash64("__key"), "__key").collect():
+        if total + r["n"] <= lines:
+            fitting.append((r["__key"],))
+            total += r["n"]
+    used = docs.sparkSession.createDataFrame(fitting, f"__key {dict(docs.dtypes)[key]}")
+    rows = rows.join(F.broadcast(used), "__key")
 
     def body(keys, texts, ys):
         for k, t, y in zip(keys, texts, ys):
             own, sizes = line_features(t or "")
-            part = _block(k, len(own), lines)
-            yield k, y, own[part].astype("<f4").tobytes(), sizes[part].astype("<f4").tobytes()
+            yield k, y, own.astype("<f4").tobytes(), sizes.astype("<f4").tobytes()
 
     got = map_rows(rows, ["__key", "__text", "__label"], f"key {dict(docs.dtypes)[key]}, label int, own binary, sizes binary", body).collect()
     got.sort(key=lambda r: (r["key"], r["label"], bytes(r["own"])))
@@ -237,6 +239,7 @@ def held_out(key: Column) -> Column:
 
 
 def op5_quality_score(spark, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the labelled rows that are not held out; null texts are one empty line."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))))

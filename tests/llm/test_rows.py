@@ -678,13 +678,16 @@ def test_op5_scores_by_enumeration(spark):
 
 
 def test_fits_are_bounded(spark, monkeypatch):
-    """One row of a repeated id, no more lines than asked for: what reaches the driver is bounded."""
+    """One row of a repeated id, whole texts, no more lines together than asked for: what reaches the driver is bounded."""
     fitted = []
     monkeypatch.setattr(linecrf, "fit", lambda texts, ys, lengths: fitted.append(texts) or 0.5)
     docs = spark.createDataFrame([(i % 4, f"row {i}\n" * 500) for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)] * 3 + [(0, 1)], "doc_id long, quality int")
-    linecrf.train(docs, labels, sample=3, lines=50)
-    assert len(fitted[0]) == 3 and all(len(t) == 50 for t in fitted[0])
+    linecrf.train(docs, labels, sample=3)
+    assert len(fitted[0]) == 3 and all(len(t) == 501 for t in fitted[0])
+    more = docs.unionByName(spark.createDataFrame([(9, "short\n"), (10, "x")], docs.schema))
+    linecrf.train(more, labels.unionByName(spark.createDataFrame([(9, 1), (10, 0)], labels.schema)), lines=1200)
+    assert sorted(map(len, fitted[1])) == [1, 2, 501, 501]  # a long one that does not fit is left out, not cut
 
 
 def test_held_out_accuracy(spark):
