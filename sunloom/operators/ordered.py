@@ -115,21 +115,32 @@ def interpolate(df: DataFrame, by: Sequence[str], value: str, order: Sequence[st
 
     Leading nulls stay, of a long gap the first limit are filled, trailing nulls hold the last value for limit rows.
     """
-    rows = numbered(df, by, order).withColumn("__x", place if place is not None else F.col("__n").cast("double"))
-    rows = _with_day(rows, order).withColumn("__here", F.when(F.col(value).isNotNull(), F.struct(F.col("__n").alias("n"), F.col("__x").alias("x"), F.col(value).alias("v"))))
-    days = rows.groupBy(*by, "__day").agg(F.max("__here").alias("__last"), F.min("__here").alias("__first"))
-    over = _over_days(by)
+    w = by_time([*by, "__day"], *order)
+    rows = _with_day(df, order).withColumn("__r", F.row_number().over(w))
+    rows = rows.withColumn("__here", F.when(F.col(value).isNotNull(), F.struct(F.col("__r").cast("long").alias("n"), (place if place is not None else F.lit(None)).cast("double").alias("x"), F.col(value).alias("v"))))
+    days = rows.groupBy(*by, "__day").agg(F.count("*").alias("__rows"), F.max("__here").alias("__last"), F.min("__here").alias("__first"))
+    before = Window.unboundedPreceding, -1
+    days = days.withColumn("__before", F.coalesce(F.sum("__rows").over(_over_days(by).rowsBetween(*before)), F.lit(0)))
+
+    def of(c: Column) -> Column:
+        """A value's number within its location, its abscissa and itself."""
+        n = c["n"] + F.col("__before")
+        return F.when(c.isNotNull(), F.struct(n.alias("n"), (c["x"] if place is not None else n.cast("double")).alias("x"), c["v"].alias("v")))
+
+    # what comes after is what came before in the opposite order, as a frame that runs to the end starts anew at every row
+    back = Window.partitionBy(*by).orderBy(F.desc("__day")).rowsBetween(*before)
     carry = days.select(
-        *by, "__day", F.last("__last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__p0"),
-        F.first("__first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__q0"),
+        *by, "__day", "__before", F.last(of(F.col("__last")), ignorenulls=True).over(_over_days(by).rowsBetween(*before)).alias("__p0"),
+        F.last(of(F.col("__first")), ignorenulls=True).over(back).alias("__q0"),
     )
-    w = by_time([*by, "__day"], *order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    rows = _carried(rows, carry, by)
-    rows = rows.withColumns({"__p": F.coalesce(F.last("__here", ignorenulls=True).over(back), "__p0"), "__q": F.coalesce(F.first("__here", ignorenulls=True).over(ahead), "__q0")})
+    ahead = by_time([*by, "__day"], *[F.desc(c) for c in order])
+    last = lambda over: F.last("__here", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    rows = _carried(rows.withColumns({"__b": last(w), "__a": last(ahead)}), carry, by)
+    rows = rows.withColumns({"__p": F.coalesce(of(F.col("__b")), "__p0"), "__q": F.coalesce(of(F.col("__a")), "__q0"), "__n": F.col("__before") + F.col("__r")})
+    rows = rows.withColumn("__x", place.cast("double") if place is not None else F.col("__n").cast("double"))
     between = F.col("__p.v") + (F.col("__q.v") - F.col("__p.v")) * (F.col("__x") - F.col("__p.x")) / (F.col("__q.x") - F.col("__p.x"))
     fill = F.when((F.col("__n") - F.col("__p.n") <= limit) & F.col("__p").isNotNull(), F.coalesce(F.when(F.col("__q.x") > F.col("__p.x"), between), F.col("__p.v")))
-    return rows.withColumn(value, F.coalesce(value, fill)).drop("__n", "__total", "__x", "__day", "__here", "__p0", "__q0", "__p", "__q")
+    return rows.withColumn(value, F.coalesce(value, fill)).drop("__n", "__r", "__before", "__x", "__day", "__here", "__p0", "__q0", "__p", "__q", "__a", "__b")
 
 
 def tail_split(df: DataFrame, by: Sequence[str], order: Sequence[str], share: float = 0.2) -> DataFrame:

@@ -26,7 +26,7 @@ def _stations(o: DataFrame) -> DataFrame:
 
 
 SERIES = f"""
-bins AS (SELECT loc, time_bucket(INTERVAL 6 HOURS, ts) AS ts, avg(value) AS value, avg(bg) AS bg, avg(clear) AS clear FROM obs GROUP BY ALL),
+bins AS (SELECT loc, time_bucket(INTERVAL 6 HOURS, ts) AS ts, avg(value) AS value, avg(bg) AS bg, avg(clear) AS clear, avg(k13) AS k13 FROM obs GROUP BY ALL),
 whole AS (SELECT * FROM bins SEMI JOIN (SELECT ts FROM bins GROUP BY ts HAVING count(*) = (SELECT count(*) FROM stations)) USING (ts)),
 met AS (SELECT t.id AS target, s.id AS source, {KM} AS km FROM stations t JOIN stations s ON t.id <> s.id)"""
 BASELINES = f"""
@@ -35,13 +35,19 @@ w AS (SELECT target, source, (1e0 / km) / sum(1e0 / km) OVER (PARTITION BY targe
 idw AS (SELECT target AS loc, ts, sum(weight * value) AS idw FROM w JOIN whole ON source = loc GROUP BY ALL),
 closest AS (SELECT target, min(struct_pack(km := km, source := source)).source AS source FROM met GROUP BY target),
 copied AS (SELECT target AS loc, ts, value AS copied FROM closest JOIN whole ON source = loc),
-side AS (SELECT loc, ts, value AS truth, idw, copied, least(greatest(bg, 0e0), 1.3e0) * clear AS background FROM whole JOIN idw USING (loc, ts) JOIN copied USING (loc, ts))"""
+side AS (SELECT loc, ts, value AS truth, idw, copied, least(greatest(bg, 0e0), 1.3e0) * clear AS background, clear FROM whole JOIN idw USING (loc, ts) JOIN copied USING (loc, ts))"""
 
 
 def _baselines(o: DataFrame) -> DataFrame:
     """loc, ts, truth and the estimates of a station by its neighbours: nearest copy, inverse distance, background."""
-    stations = durable(_stations(o))
-    bins = durable(o.groupBy("loc", A.bin_start(F.col("ts"), 360).alias("ts")).agg(F.avg("value").alias("value"), F.avg("bg").alias("bg"), F.avg("clear").alias("clear")))
+    return _beside(durable(_stations(o)), durable(_bins(o)))
+
+
+def _bins(o: DataFrame) -> DataFrame:
+    return o.groupBy("loc", A.bin_start(F.col("ts"), 360).alias("ts")).agg(*[F.avg(c).alias(c) for c in ("value", "bg", "clear", "k13")])
+
+
+def _beside(stations: DataFrame, bins: DataFrame) -> DataFrame:
     n = stations.count()
     whole = A.known(bins, bins.groupBy("ts").agg(F.count("*").alias("n")).filter(F.col("n") == n), ["ts"])
     met = spatial.pairs(stations, stations, exclude_self=True)
@@ -49,7 +55,7 @@ def _baselines(o: DataFrame) -> DataFrame:
     idw = spatial.apply_weights(spatial.idw_weights(met, 1.0, None), series, ["ts"]).select(F.col("target").alias("loc"), "ts", F.col("value").alias("idw"))
     copied = spatial.nearest(stations, stations, exclude_self=True).join(series, "source").select(F.col("target").alias("loc"), "ts", F.col("value").alias("copied"))
     side = A.align([whole, idw, copied], ["loc", "ts"])
-    return durable(side.select("loc", "ts", F.col("value").alias("truth"), "idw", "copied", (C.clip(F.col("bg"), 0.0, 1.3) * F.col("clear")).alias("background")))  # all that follows reads it again and again
+    return durable(side.select("loc", "ts", F.col("value").alias("truth"), "idw", "copied", (C.clip(F.col("bg"), 0.0, 1.3) * F.col("clear")).alias("background"), "clear"))  # all that follows reads it again and again
 
 
 @query(f"""{BASELINES}, stacked AS (
@@ -153,45 +159,6 @@ def feed_audit(spark, d) -> DataFrame:
     return audit.feed_audit(o, "loc", ["ts", "event_id"], 90)
 
 
-FIVE = ("nearest_copy", "idw", "background", "model", "model_corrected")
-FIVES = f"""{BASELINES}, guessed AS (SELECT *, idw * 0.75e0 + background * 0.25e0 AS model FROM side),
-ratios AS (SELECT month(ts) AS month, hour(ts) AS hour, median(truth / model) AS ratio FROM guessed WHERE truth >= 5e1 AND model >= 5e1 GROUP BY ALL),
-factors AS (SELECT month, hour, CASE WHEN hour BETWEEN 9 AND 15 THEN least(greatest(ratio, 0.5e0), 1.5e0) ELSE 1e0 END AS factor FROM ratios),
-corrected AS (SELECT g.*, model * coalesce(factor, 1e0) AS model_corrected FROM guessed g LEFT JOIN factors f ON month(ts) = f.month AND hour(ts) = f.hour),
-days AS (SELECT loc, {DAY} AS day, stddev_samp(truth) / 4e2 AS spread FROM corrected GROUP BY ALL),
-five AS (
-  {" UNION ALL ".join(f"SELECT c.loc, ts, truth, '{m}' AS method, {c} AS guess, {REGIME} AS regime FROM corrected c JOIN days ON c.loc = days.loc AND {DAY} = days.day" for m, c in zip(FIVE, ("copied", "idw", "background", "model", "model_corrected")))})"""
-
-
-def _five(o: DataFrame) -> DataFrame:
-    """loc, ts, method, regime, truth, guess: five estimates of every station, on instants that all stations have."""
-    side = _baselines(o).withColumn("model", F.col("idw") * 0.75 + F.col("background") * 0.25)
-    table = metrics.factors(side, F.month("ts"), F.hour("ts"), "truth", "model")
-    side = A.lookup(side.withColumns({"month": F.month("ts"), "hour": F.hour("ts")}), table, ["month", "hour"], "factor", 1.0).withColumn("model_corrected", F.col("model") * F.col("factor"))
-    regimes = side.groupBy("loc", F.to_date("ts").alias("day")).agg((F.stddev_samp("truth") / 400.0).alias("spread")).withColumn("regime", metrics.regime_of(F.col("spread")))
-    side = side.withColumn("day", F.to_date("ts")).join(regimes, ["loc", "day"])
-    columns = ("copied", "idw", "background", "model", "model_corrected")
-    return audit.stack_methods(side, {m: F.col(c) for m, c in zip(FIVE, columns)}, ["loc", "ts", "regime", "truth"])
-
-
-@query(f"""{FIVES}, pairs AS (SELECT * FROM five WHERE truth IS NOT NULL AND guess IS NOT NULL),
-edges AS (SELECT loc, method, quantile_cont(truth, 0.9) AS edge FROM pairs GROUP BY ALL),
-tops AS (SELECT loc, method, CASE WHEN count(*) > 1 THEN round(sqrt(avg((guess - truth) * (guess - truth))), 5) END AS peak_rmse FROM pairs JOIN edges USING (loc, method) WHERE truth >= edge GROUP BY ALL),
-steps AS (SELECT loc, method, (guess - lag(guess) OVER w) - (truth - lag(truth) OVER w) AS e FROM pairs WINDOW w AS (PARTITION BY loc, method ORDER BY ts)),
-ramps AS (SELECT loc, method, round(sqrt(avg(e * e)), 5) AS ramp_rmse FROM steps GROUP BY ALL)
-SELECT loc, method, {_errors('truth', 'guess')}, any_value(peak_rmse) AS peak_rmse, any_value(ramp_rmse) AS ramp_rmse FROM five LEFT JOIN tops USING (loc, method) LEFT JOIN ramps USING (loc, method) GROUP BY ALL""")
-def bench_five(spark, d) -> DataFrame:
-    """Nearest copy, inverse distance, background, model and its seasonal correction, with all seven measures, by station."""
-    table = audit.full_benchmark(_five(observations(spark, d)), ["loc", "method"], ["ts"])
-    return _rounded(table).withColumns({c: F.round(c, 5) for c in ("peak_rmse", "ramp_rmse")})
-
-
-@query(f"{FIVES} SELECT loc, method, regime, {_errors('truth', 'guess')} FROM five WHERE regime IS NOT NULL GROUP BY loc, method, regime HAVING count(*) >= 2")
-def bench_five_regimes(spark, d) -> DataFrame:
-    """The five by station and day regime; a regime of a single row is left out."""
-    return _rounded(audit.regime_benchmark(_five(observations(spark, d)), ["loc", "method", "regime"]))
-
-
 SNAPPED = "(VALUES (1, TIMESTAMP '2024-01-10 12:07:00'), (2, TIMESTAMP '2024-01-15 11:40:00'), (3, TIMESTAMP '2024-01-21 13:00:00')) asked(id, wanted)"
 
 
