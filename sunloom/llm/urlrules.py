@@ -7,8 +7,10 @@ sides, so that every URL that fits the rule holds it as a whole token. Each rule
 that the fewest URLs of the input hold (counted over all of them); rules without such a token are tried on every URL.
 A URL looks up its own tokens and runs the regular expressions of the rules found, and of no others.
 
-The index is a literal of the plan, bucketed by a hash of the token: no join, no shuffle and no Python on the rows.
-Rule lists are configuration: at most MAX_RULES of them, else ValueError.
+Up to MAX_RULES rules the index is a literal of the plan, bucketed by a hash of the token: no join, no shuffle and no Python
+on the rows. A longer list stays a table: rules are filed by the same rule in a join with the tokens' counts, URLs meet them
+by an equi join on the token (``judge_urls_by_table``), and only rules without a token, tried on every URL, are a literal.
+``parse_rules`` reads lines of the usual filter-list format.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ class UrlRule:
     def regex(self) -> str:
         body = self.name
         head = r"^(?:[^/]*\.)?" if self.pattern.startswith("||") else ""
-        if head and "/" not in body:
+        if head and "/" not in body and not body.endswith("^"):
             body += "^"
         return "(?s)" + head + "".join({"*": ".*", "^": SEPARATOR}.get(x) or re.sub(r"[^A-Za-z0-9/]", lambda m: "\\" + m[0], x) for x in body)
 
@@ -96,7 +98,7 @@ ENTRY = "struct<token:string,regex:string,tier:int,size:int,at:int,verdict:strin
 def judge_urls(df: DataFrame, rules: Sequence[UrlRule], url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (name of the deciding rule, null if none) and verdict (the rule's, else default).
 
-    Input columns of these names are replaced. A null URL or one without ``://`` has an empty host and path, so only
+    rule_tier is the deciding rule's tier. Input columns of these four names are replaced. A null URL or one without ``://`` has an empty host and path, so only
     rules that fit the empty string can apply. Repeated rows stay repeated; an empty table stays empty.
     """
     if len(rules) > MAX_RULES:
@@ -124,6 +126,70 @@ def judge_urls(df: DataFrame, rules: Sequence[UrlRule], url: str = "url", defaul
     )
 
 
+def parse_rules(lines: DataFrame, column: str = "value") -> DataFrame:
+    """pattern, verdict, tier of a filter list's lines: ``||host^``, ``/path/``, ``@@`` before what is allowed (tier 1).
+
+    Comments (``!``), headings (``[``), rules on page elements (``##`` and the like), regular expressions (``/.../``) and rules
+    with options (``$``) are left out, as are nulls, blank lines and patterns without a letter or digit. ``|`` at either end,
+    an anchor of the whole address, is dropped: rules are over host and path.
+    """
+    line = F.trim(F.col(column))
+    kept = lines.filter(line.isNotNull() & ~line.rlike(r"^(!|\[)|#@?\??#|\$|^(@@)?/.*[^/]/$.*") & line.rlike("[A-Za-z0-9]")).select(line.alias("l"))
+    allowed = F.col("l").startswith("@@")
+    body = F.regexp_replace(F.regexp_replace("l", "^@@", ""), r"(^\|(?!\|)(https?://)?)|(\|$)", "")
+    return kept.select(body.alias("pattern"), F.when(allowed, "allow").otherwise("block").alias("verdict"), allowed.cast("int").alias("tier")).distinct()
+
+
+def _entries(rules: DataFrame) -> DataFrame:
+    """pattern, verdict, tier, name, regex, tokens of a table of rules: what UrlRule says of each, as expressions."""
+    host = F.col("pattern").startswith("||")
+    name = F.regexp_replace("pattern", r"^\|\|", "")
+    bare = host & ~F.contains(name, F.lit("/"))
+    body = F.when(bare & ~name.endswith("^"), F.concat(name, F.lit("^"))).otherwise(name)
+    literal = F.regexp_replace(body, r"([^A-Za-z0-9/*^])", r"\\$1")
+    regex = F.concat(F.lit("(?s)"), F.when(host, r"^(?:[^/]*\.)?").otherwise(""), F.replace(F.replace(literal, F.lit("^"), F.lit(SEPARATOR)), F.lit("*"), F.lit(".*")))
+    # a star at an end stands for what the pattern does not close there
+    closed = F.concat(F.when(host, "/").otherwise("*"), name, F.when(bare, "/").otherwise("*"))
+    tokens = F.array_distinct(F.regexp_extract_all(closed, F.lit(r"(?<![A-Za-z0-9*])([A-Za-z0-9]+)(?![A-Za-z0-9*])"), F.lit(1)))
+    return rules.withColumns({"name": name, "tokens": tokens}).withColumn("regex", regex)
+
+
+def judge_urls_by_table(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", most: int = MAX_RULES) -> DataFrame:
+    """judge_urls with a table of rules (pattern, verdict and, if it has one, tier; null is 0), however many they are.
+
+    Up to ``most`` rules are a literal of the plan. Of more, each is filed under its rarest token, and distinct URLs meet
+    them by an equi join; what several rules say is settled in one aggregation. Rules without a token are tried on every
+    URL: more than ``most`` of those raise ValueError. Rows without pattern or verdict are left out, repeated rules are one.
+    """
+    tier = F.coalesce(F.col("tier"), F.lit(0)) if "tier" in rules.columns else F.lit(0)
+    kept = rules.select("pattern", "verdict", tier.cast("int").alias("tier")).dropna().distinct()
+    if kept.limit(most + 1).count() <= most:
+        return judge_urls(df, read_rules(kept), url, default)
+    entries = _entries(kept)
+    loose = entries.filter(F.size("tokens") == 0).drop("tokens").limit(most + 1).collect()
+    if len(loose) > most:
+        raise ValueError(f"more than {most} rules without a token")
+    host, path = url_parts(F.col(url))
+    norm = F.concat("host", "path")
+    out = df.withColumns({"host": host, "path": path}).withColumn("__norm", norm)
+    seen = out.groupBy(F.col("__norm").alias("norm")).agg(F.count("*").alias("n"))
+    wanted = entries.select(F.explode("tokens").alias("token")).distinct()
+    tokens = seen.select("norm", "n", F.explode(url_tokens(F.col("norm"))).alias("token")).join(wanted, "token", "left_semi")
+    counts = tokens.groupBy("token").agg(F.sum("n").alias("n"))
+    rule = ["pattern", "verdict", "tier", "name", "regex"]
+    each = entries.select(*rule, F.explode("tokens").alias("token")).join(counts, "token", "left")
+    filed = each.groupBy(*rule).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    hits = tokens.select("norm", "token").join(filed, "token").filter(F.regexp_like("norm", F.col("regex"))).select("norm", *rule)
+    anywhere = F.from_json(F.lit(json.dumps([r.asDict() for r in loose])), "array<struct<pattern:string,verdict:string,tier:int,name:string,regex:string>>")
+    tried = seen.select("norm", F.explode(F.filter(anywhere, lambda e: F.regexp_like("norm", e["regex"]))).alias("e")).select("norm", *[F.col(f"e.{c}").alias(c) for c in rule])
+    # the highest tier, the longest name, then the first in the order that read_rules has
+    best = F.min(F.struct((-F.col("tier")).alias("t"), (-F.length("name")).alias("s"), "pattern", "verdict", "name", "tier")).alias("__best")
+    chosen = hits.unionByName(tried).groupBy(F.col("norm").alias("__norm")).agg(best)
+    met = out.join(chosen, "__norm", "left")
+    met = met.withColumns({"rule": F.col("__best.name"), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default)), "rule_tier": F.col("__best.tier")})
+    return met.drop("__best", "__norm")
+
+
 #: The contract's rules; they outrank the method's own.
 BASE_RULES = [
     UrlRule("||com/en/", "block", 1), UrlRule("||example.com/en/7", "allow", 1), UrlRule("||net/de/", "allow", 1),
