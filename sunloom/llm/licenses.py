@@ -194,4 +194,5 @@ def license_digest(scanned: DataFrame) -> DataFrame:
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
+    """License labels and places of every document. Null texts are empty, without places."""
     return license_digest(scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

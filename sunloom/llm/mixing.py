@@ -150,6 +150,7 @@ def mixture(docs: DataFrame, text: str = "text", key: str = "doc_id", source: st
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes. A null text has size 0; null sources are one source, the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return plan_mix(docs, word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken", "copies", "finish")
 

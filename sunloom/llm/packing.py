@@ -99,6 +99,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
 
 
 def op2_pack(spark, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 ids. A null text is its end id alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     packed = pack(tokenize_pieces(docs, tokenizer_path(), as_bytes=True))
     # what the packed ids are, not what the tokenizer said of them

@@ -151,6 +151,7 @@ def ablation(entries: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIE
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The measures of the base's rules of every document, and whether the policy keeps it. A null text has no words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return ledger(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -54,8 +54,6 @@ HINTS = ("pass", "pwd", "secret", "token", "credential", "key")
 
 REFERENCE = re.compile(r"[$%]\{|\$\(|\$[A-Za-z_]\w*$|\{\{|<[^>]*>?$|%\w+%$|[A-Za-z_][\w.:>-]*[(\[]")
 PATH = re.compile(r"[A-Za-z_]\w*(?:(?:\.|::|->|/)[A-Za-z_]\w*)+$", re.A)
-#: A vocabulary of so many words at most, the first of the file.
-MOST_WORDS = 50_000
 
 
 def vocabulary_path() -> str:
@@ -79,7 +77,7 @@ def dictionary(path: str | None = None):
         if token[:1] == "\u0120" and len(token) > 3 and token[1:].isascii() and token[1:].isalpha():
             words.append(token[1:].lower())
     automaton = ahocorasick.Automaton()
-    for rank, word in enumerate(list(dict.fromkeys(words))[:MOST_WORDS], 1):
+    for rank, word in enumerate(dict.fromkeys(words), 1):
         automaton.add_word(word, (len(word), rank))
     automaton.make_automaton()
     return automaton
@@ -224,6 +222,7 @@ def redact_secrets(df: DataFrame, text: str = "text", threshold: float = SECRET_
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Secrets of every document: numbers of the base's kinds, a digest of their spans, and all spans. Null texts have none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan_secrets(docs)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -219,5 +219,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near copies of every document. Null and empty texts have fingerprint zero, linked like any other; a null doc_id names no group."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

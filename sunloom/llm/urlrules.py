@@ -214,6 +214,7 @@ def read_rules(rules: DataFrame) -> list[UrlRule]:
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    """The verdict of the base's and the method's rules on every page's URL. A null one has an empty host and path."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     out = judge_urls(pages, [*BASE_RULES, *SPAM_RULES])
     return out.select("page_id", "host", "path", F.when(F.col("rule_tier") == 1, F.col("rule")).alias("rule"), "verdict")
