@@ -99,6 +99,12 @@ def _first_best(value: Column, ts: str, where: Column | None = None) -> Column:
     return F.max(F.when(holds, F.struct(value.alias("v"), (-F.unix_micros(F.col(ts).cast("timestamp"))).alias("t"), F.col(ts).alias("ts"))))["ts"]
 
 
+# Fixed values of the picks: hours of morning, afternoon and midday, how far from a day's end the afternoon falls back to,
+# and the means and spreads that make a sky clear, partly cloudy or overcast.
+MORNING, AFTERNOON, MIDDAY, FROM_END = 9, (13, 15), (9, 15), 4
+CLEAR_MEAN, CLEAR_SPREAD, PARTLY_MEAN, OVERCAST_MEAN, OVERCAST_PLACE = 450.0, 30.0, (150.0, 500.0), (5.0, 120.0), 3
+
+
 def snapshots(fields: DataFrame, ts: str = "ts") -> DataFrame:
     """Per day of field_stats: the instants morning, widest, brightest and afternoon.
 
@@ -109,10 +115,10 @@ def snapshots(fields: DataFrame, ts: str = "ts") -> DataFrame:
     # as many entries as a day has instants
     last = F.sort_array(F.collect_list(ts))
     table = fields.groupBy(F.to_date(ts).alias("day")).agg(
-        F.coalesce(F.min(F.when(hour == 9, F.col(ts))), F.min(ts)).alias("morning"), _first_best(F.col("spread"), ts).alias("widest"), _first_best(F.col("mean"), ts).alias("brightest"),
-        _first_best(F.col("mean"), ts, hour.between(13, 15)).alias("afternoon"), last.alias("__last"),
+        F.coalesce(F.min(F.when(hour == MORNING, F.col(ts))), F.min(ts)).alias("morning"), _first_best(F.col("spread"), ts).alias("widest"), _first_best(F.col("mean"), ts).alias("brightest"),
+        _first_best(F.col("mean"), ts, hour.between(*AFTERNOON)).alias("afternoon"), last.alias("__last"),
     )
-    return table.withColumn("afternoon", F.coalesce("afternoon", F.get("__last", F.size("__last") - 4))).drop("__last")
+    return table.withColumn("afternoon", F.coalesce("afternoon", F.get("__last", F.size("__last") - FROM_END))).drop("__last")
 
 
 def sky_picks(fields: DataFrame, ts: str = "ts") -> DataFrame:
@@ -122,16 +128,16 @@ def sky_picks(fields: DataFrame, ts: str = "ts") -> DataFrame:
     between 150 and 500; partly_other_day: the same on another day. overcast: of means between 5 and 120 the third lowest
     (the highest of fewer), else the lowest mean. Ties go to the first instant.
     """
-    rows = fields.filter(F.hour(ts).between(9, 15)).withColumns({"year": F.year(ts), "__day": F.to_date(ts)})
+    rows = fields.filter(F.hour(ts).between(*MIDDAY)).withColumns({"year": F.year(ts), "__day": F.to_date(ts)})
     mean, spread = F.col("mean"), F.col("spread")
-    broken = (mean > num(150)) & (mean < num(500))
+    broken = (mean > num(PARTLY_MEAN[0])) & (mean < num(PARTLY_MEAN[1]))
     picks = rows.groupBy("year").agg(
-        F.coalesce(_first_best(mean, ts, (mean > num(450)) & (spread < num(30))), _first_best(mean, ts)).alias("clear"),
+        F.coalesce(_first_best(mean, ts, (mean > num(CLEAR_MEAN)) & (spread < num(CLEAR_SPREAD))), _first_best(mean, ts)).alias("clear"),
         _first_best(spread, ts, broken).alias("partly"), _first_best(-mean, ts).alias("__lowest"),
     )
     other = rows.join(F.broadcast(picks.select("year", F.to_date("partly").alias("__taken"))), "year")  # one row a year
     other = other.groupBy("year").agg(_first_best(spread, ts, broken & (F.col("__day") != F.col("__taken"))).alias("partly_other_day"))
-    dim = rows.filter((mean < num(120)) & (mean > num(5))).withColumn("__n", F.row_number().over(Window.partitionBy("year").orderBy("mean", ts))).filter("__n <= 3")
+    dim = rows.filter((mean < num(OVERCAST_MEAN[1])) & (mean > num(OVERCAST_MEAN[0]))).withColumn("__n", F.row_number().over(Window.partitionBy("year").orderBy("mean", ts))).filter(F.col("__n") <= OVERCAST_PLACE)
     dim = dim.groupBy("year").agg(F.max_by(ts, "__n").alias("__dim"))
     met = picks.join(other, "year").join(dim, "year", "left")
     return met.select("year", "clear", "partly", "partly_other_day", F.coalesce("__dim", "__lowest").alias("overcast"))

@@ -96,9 +96,16 @@ def lag_and_change(df: DataFrame, by: Sequence[str], value: str, order: Sequence
 
 def runs(df: DataFrame, by: Sequence[str], flag: Column, order: Sequence[str], least: int = 3, ts: str = "ts") -> DataFrame:
     """by, run, first_ts, last_ts, n: maximal runs of rows where flag holds, of least rows or more."""
-    marked = previous(df.withColumn("__flag", F.coalesce(flag, F.lit(False))), by, order, ["__flag"], "__before")
-    marked = marked.withColumn("__turn", F.when(F.col("__flag") != F.coalesce("__before.__flag", F.lit(False)), 1).otherwise(0)).drop("__before")
-    marked = running_sum(marked, by, order, "__turn", "run")
+    w, over = by_time([*by, "__day"], *order), _over_days(by)
+    rows = _with_day(df.withColumn("__flag", F.coalesce(flag, F.lit(False))), order)
+    rows = rows.withColumn("__turn", F.when(F.row_number().over(w) > 1, (F.col("__flag") != F.lag("__flag").over(w)).cast("int")).otherwise(0))
+    place = F.struct(*order)
+    days = rows.groupBy(*by, "__day").agg(F.sum("__turn").alias("__turns"), F.min_by("__flag", place).alias("__first"), F.max_by("__flag", place).alias("__last"))
+    # whether a day's first row turns depends on the last row of the day before
+    days = days.withColumn("__begins", (F.col("__first") != F.coalesce(F.lag("__last").over(over), F.lit(False))).cast("int"))
+    earlier = F.coalesce(F.sum(F.col("__turns") + F.col("__begins")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = days.select(*by, "__day", (earlier + F.col("__begins")).alias("__carry"))
+    marked = _carried(rows, carry, by).withColumn("run", F.col("__carry") + F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.filter("__flag").groupBy(*by, "run").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 

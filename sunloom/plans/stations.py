@@ -176,7 +176,7 @@ def diversity_vs_copy(spark, d) -> DataFrame:
     asked = spark.createDataFrame([(1, "2024-01-10 12:07:00"), (2, "2024-01-15 11:40:00"), (3, "2024-01-21 13:00:00")], "id int, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
     snapped = A.nearest_instant(asked, bins, 360).select(F.col("id").alias("moment"), F.col("near").alias("ts"))
     near = spatial.nearest(places(spark, d, "customer"), _stations(o)).select("target", F.col("source").alias("loc"))
-    wanted = bins.join(F.broadcast(snapped), "ts")  # as many moments as are asked for
+    wanted = bins.join(quantiles.bounded(snapped), "ts")  # as many moments as are asked for
     both = near.join(wanted, "loc").select("moment", "ts", F.col("value").alias("copy"), (F.col("value") * (F.lit(1.0) + (F.col("target") % 17) / F.lit(100.0))).alias("model"))
     table = audit.diversity(both, ["moment", "ts"], ["model", "copy"])
     return table.withColumns({f"{v}_{m}": F.round(f"{v}_{m}", 5) for v in ("model", "copy") for m in ("mean", "spread")})
