@@ -23,7 +23,7 @@ from .ordered import dense_index
 #: Sources that are met as one table at most, blocks that are broadcast at most, and sources of a block.
 MAX_SOURCES, MAX_BLOCKS, BLOCK = 100_000, 2_000, 512
 #: Sources of a leaf cell; a cell is split into SPLIT times SPLIT, at most DEPTH times.
-LEAF, SPLIT, DEPTH = 64, 4, 15
+LEAF, SPLIT, DEPTH = 128, 4, 15
 # Spacing of the knot levels in kilometres; a basis function reaches 2.5 spacings.
 LEVELS = (10.0, 5.0, 2.5, 1.5)
 REACH = 2.5
@@ -64,21 +64,23 @@ def _cell(level: int, side: float, y0: float, x0: float, lat: str, lon: str) ->
     return at(lat, KM_PER_LAT, y0), at(lon, KM_PER_LON, x0)
 
 
-def _tree(s: DataFrame, side: float, y0: float, x0: float) -> tuple[list[DataFrame], DataFrame]:
+def _tree(s: DataFrame, side: float, y0: float, x0: float) -> tuple[dict[int, DataFrame], DataFrame]:
     """Cells by level (cy, cx, py, px of the cell above, leaf, and one of its sources), and sources by leaf.
 
-    s: slat, slon, ids. Only cells with more than LEAF sources are split, so each source is handled once a level of its
-    own branch, and a level's cells are counted before the shuffle.
+    s: slat, slon, ids. Levels begin with the last one of a handful of cells, as those of a cluster and places far from it
+    are many. Only cells with more than LEAF sources are split, so each source is handled once a level of its own branch,
+    and a level's cells are counted before the shuffle.
     """
-    levels, leaves, rest = [], None, s
-    for k in range(DEPTH + 1):
+    levels, leaves, rest = {}, None, s
+    about = s.agg(*[F.approx_count_distinct(F.struct(*_cell(k, side, y0, x0, "slat", "slon"))).alias(str(k)) for k in range(DEPTH + 1)]).first()
+    for k in range(max(k for k in range(DEPTH + 1) if not k or about[str(k)] <= 4), DEPTH + 1):
         cy, cx = _cell(k, side, y0, x0, "slat", "slon")
         rest = rest.withColumns({"cy": cy, "cx": cx})
         cells = rest.groupBy("cy", "cx").agg(F.count("*").alias("n"), F.min(F.struct("slat", "slon", "ids")).alias("some"))
         cells = cells.withColumn("leaf", F.lit(True) if k == DEPTH else F.col("n") <= LEAF)
         above = {"py": F.floor(F.col("cy") / SPLIT), "px": F.floor(F.col("cx") / SPLIT)}
         cells = durable(cells.withColumns(above).select("cy", "cx", "py", "px", "leaf", "some"))
-        levels.append(cells)
+        levels[k] = cells
         met = rest.join(cells.select("cy", "cx", "leaf"), ["cy", "cx"])
         own = met.filter("leaf").select(F.lit(k).alias("level"), "cy", "cx", "slat", "slon", "ids")
         leaves = own if leaves is None else leaves.unionByName(own)
@@ -98,28 +100,40 @@ def _two_nearest(t: DataFrame, s: DataFrame) -> DataFrame:
     y0, x0 = box["y0"] * KM_PER_LAT, box["x0"] * KM_PER_LON
     side = max(box["y1"] * KM_PER_LAT - y0, box["x1"] * KM_PER_LON - x0, 1e-6) * (1 + 1e-9)
     levels, leaves = _tree(s, side, y0, x0)
-    pair = lambda ids, km: F.transform(ids, lambda i: F.struct(km.alias("km"), i.alias("source")))
+
+    def two_of(spots: str) -> Column:
+        """The two nearest of an array of positions, as (km, source)."""
+        km = lambda p: km_apart(F.col("tlat"), F.col("tlon"), p["slat"], p["slon"])
+        each = F.flatten(F.transform(spots, lambda p: F.transform(p["ids"], lambda i: F.struct(km(p).alias("km"), i.alias("source")))))
+        return F.aggregate(
+            each, F.array().cast(f"array<struct<km:double,source:{kind}>>"),
+            lambda best, x: F.when(F.size(best) < 2, F.sort_array(F.array_append(best, x))).when(x < best[1], F.sort_array(F.array(best[0], x))).otherwise(best),
+        )
+
+    kind = s.schema["ids"].dataType.elementType.simpleString()
     at = lambda c: F.col(c).cast("double")
-    searching, found = t.select("tlat", "tlon", F.lit(0).alias("py"), F.lit(0).alias("px")), None
-    for k, cells in enumerate(levels):
-        met = searching.join(cells, ["py", "px"]) if k else searching.drop("py", "px").crossJoin(F.broadcast(cells))  # one cell
+    searching, found = None, None
+    for k, cells in levels.items():
+        met = searching.join(cells, ["py", "px"]) if searching is not None else t.select("tlat", "tlon", F.lit(None).cast("double").alias("bound")).crossJoin(F.broadcast(cells))  # a handful of cells
         width = side / SPLIT**k
         out = lambda c, per, lo, n, w=width: F.greatest(num(lo) + at(n) * num(w) - F.col(c) * num(per), F.col(c) * num(per) - num(lo) - (at(n) + 1) * num(w), num(0))
         dy, dx = out("tlat", KM_PER_LAT, y0, "cy"), out("tlon", KM_PER_LON, x0, "cx")
         km = km_apart(F.col("tlat"), F.col("tlon"), F.col("some.slat"), F.col("some.slon"))
-        new = met.select("tlat", "tlon", F.lit(k).alias("level"), "cy", "cx", "leaf", F.sqrt(dy * dy + dx * dx).alias("least"), F.transform(F.col("some.ids"), lambda _: km).alias("km"))
+        reach = lambda least, bound: bound.isNull() | (least * num(1 - 1e-9) <= bound)
+        new = met.withColumn("least", F.sqrt(dy * dy + dx * dx)).filter(reach(F.col("least"), F.col("bound")))
+        new = new.select("tlat", "tlon", F.lit(k).alias("level"), "cy", "cx", "leaf", "least", F.transform(F.col("some.ids"), lambda _: km).alias("km"))
         every = new if found is None else found.unionByName(new)
         # as many entries as cells are kept, which is few: what lies within a cell's width of the nearest ones
         kept = every.groupBy("tlat", "tlon").agg(F.collect_list(F.struct("level", "cy", "cx", "leaf", "least", "km")).alias("c"))
         second = F.get(F.sort_array(F.flatten("c.km")), F.lit(1))
-        near = F.filter("c", lambda c: second.isNull() | (c["least"] * num(1 - 1e-9) <= second))
-        kept = durable(kept.select("tlat", "tlon", F.explode(near).alias("c")).select("tlat", "tlon", "c.*"))
-        found = kept.filter("leaf")
-        searching = kept.filter("NOT leaf").select("tlat", "tlon", F.col("cy").alias("py"), F.col("cx").alias("px"))
-    met = found.select("tlat", "tlon", "level", "cy", "cx").join(leaves, ["level", "cy", "cx"])
-    near = met.select("tlat", "tlon", pair(F.col("ids"), _KM()).alias("near"))
-    # at most LEAF sources a cell that is left
-    return near.groupBy("tlat", "tlon").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 2).alias("best"))
+        near = F.filter("c", lambda c: reach(c["least"], F.col("bound")))
+        kept = durable(kept.withColumn("bound", second).select("tlat", "tlon", "bound", F.explode(near).alias("c")).select("tlat", "tlon", "bound", "c.*"))
+        found = kept.filter("leaf").drop("bound")
+        searching = kept.filter("NOT leaf").select("tlat", "tlon", "bound", F.col("cy").alias("py"), F.col("cx").alias("px"))
+    # a leaf is one row of its sources, at most LEAF of them: what a target takes from it are the two nearest
+    packed = leaves.groupBy("level", "cy", "cx").agg(F.collect_list(F.struct("slat", "slon", "ids")).alias("spots"))
+    met = found.select("tlat", "tlon", "level", "cy", "cx").join(packed, ["level", "cy", "cx"]).withColumn("two", two_of("spots"))
+    return met.groupBy("tlat", "tlon").agg(F.slice(F.sort_array(F.flatten(F.collect_list("two"))), 1, 2).alias("best"))
 
 
 def nearest(targets: DataFrame, sources: DataFrame, exclude_self: bool = False) -> DataFrame:
