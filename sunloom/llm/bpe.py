@@ -11,8 +11,6 @@ import re
 
 import numpy as np
 
-#: Chunks that a cache of ids holds before it starts anew.
-CACHED = 400_000
 # The split pattern of byte-level files that ask for none of their own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -48,13 +46,10 @@ def check_plain(file: dict) -> None:
 class ByteBpe:
     """Ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes, and texts of ids.
 
-    The pattern that cuts a text before BPE never joins what stands on both sides of a lone space, so ids of a text are
-    those of its space-led chunks, and chunks repeat: they are encoded once and cached. Texts where white space meets a
-    space are encoded whole. Added tokens' strings in a text count as those tokens, as the file says.
+    Whole texts are encoded, as words repeat too seldom for a cache to be the faster way. Added tokens' strings in a text
+    count as those tokens, as the file says.
     """
 
-    _meets = re.compile(r"\s \s|  ")
-
     def __init__(self, path: str):
         import tiktoken
 
@@ -67,16 +62,6 @@ class ByteBpe:
         self._bpe = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         # the longest first, as the first alternative that fits is taken
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        bpe = self._bpe
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= CACHED:
-                    self.clear()
-                ids = self[chunk] = np.array(bpe.encode_ordinary(chunk), "<u4").tobytes()
-                return ids
-
-        self._chunks = Chunks()
         table = ranks | {s.encode(): i for s, i in self.special.items()}
         of_id = [b""] * (1 + max(table.values(), default=-1))
         for token, i in table.items():
@@ -97,17 +82,11 @@ class ByteBpe:
 
     def plain(self, text: str) -> bytes:
         """Ids of a text in which added tokens' strings are ordinary text."""
-        if not text:
-            return b""
-        if self._meets.search(text):
-            return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        chunk = self._chunks.__getitem__
-        return chunk(first) + b"".join([chunk(" " + w) for w in rest])
+        return self.whole(text).tobytes()
 
     def whole(self, text: str) -> np.ndarray:
-        """The same without the cache."""
-        return np.array(self._bpe.encode_ordinary(text), "<u4")
+        """The same as an array."""
+        return self._bpe.encode_to_numpy(text, disallowed_special=())
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         """What ids stand for, one after the other."""
