@@ -31,6 +31,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies: the one with the smallest doc_id.
 
+    Pairs come from the SimHash index of op1_simhash and from wider fingerprints for what is further apart; all are verified.
     Null and empty texts are copies of each other. Rows that share a doc_id are one document, of which one row can stay;
     a row of a null doc_id takes part in no group's choice and stays. All columns come back, map columns and clashing
     names included; an empty table stays empty.

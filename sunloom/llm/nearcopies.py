@@ -1,14 +1,18 @@
-"""Near copies by text similarity: a byte-position inverted index with count filtering, then exact verification.
+"""Near copies by text similarity: SimHash with a byte-position inverted index and count filtering, then exact verification.
 
 Two texts are near copies if 0.8 or more of their words are shared: the words of both that stand in 5-word shingles which
 both texts hold, over the words of both. An edit of one word breaks five shingles but leaves the words around it shared,
 so one changed word in twenty leaves 0.93 of the words and 0.63 of the shingle sets' union. A Jaccard similarity of the
 shingle sets of 0.8 or more makes near copies too (with repeated passages it can be the higher of the two).
 
-One SimHash of 64 bits moves about 8 bits at such similarities, beyond what an exact byte index can promise. So a text has a
-fingerprint of POSITIONS bytes, each the hash byte of one of its word pairs, the smallest under the position's own order
-(a min-wise sample, not a sum of signs: this departs from SimHash, and the README gives figures). Bytes at a position
-agree with the probability that the pair sets' similarity is, whatever the kind of edit; near copies have 0.6 or more.
+First the SimHash fingerprints of all texts meet in simhash.py's index: those of equal fingerprints, and those that differ
+in MAX_BITS bits or fewer. These pairs are verified on their whole texts like all others.
+
+An edit of one word in twenty moves one SimHash of 64 bits by more, about 13, beyond what an exact byte index can promise.
+So the texts also have a wide fingerprint of POSITIONS bytes, each the hash byte of one of its word pairs, the smallest
+under the position's own order (a min-wise sample), filed by byte positions in the same way. It adds to what SimHash
+links and replaces none of it; the README gives figures. Bytes at a position agree with the probability that the pair
+sets' similarity is, whatever the kind of edit; near copies have 0.6 or more.
 
 The byte positions are cut into shares of SHARE; a posting list holds the texts whose bytes agree on a share. A pair of
 similar word-pair sets meets in a list with probability 1 - (1 - s^4)^32: 0.989 at 0.6, 0.9999 at 0.7. Within a list the
@@ -28,8 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, map_rows
-from .postings import deal_chunks, deal_rest, small, spread_join
-from .simhash import components
+from .postings import deal_chunks, deal_rest, narrow, small, spread_join
+from .simhash import components, fingerprint_of
+from .simhash import links as simhash_links
 
 SHARE, SHARES, PAIR, SHINGLE, SIMILARITY = 4, 32, 2, 5, 0.8
 POSITIONS = SHARE * SHARES
@@ -62,13 +67,14 @@ def _hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, length: int) ->
     return np.array([digest(joined[i:j]) for i, j in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
 
 
-def signature(text: str) -> tuple[int, bytes]:
-    """Hash of the words, fingerprint of POSITIONS bytes."""
+def signature(text: str) -> tuple[int, int, bytes]:
+    """Hash of the words, SimHash (as a signed number; 0 without words), wide fingerprint of POSITIONS bytes."""
     node, *words = _words(text)
+    fp = fingerprint_of(*words) if words[0] else 0
     hashes, least = np.unique(_hashes(*words, PAIR)), np.full(POSITIONS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), _BLOCK):
         least = np.minimum(least, (_ORDERS * hashes[at : at + _BLOCK]).min(axis=1))
-    return node, (least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes()
+    return node, fp - (1 << 64) if fp >> 63 else fp, (least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def sequence(text: str, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
@@ -250,8 +256,20 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("root_a <> root_b").drop("root_a", "root_b")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes of equal SimHash with the least of them, and the least nodes of SimHashes that simhash.py links."""
+    firsts = durable(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    several = small(firsts.filter("n > 1").select("fp", "first"))
+    same = nodes.join(several, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    linked = narrow(durable(simhash_links(firsts.select("fp"))))
+    for c in ("a", "b"):
+        linked = linked.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")), c)
+    return same.unionByName(linked.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def _links(docs: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, least: float, chunk: int) -> DataFrame:
     """node, root of every node that is linked to another: see the module."""
+    close = _simhash_pairs(rows.select("node", "fp").distinct())
     nodes = rows.select("node", "wide").dropDuplicates(["node"])
     bytes_at = lambda i: F.conv(F.hex(F.substring("wide", SHARE * i + 1, SHARE)), 16, 10).cast("long")
     postings = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("share"), bytes_at(i).alias("bytes")) for i in range(SHARES)])).alias("p")).select("node", "p.share", "p.bytes")
@@ -260,11 +278,11 @@ def _links(docs: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
     long = None if long.isEmpty() else long
     dealt = deal_chunks(postings, lists, long, _LIST, "node", chunk).join(nodes, "node").select(*_LIST, "x", "node", "wide", "lead")
     runs = dealt.repartition(*_LIST, "x").sortWithinPartitions(*_LIST, "x", F.desc("lead"), "node")
-    found = durable(runs.mapInArrow(_forests, "share int, bytes bigint, n bigint, a bigint, b bigint"))
+    found = narrow(durable(runs.mapInArrow(_forests, "share int, bytes bigint, n bigint, a bigint, b bigint")))
 
-    pairs = durable(found.select("a", "b").distinct())
+    pairs = narrow(durable(found.select("a", "b").unionByName(close).distinct()))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sequences = durable(_sequences(docs, rows, ends, key, text, shingle))
+    sequences = narrow(durable(_sequences(docs, rows, ends, key, text, shingle)))
 
     def verify(some: DataFrame) -> DataFrame:
         of = lambda c: sequences.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"), F.col("shingles").alias(f"shingles_{c}"))
@@ -272,7 +290,7 @@ def _links(docs: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
         return met.select("a", "b", "words_a", "shingles_a", "words_b", "shingles_b").mapInArrow(lambda batches: _verified(batches, least), "a bigint, b bigint")
 
     # most nodes are linked by one pair; what other pairs add is asked of those that are still apart
-    sure = durable(verify(pairs.groupBy("a").agg(F.min("b").alias("b"))))
+    sure = narrow(durable(verify(pairs.groupBy("a").agg(F.min("b").alias("b")))))
     roots = components(sure)
     sure = sure.unionByName(durable(verify(_apart(pairs, roots).join(sure, ["a", "b"], "left_anti"))))
     roots = components(sure)
@@ -302,7 +320,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     Repeated rows are given each; other columns are dropped; an empty table gives none.
     """
     body = lambda keys, texts: [(k, *signature(t or "")) for k, t in zip(keys, texts)]
-    schema = f"key {dict(docs.dtypes)[key]}, node bigint, wide binary"
+    schema = f"key {dict(docs.dtypes)[key]}, node bigint, fp bigint, wide binary"
     rows = durable(map_rows(docs.withColumns({"__key": F.col(key), "__text": F.col(text)}), ["__key", "__text"], schema, body))
     roots = _links(docs, rows, key, text, shingle, least, chunk)
     known = rows.groupBy("node").agg(F.min("key").alias("first"))

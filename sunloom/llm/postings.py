@@ -38,6 +38,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df in as many partitions as tasks run at a time where its counted rows are at most MOST_BROADCAST.
+
+    What is joined to it then leaves few shuffle files, however many partitions the session asks for.
+    """
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if df.count() <= MOST_BROADCAST else df
+
+
 def deal_chunks(postings: DataFrame, lists: DataFrame, long: DataFrame | None, names: Sequence[str], node: str, chunk: int) -> DataFrame:
     """names, x, node, lead: each of lists (names, n) by its chunks x, the leaders (lead = 1) in all of them.
 

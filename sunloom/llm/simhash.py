@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_rows
-from .postings import MOST_BROADCAST, deal_chunks, deal_rest, small, spread_join
+from .postings import MOST_BROADCAST, deal_chunks, deal_rest, narrow, small, spread_join
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 CHUNK = 8192
@@ -38,15 +38,19 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     Shingles are shingle words in a row, A-Z lower-cased, joined by single spaces, repeats included; fewer words are one
     shingle, no words give 0.
     """
-    import xxhash
-
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return 0
-    joined, k, digest = b" ".join(words), min(shingle, len(words)), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
-    ends = ends[k - 1 :].tolist()
+    return fingerprint_of(b" ".join(words), np.concatenate([[0], ends[:-1] + 1]), ends, shingle, seed)
+
+
+def fingerprint_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The same of words joined by single spaces, from where each starts and ends."""
+    import xxhash
+
+    k, digest = min(shingle, len(starts)), xxhash.xxh64_intdigest
+    starts, ends = starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist()
     ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), _BLOCK):
         hashes = np.array([digest(joined[i:j], seed) for i, j in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK])], "<u8")
@@ -177,20 +181,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star contractions in turn, until the edges stay the same: every node's star then hangs from its
     component's smallest node. Where there are more edges than one task should take (MOST_BROADCAST), those of one node are
-    spread over tasks to meet its least neighbour.
+    spread over tasks to meet its least neighbour. Fewer are kept in as many partitions as tasks run at a time, so that
+    rounds over few edges leave few shuffle files.
     """
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sums = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    met, state = spread_join, sums(edges)
+    met, close, state = spread_join, lambda df: df, sums(edges)
     if state[0] <= MOST_BROADCAST:
-        met = lambda rows, own, key, by: rows.join(own, key)
+        tasks = edges.sparkSession.sparkContext.defaultParallelism
+        met, close = lambda rows, own, key, by: rows.join(own, key), lambda df: df.coalesce(tasks)
+        edges = close(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = met(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = close(close(met(both, least, "a", "b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         other = met(large, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = durable(other.filter("a <> b").distinct())
+        edges = durable(close(close(other.filter("a <> b")).distinct()))
         before, state = state, sums(edges)
         if state == before:
             break

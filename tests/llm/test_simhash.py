@@ -201,3 +201,25 @@ def test_drop_near_copies_hard(hard, nothing):
     assert kept.columns == hard.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 6, 7, 8, None]
     assert nearcopies.drop_near_copies(nothing).count() == 0
+
+
+def test_near_copies_take_simhash_links(spark, monkeypatch):
+    """Where the wide fingerprints give no pair, texts whose SimHash differs in 3 bits or fewer are still linked, and no others."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(10**6, size=900)]
+    other = [f"w{k}" for k in rng.integers(10**6, size=900)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(["start", *words])), (4, " ".join(other)), (5, " ".join([*other[:450], *words[:450]]))]
+    bits = [simhash.fingerprint(t) for _, t in rows]
+    assert all((bits[0] ^ b).bit_count() <= simhash.MAX_BITS for b in bits[1:3]) and all((bits[0] ^ b).bit_count() > simhash.MAX_BITS for b in bits[3:])
+    monkeypatch.setattr(nearcopies, "_forests", lambda batches: iter(()))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_simhash_pairs_reach_every_node(spark):
+    """Equal fingerprints hang from their least node, fingerprints within 3 bits from each other's."""
+    nodes = [(10, 5), (11, 5), (12, 5), (20, 5 ^ 0b1011), (30, 5 ^ (0b1111 << 40)), (40, -1)]
+    got = {frozenset(r) for r in nearcopies._simhash_pairs(spark.createDataFrame(nodes, "node long, fp long")).collect()}
+    assert got == {frozenset(p) for p in ((10, 11), (10, 12), (10, 20))}
