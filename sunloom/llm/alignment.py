@@ -67,7 +67,8 @@ class Aligner:
 
     def __init__(self, a: str, b: str):
         self.a, self.b = ByteBpe(a), Pieces(b)
-        self._names_a, self._names_b = ([str(i) for i in range(len(t.sizes))] for t in (self.a, self.b))
+        # what is written of a token: its id and what follows, by kind of place (within a group, at its end, at a chunk's end)
+        self._names_a, self._names_b = (np.array([[f"{i}{e}" for i in range(len(t.sizes))] for e in ends], object) for t, ends in ((self.a, ",|"), (self.b, ",;\n")))
         self.clear()
 
     def clear(self) -> None:
@@ -92,7 +93,9 @@ class Aligner:
 
     def learn(self, chunks: list[str], with_groups: bool) -> None:
         """Align chunks that are new."""
-        chunks = sorted(chunks, key=self._leans)
+        leans = [c for c in chunks if self._leans(c)]
+        if leans:
+            chunks = [c for c in chunks if not self._leans(c)] + leans
         bodies = [c.encode() for c in chunks]
         ids_b = self.b.ids(chunks)
         broken = {c for c, body, ids in zip(chunks, bodies, ids_b) if b"".join(map(self.b.of_id.__getitem__, ids)) != body}
@@ -105,7 +108,7 @@ class Aligner:
         for c in chunks:
             self.number[c] = len(self.number)
         ends = np.cumsum([len(b) for b in bodies])
-        a, b = self._ids_a(chunks), np.fromiter(itertools.chain.from_iterable(ids_b), np.int64)
+        a, b = self._ids_a(chunks, sum(c not in self.broken for c in leans)), np.fromiter(itertools.chain.from_iterable(ids_b), np.int64)
         ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
         if ends_a[-1] != ends[-1]:
             raise ValueError("the byte-level tokenizer does not give texts back")
@@ -115,24 +118,24 @@ class Aligner:
         self.links.append((a[at_a] << 32) | b[at_b])
         self.facts.append(np.stack([np.diff(c, prepend=0) for c in (chunk_a, chunk_b, chunk_link)], axis=1))
         if with_groups:
-            names_a, names_b = list(map(self._names_a.__getitem__, a.tolist())), list(map(self._names_b.__getitem__, b.tolist()))
-            each, fa, fb = [], 0, 0
-            for ta, tb in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-                each.append(f"{','.join(names_a[fa:ta])}|{','.join(names_b[fb:tb])}")
-                fa, fb = ta, tb
-            first = 0
-            for to in chunk_link.tolist():
-                self.groups.append(";".join(each[first:to]))
-                first = to
+            # of each group its A tokens, then its B tokens; every chunk ends with a group
+            n_a, n_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+            kind_a, kind_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            kind_a[at_a], kind_b[at_b] = 1, 1
+            kind_b[at_b[chunk_link - 1]] = 2
+            out = np.empty(len(a) + len(b), object)
+            out[np.arange(len(a)) + np.repeat(at_b + 1 - n_b, n_a)] = self._names_a[kind_a, a]
+            out[np.arange(len(b)) + np.repeat(at_a + 1, n_b)] = self._names_b[kind_b, b]
+            self.groups += "".join(out.tolist()).split("\n")[:-1]
 
     @staticmethod
     def _leans(chunk: str) -> bool:
         """Whether white space at an end may be read together with what stands beside the chunk."""
         return chunk[1:2].isspace() or chunk[-1:].isspace()
 
-    def _ids_a(self, chunks: list[str]) -> np.ndarray:
+    def _ids_a(self, chunks: list[str], leaning: int) -> np.ndarray:
         """Ids of chunks one after the other; those that do not lean come first and are encoded as one text."""
-        apart = next((i for i, c in enumerate(chunks) if self._leans(c)), len(chunks))
+        apart = len(chunks) - leaning
         return np.concatenate([self.a.whole("".join(chunks[:apart])), *map(self.a.whole, chunks[apart:])]).astype(np.int64)
 
     def numbers(self, texts: list[str | None], with_groups: bool = False) -> Iterator[np.ndarray | None]:
